@@ -37,6 +37,7 @@ def star_from_raw(raw: DataFrame, order_cols: list[str],
 # --- the driver's tables ------------------------------------------------------
 
 _STORED: dict[tuple[str, str], str] = {}
+_NUMBERED: dict[tuple[str, str], DataFrame] = {}
 
 
 def fixture_visits(spark, sf_dir: str) -> DataFrame:
@@ -46,8 +47,14 @@ def fixture_visits(spark, sf_dir: str) -> DataFrame:
 
 
 def fixture_numbered_visits(spark, sf_dir: str) -> DataFrame:
+    """Cleaned visits with row ids; the numbering job runs once per process
+    and data folder (its output is a stored table, the result reads it)."""
+    from carelens.session import checkpoint_dir
     from carelens.sources.fixtures import ORDER_KEY, raw_visits
-    return numbered_visits(raw_visits(spark, sf_dir), ORDER_KEY)
+    key = (checkpoint_dir(spark), sf_dir.rstrip("/"))
+    if key not in _NUMBERED:
+        _NUMBERED[key] = numbered_visits(raw_visits(spark, sf_dir), ORDER_KEY)
+    return _NUMBERED[key]
 
 
 def fixture_star(spark, sf_dir: str) -> Star:
