@@ -1,0 +1,59 @@
+"""Text sources and sinks: header normalising, all-text read, exports."""
+
+import os
+import tempfile
+
+from carelens import schema as S
+from carelens.operators.clean import clean_visits
+from carelens.sources.csv import clean_names, read_raw_visits, read_text_table
+from carelens.sources.export import export_name, export_table_csv, to_json_rows
+
+HEADER = ["Facility ID", "Facility Name", "Address", "City/Town", "State", "ZIP Code",
+          "County/Parish", "Telephone Number", "Measure ID", "Measure Name",
+          "Compared to National", "Denominator", "Score", "Lower Estimate", "Higher Estimate",
+          "Number of Patients", "Number of Patients Returned", "Footnote", "Start Date", "End Date"]
+
+
+def test_clean_names():
+    assert clean_names(HEADER) == S.RAW_COLUMNS
+    assert clean_names(["FacilityID", "a b", "a.b", "1st"]) == ["facility_id", "a_b", "a_b_2", "x1st"]
+
+
+def test_raw_csv_is_all_text(spark):
+    d = tempfile.mkdtemp(prefix="carelens-csv-")
+    p = os.path.join(d, "visits.csv")
+    with open(p, "w") as f:
+        f.write(",".join(f'"{h}"' for h in HEADER) + "\n")
+        f.write('01014F,"A ""B"" HOSPITAL",1 ST,TOWN,AL,501,CTY,555,READM_30_HF,HF,'
+                'No Different Than the National Rate,120,21.5,19,24,Not Applicable,7,"1, 7",'
+                '07/01/2021,06/30/2024\n')
+    raw = read_raw_visits(spark, p)
+    assert all(t == "string" for c, t in raw.dtypes if c != S.SOURCE_ID)
+    v = clean_visits(raw).first()
+    assert v.facility_id == "01014F"
+    assert v.facility_name == 'A "B" HOSPITAL'
+    assert v.zip_code == "00501"
+    assert v.denominator == 120.0 and v.score == 21.5
+    assert v.number_of_patients is None and v.number_of_patients_returned == 7
+    assert v.performance_category == "Average"
+    assert str(v.start_date) == "2021-07-01"
+
+
+def test_export_csv_quotes_every_cell(spark):
+    df = spark.createDataFrame([("AL", 1234, 3.0)], "state string, n long, average_score double")
+    base = tempfile.mkdtemp(prefix="carelens-exp-")
+    path = export_table_csv(df, base, "state-performance-table", None,
+                            {"n": "thousands", "average_score": "two_decimals"})
+    assert path.endswith("state-performance-table_national.csv")
+    text = "".join(open(os.path.join(path, f)).read() for f in sorted(os.listdir(path))
+                   if f.endswith(".csv"))
+    assert '"state","n","average_score"' in text
+    assert '"AL","1,234","3.00"' in text
+    back = read_text_table(spark, path, df.columns).first()
+    assert tuple(back) == ("AL", "1,234", "3.00")
+    assert export_name("t", "CA") == "t_CA"
+
+
+def test_json_rows(spark):
+    df = spark.createDataFrame([("AL", None)], "state string, average_score double")
+    assert to_json_rows(df).first()[0] == '{"state":"AL","average_score":null}'
