@@ -18,13 +18,14 @@ task. Here instead:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.session import scratch_path
 
-# Offsets have one row per partition; above this many partitions the
-# offsets table is joined without a broadcast hint.
+# Offsets have one row per partition, at most the range exchange's partition
+# count (AQE only coalesces); above this many the offsets are joined unhinted.
 MAX_BROADCAST_PARTITIONS = 2_000_000
 
 
@@ -50,8 +51,11 @@ def dense_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "temp_id",
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))
-    n_parts = counts.count()
-    if n_parts <= MAX_BROADCAST_PARTITIONS:
+    # Kept for the jobs that read the ids (a lost block is recomputed from the
+    # stored table, with the same result).
+    offsets = offsets.persist(StorageLevel.MEMORY_AND_DISK)
+    bound = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if bound <= MAX_BROADCAST_PARTITIONS:
         offsets = F.broadcast(offsets)
     out = stored.join(offsets, "_pid").select(
         *[c for c in df.columns],

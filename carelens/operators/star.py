@@ -41,9 +41,12 @@ class Star:
         return F.broadcast(out) if self._small[name] else out
 
     def replace(self, **changes: DataFrame) -> "Star":
+        """A star with some tables swapped; size checks of the others are kept."""
         d = self.tables()
         d.update(changes)
-        return Star(**d)
+        out = Star(**d)
+        out._small.update({k: v for k, v in self._small.items() if k not in changes})
+        return out
 
 
 def hospitals_dim(visits: DataFrame) -> DataFrame:

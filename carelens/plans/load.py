@@ -36,7 +36,7 @@ def star_from_raw(raw: DataFrame, order_cols: list[str],
 
 # --- the driver's tables ------------------------------------------------------
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str], Star] = {}
 _NUMBERED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -69,9 +69,8 @@ def stored_fixture_star(spark, sf_dir: str) -> Star:
     from carelens.session import checkpoint_dir, scratch_path
     from carelens.sources.tables import load_star, save_star
     key = (checkpoint_dir(spark), sf_dir.rstrip("/"))
-    path = _STORED.get(key)
-    if path is None:
+    if key not in _STORED:
         path = scratch_path(spark, "star")
         save_star(fixture_star(spark, sf_dir), path)
-        _STORED[key] = path
-    return load_star(spark, path)
+        _STORED[key] = load_star(spark, path)
+    return _STORED[key]

@@ -8,7 +8,11 @@ which only breaks ties between identical rows when ordering.
 Join plan: orders is enriched with customer and nation first, so the
 lineitem-sized side is shuffled once, on the order key; joining lineitem to
 orders first would shuffle the lineitem-sized result again on the customer
-key. ``nation`` goes through the size-checked broadcast helper.
+key. The two fact-sized sides (lineitem, orders) are always sort-merge
+joined: a static size estimate must not turn either into a broadcast, since
+both grow with the data. ``customer`` and ``nation`` go through the
+size-checked broadcast helper (customer falls back to a shuffle join when
+it is large).
 """
 
 from __future__ import annotations
@@ -53,8 +57,9 @@ def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cust_nat = cust.join(broadcast_if_small(nation, 10_000),
                          cust.c_nationkey == nation.n_nationkey)
-    enriched_orders = orders.join(cust_nat, orders.o_custkey == cust_nat.c_custkey)
-    j = li.join(enriched_orders, li.l_orderkey == enriched_orders.o_orderkey)
+    enriched_orders = orders.join(broadcast_if_small(cust_nat),
+                                  orders.o_custkey == cust_nat.c_custkey)
+    j = li.hint("merge").join(enriched_orders, li.l_orderkey == enriched_orders.o_orderkey)
 
     line = F.col("l_linenumber")
     q = F.col("l_quantity")
