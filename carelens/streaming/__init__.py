@@ -1 +1,5 @@
-"""carelens.streaming."""
+"""Incremental loads with Structured Streaming (file source + foreachBatch)."""
+
+from carelens.streaming.ingest import (  # noqa: F401
+    load_batch, read_incremental_star, start_incremental_load,
+)
