@@ -75,3 +75,16 @@ VISIT_COLUMNS = RAW_COLUMNS + ["performance_category"]
 # Hidden columns carried through the pipeline.
 ROW_ID = "temp_id"      # dense 1..N row position (becomes performance_id)
 SOURCE_ID = "_src"      # unique source row identity (tie-break only)
+
+# Stored star tables (column DDL, without partition columns).
+STAR_DDL = {
+    "hospitals": ", ".join(f"{c} string" for c in HOSPITAL_COLUMNS),
+    "measures": "measure_id string, measure_name string",
+    "footnotes": "footnote_id int, footnote_text string",
+    "performance_data": (
+        "performance_id bigint, facility_id string, measure_id string, denominator double, "
+        "score double, lower_estimate double, higher_estimate double, number_of_patients int, "
+        "number_of_patients_returned int, performance_category string, start_date date, "
+        "end_date date"),
+    "performance_footnotes": "performance_id bigint, footnote_id int",
+}

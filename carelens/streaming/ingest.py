@@ -38,17 +38,22 @@ def _table_path(star_path: str, name: str) -> str:
     return f"{star_path.rstrip('/')}/{name}"
 
 
+def _read(spark: SparkSession, star_path: str, name: str) -> DataFrame:
+    """A table with its declared schema, so a table with no rows yet reads empty."""
+    ddl = f"{S.STAR_DDL[name]}, {LOAD_ID} bigint"
+    if name == "performance_data":
+        ddl += f", {FAMILY_COLUMN} string"
+    return spark.read.schema(ddl).parquet(_table_path(star_path, name))
+
+
 def stored_before(spark: SparkSession, star_path: str, load_id: int) -> Star | None:
     """The tables as they were before ``load_id`` (earlier partitions only);
     ``None`` before the first load."""
-    t = {}
     try:
-        for n in TABLES:
-            df = spark.read.parquet(_table_path(star_path, n))
-            t[n] = df.filter(F.col(LOAD_ID) < load_id).drop(LOAD_ID)
+        t = {n: _read(spark, star_path, n) for n in TABLES}
     except AnalysisException:
         return None
-    return Star(**t)
+    return Star(**{n: df.filter(F.col(LOAD_ID) < load_id).drop(LOAD_ID) for n, df in t.items()})
 
 
 def load_batch(batch: DataFrame, star_path: str, load_id: int,
@@ -78,8 +83,7 @@ def load_batch(batch: DataFrame, star_path: str, load_id: int,
             part.append(FAMILY_COLUMN)
         (w.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
           .partitionBy(*part).parquet(_table_path(star_path, name)))
-        counts[name] = (spark.read.parquet(_table_path(star_path, name))
-                        .filter(F.col(LOAD_ID) == load_id).count())
+        counts[name] = _read(spark, star_path, name).filter(F.col(LOAD_ID) == load_id).count()
     return counts
 
 
@@ -109,7 +113,7 @@ def start_incremental_load(spark: SparkSession, landing_dir: str, star_path: str
 
 def read_incremental_star(spark: SparkSession, star_path: str) -> Star:
     """All loads of an incrementally built star (``load_id`` dropped)."""
-    return Star(**{n: spark.read.parquet(_table_path(star_path, n)).drop(LOAD_ID) for n in TABLES})
+    return Star(**{n: _read(spark, star_path, n).drop(LOAD_ID) for n in TABLES})
 
 
 __all__ = ["load_batch", "start_incremental_load", "read_incremental_star", "stored_before"]
