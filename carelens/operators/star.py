@@ -40,6 +40,15 @@ class Star:
         out = df.select(*cols) if cols else df
         return F.broadcast(out) if self._small[name] else out
 
+    def dim_selection(self, name: str, selected: DataFrame) -> DataFrame:
+        """A filtered projection of a dimension: broadcast if the whole table
+        was checked small, else if the selection itself is checked small
+        (one state, one named facility); otherwise left to a shuffle join."""
+        self.dim(name)
+        if self._small[name]:
+            return F.broadcast(selected)
+        return broadcast_if_small(selected)
+
     def replace(self, **changes: DataFrame) -> "Star":
         """A star with some tables swapped; size checks of the others are kept."""
         d = self.tables()

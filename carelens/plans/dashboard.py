@@ -1,9 +1,11 @@
 """The dashboard's data for one selection (national or one state).
 
-One page load asks eight questions; here they share one pruned, cached
+One page load asks eight questions; here they share one pruned
 ``readmission facts x hospitals`` relation where the question allows it
-(N4, N8, N9, N12, N15 all read it), so the fact is scanned once per
-selection instead of once per question.
+(N4, N8, N9, N12 read it). With ``cache=True`` that relation is persisted,
+so the fact is scanned once per page instead of once per question; it is
+off by default because at full scale the relation is a large share of the
+fact, and Parquet scans with partition pruning are cheap to repeat.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from carelens.plans import metrics as M
 from carelens.operators.star import Star
 
 
-def dashboard(star: Star, state: str | None = None, cache: bool = True) -> dict[str, DataFrame]:
+def dashboard(star: Star, state: str | None = None, cache: bool = False) -> dict[str, DataFrame]:
     shared = (M._readmission(star.performance_data)
               .select("performance_id", "facility_id", "measure_id", "score", "denominator")
               .join(M._hospitals(star, None, "state", "facility_name", "city_town"), "facility_id"))

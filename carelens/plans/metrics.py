@@ -35,11 +35,11 @@ def _readmission(df: DataFrame) -> DataFrame:
 
 
 def _hospitals(star: Star, state: str | None, *cols: str) -> DataFrame:
-    need = list(dict.fromkeys(["facility_id", *cols] + (["state"] if state else [])))
-    h = star.dim("hospitals", *need)
-    if state:
-        h = h.filter(F.col("state") == state)
-    return h.select("facility_id", *[c for c in cols if c != "facility_id"])
+    out = ["facility_id", *[c for c in cols if c != "facility_id"]]
+    if not state:
+        return star.dim("hospitals", *out)
+    h = star.hospitals.filter(F.col("state") == state).select(*out)
+    return star.dim_selection("hospitals", h)
 
 
 # --- N1, N2 -----------------------------------------------------------------
@@ -193,8 +193,8 @@ def hospital_profile(star: Star, facility_name: str) -> DataFrame:
 
     Rows with a NULL score are kept.
     """
-    h = star.dim("hospitals", "facility_id", "facility_name").filter(
-        F.col("facility_name") == facility_name).select("facility_id")
+    h = star.dim_selection("hospitals", star.hospitals.filter(
+        F.col("facility_name") == facility_name).select("facility_id"))
     f = star.performance_data.select(
         "facility_id", "measure_id", "score", "performance_category", "denominator",
         "number_of_patients_returned")
