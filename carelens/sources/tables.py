@@ -8,6 +8,8 @@ column and the reports never return it.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,26 +30,36 @@ def measure_family(measure_id) -> Column:
 
 
 def save_star(star: Star, path: str, mode: str = "overwrite",
-              counts: bool = False) -> dict[str, int]:
+              counts: bool = False, parallel: int = 5) -> dict[str, int]:
     """Write the five tables under ``path``; ``mode='append'`` adds to them.
 
-    Returns row counts per table when ``counts`` is set (S10); an empty
-    input appends nothing (S12).
+    The five writes are independent jobs over the same stored input and are
+    submitted together (``parallel`` threads), so the stages of one fill the
+    slots the small final stages of another leave idle. Returns row counts
+    per table when ``counts`` is set (S10); an empty input appends nothing
+    (S12).
     """
-    report: dict[str, int] = {}
-    for name, df in star.tables().items():
-        w = df
-        part = []
+    base = path.rstrip("/")
+
+    def write(item):
+        name, df = item
+        w, part = df, []
         if name == "performance_data":
             w = df.withColumn(FAMILY_COLUMN, measure_family("measure_id"))
             part = [FAMILY_COLUMN]
         writer = w.write.mode(mode)
         if part:
             writer = writer.partitionBy(*part)
-        writer.parquet(f"{path.rstrip('/')}/{name}")
-        if counts:
-            report[name] = df.sparkSession.read.parquet(f"{path.rstrip('/')}/{name}").count()
-    return report
+        writer.parquet(f"{base}/{name}")
+        return name, (df.sparkSession.read.parquet(f"{base}/{name}").count() if counts else None)
+
+    items = list(star.tables().items())
+    if parallel and parallel > 1:
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            done = list(pool.map(write, items))
+    else:
+        done = [write(i) for i in items]
+    return {n: c for n, c in done if c is not None}
 
 
 def load_star(spark: SparkSession, path: str) -> Star:
