@@ -25,8 +25,17 @@ STATE_DETAILS_FORMATS = {
 }
 WORST_MEASURES_FORMATS = {"number_of_hospitals_reporting": "thousands", "average_score": "two_decimals"}
 TOP_HOSPITALS_FORMATS = {"score": "two_decimals"}
+KPI_FORMATS = {"total_hospitals": "thousands", "average_readmission_score": "or_na"}
 
-_FORMATTERS = {"thousands": X.thousands, "two_decimals": X.two_decimals}
+# Label shown for a missing headline value.
+NOT_AVAILABLE_LABEL = "N/A"
+
+
+def _or_na(c: str):
+    return F.coalesce(F.col(c).cast("string"), F.lit(NOT_AVAILABLE_LABEL))
+
+
+_FORMATTERS = {"thousands": X.thousands, "two_decimals": X.two_decimals, "or_na": _or_na}
 
 
 def export_name(table: str, state: str | None) -> str:

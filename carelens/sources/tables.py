@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carelens import schema as S
 from carelens.operators.star import Star
@@ -62,10 +63,26 @@ def save_star(star: Star, path: str, mode: str = "overwrite",
     return {n: c for n, c in done if c is not None}
 
 
-def load_star(spark: SparkSession, path: str) -> Star:
+def check_schema(df: DataFrame, ddl: str, name: str = "table") -> DataFrame:
+    """Structure check (S11): the declared columns with their types must be
+    present; extra columns (such as partition columns) are allowed."""
+    want = T.StructType.fromDDL(ddl)
+    have = {f.name: f.dataType for f in df.schema.fields}
+    bad = [f"{f.name} {f.dataType.simpleString()} (found "
+           f"{have[f.name].simpleString() if f.name in have else 'nothing'})"
+           for f in want.fields if have.get(f.name) != f.dataType]
+    if bad:
+        raise ValueError(f"{name}: unexpected structure: {', '.join(bad)}")
+    return df
+
+
+def load_star(spark: SparkSession, path: str, check: bool = True) -> Star:
     """Read the five tables back (S6, S7). The fact keeps ``measure_family``."""
     base = path.rstrip("/")
-    return Star(**{n: spark.read.parquet(f"{base}/{n}") for n in TABLES})
+    t = {n: spark.read.parquet(f"{base}/{n}") for n in TABLES}
+    if check:
+        t = {n: check_schema(df, S.STAR_DDL[n], n) for n, df in t.items()}
+    return Star(**t)
 
 
 def save_star_tables(star: Star, database: str | None = None, mode: str = "overwrite",

@@ -31,9 +31,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
+
 def _norm(v):
     if v is None:
         return None
+    if isinstance(v, float) and STRICT:
+        return repr(v)
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"

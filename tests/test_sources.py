@@ -57,3 +57,51 @@ def test_export_csv_quotes_every_cell(spark):
 def test_json_rows(spark):
     df = spark.createDataFrame([("AL", None)], "state string, average_score double")
     assert to_json_rows(df).first()[0] == '{"state":"AL","average_score":null}'
+
+
+def _tiny_star(spark):
+    from carelens.operators.star import Star
+    return Star(
+        hospitals=spark.createDataFrame([("F1",) + ("x",) * 7], S.STAR_DDL["hospitals"]),
+        measures=spark.createDataFrame([("READM_1", "r")], S.STAR_DDL["measures"]),
+        footnotes=spark.createDataFrame([(1, None)], S.STAR_DDL["footnotes"]),
+        performance_data=spark.createDataFrame(
+            [(1, "F1", "READM_1", 10.0, 2.0, 1.0, 3.0, 5, 1, "Average", None, None),
+             (2, "F1", "OP_1", None, None, None, None, None, None, None, None, None)],
+            S.STAR_DDL["performance_data"]),
+        performance_footnotes=spark.createDataFrame([(1, 1)], S.STAR_DDL["performance_footnotes"]),
+    )
+
+
+def test_save_load_append_counts(spark):
+    from carelens.sources.tables import load_star, save_star
+    base = tempfile.mkdtemp(prefix="carelens-star-")
+    counts = save_star(_tiny_star(spark), base, counts=True)
+    assert counts == {"hospitals": 1, "measures": 1, "footnotes": 1, "performance_data": 2,
+                      "performance_footnotes": 1}
+    counts = save_star(_tiny_star(spark), base, mode="append", counts=True)
+    assert counts["performance_data"] == 4
+    st = load_star(spark, base)
+    assert sorted(r[0] for r in st.performance_data.select("measure_family").distinct().collect()) \
+        == ["OTHER", "READM"]
+
+
+def test_structure_check(spark):
+    import pytest
+    from carelens.sources.tables import check_schema
+    df = spark.createDataFrame([(1, "a")], "footnote_id long, footnote_text string")
+    with pytest.raises(ValueError, match="footnote_id int"):
+        check_schema(df, S.STAR_DDL["footnotes"], "footnotes")
+
+
+def test_catalog_tables(spark):
+    from carelens.sources.tables import load_star_tables, save_star_tables
+    save_star_tables(_tiny_star(spark), prefix="t_")
+    st = load_star_tables(spark, prefix="t_")
+    assert st.performance_data.count() == 2
+
+
+def test_kpi_labels(spark):
+    from carelens.sources.export import KPI_FORMATS, formatted
+    df = spark.createDataFrame([(1234, None)], "total_hospitals long, average_readmission_score double")
+    assert tuple(formatted(df, KPI_FORMATS).first()) == ("1,234", "N/A")
