@@ -25,7 +25,8 @@ def null_safe_anti_join(left: DataFrame, right: DataFrame, key: str) -> DataFram
     """Rows of ``left`` whose key is not in ``right``, NULL matching NULL.
 
     dplyr's anti_join treats NA as equal to NA; a plain anti-join would keep
-    a NULL-keyed row.
+    a NULL-keyed row. The distinct keys of ``right`` are broadcast when they
+    are checked small (stored footnote ids), else both sides are shuffled.
     """
-    r = right.select(F.col(key).alias("_rk")).distinct()
+    r = broadcast_if_small(right.select(F.col(key).alias("_rk")).distinct())
     return left.join(r, left[key].eqNullSafe(r["_rk"]), "left_anti")

@@ -109,6 +109,7 @@ def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(ship, "MM/dd/yyyy").alias("start_date"),
         F.date_format(ship + F.expr("INTERVAL 30 DAYS"), "MM/dd/yyyy").alias("end_date"),
         # lineitem key (l_orderkey, l_linenumber); line numbers run 1..7
+        # the lineitem key (l_orderkey, l_linenumber) in one long; line numbers are 1..7
         (F.col("l_orderkey") * 8 + line).alias(S.SOURCE_ID),
     )
 
