@@ -101,3 +101,26 @@ def test_dense_ids_start_offset(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "k int")
     out = dense_row_ids(df, ["k"], start=100)
     assert [r.temp_id for r in out.orderBy("k").collect()] == list(range(101, 151))
+
+
+def test_first_row_with_a_hot_facility(spark):
+    # one facility holds a third of the rows; its first row still wins
+    from carelens.operators.dedup import first_row_per_key
+    rows = [("HOT", f"t{i:04d}", i) for i in range(300, 0, -1)]
+    rows += [(f"F{i:03d}", f"u{i}", 1000 + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "facility_id string, telephone_number string, temp_id long")
+    out = dict(first_row_per_key(df.repartition(8), "facility_id",
+                                 ["facility_id", "telephone_number"], "temp_id").collect())
+    assert out["HOT"] == "t0001"
+    assert len(out) == 601
+
+
+def test_breakdown_check_agrees_with_national_breakdown(spark, sf001, star):
+    from carelens.operators.quality import breakdown_check
+    n1 = {r[0]: (r[1], r[2]) for r in M.national_breakdown(star).collect()}
+    c4 = {r.performance_category: (r.number_of_measures, r.percentage)
+          for r in breakdown_check(star.performance_data).collect()}
+    assert set(n1) == set(c4)
+    for k in n1:
+        assert n1[k][0] == c4[k][0]
+        assert abs(n1[k][1] - c4[k][1]) <= 0.1 + 1e-9
