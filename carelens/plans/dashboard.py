@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens import schema as S
+from carelens.functions.scalars import volume_tier
 from carelens.plans import metrics as M
 from carelens.operators.star import Star
 
 
 def dashboard(star: Star, state: str | None = None, cache: bool = False) -> dict[str, DataFrame]:
-    shared = (M._readmission(star.performance_data)
+    shared = (M.readmission_facts(star.performance_data)
               .select("performance_id", "facility_id", "measure_id", "score", "denominator")
-              .join(M._hospitals(star, None, "state", "facility_name", "city_town"), "facility_id"))
+              .join(M.hospitals_for(star, None, "state", "facility_name", "city_town"), "facility_id"))
     if cache:
         # MEMORY_AND_DISK: a lost block is recomputed from the stored tables.
         shared = shared.persist(StorageLevel.MEMORY_AND_DISK)
@@ -32,18 +33,18 @@ def dashboard(star: Star, state: str | None = None, cache: bool = False) -> dict
         "national_performance": M.national_breakdown(star, state, order="category"),
         "performance_by_volume": (
             local.filter(F.col("denominator").isNotNull())
-            .select(M.X.volume_tier("denominator", S.VOLUME_LABELS_SHORT).alias("tier"), "score")
-            .groupBy("tier").agg(M._avg2("score").alias("average_score")).orderBy("tier")),
+            .select(volume_tier("denominator", S.VOLUME_LABELS_SHORT).alias("tier"), "score")
+            .groupBy("tier").agg(M.avg2("score").alias("average_score")).orderBy("tier")),
         "top_hospitals": M.worst_hospitals(star, state),
         "worst_measures": (
             local.join(star.dim("measures", "measure_id", "measure_name"), "measure_id")
             .groupBy("measure_name")
             .agg(F.count("performance_id").alias("number_of_hospitals_reporting"),
-                 M._avg2("score").alias("average_score"))
+                 M.avg2("score").alias("average_score"))
             .orderBy(F.desc("average_score"), "measure_name").limit(S.TOP_K)),
         "performance_by_state": (
             shared.groupBy("state")
-            .agg(M._avg2("score").alias("average_state_score"),
+            .agg(M.avg2("score").alias("average_state_score"),
                  F.count_distinct("facility_id").alias("_n"))
             .filter(F.col("_n") > S.STATE_MIN_HOSPITALS).drop("_n")),
         "state_details": (
@@ -51,7 +52,7 @@ def dashboard(star: Star, state: str | None = None, cache: bool = False) -> dict
             .agg(F.count_distinct("facility_id").alias("number_of_hospitals"),
                  F.sum("denominator").alias("total_patient_volume"),
                  F.min("score").alias("min_score"), F.max("score").alias("max_score"),
-                 M._avg2("score").alias("average_score"))
+                 M.avg2("score").alias("average_score"))
             .filter(F.col("number_of_hospitals") > S.STATE_MIN_HOSPITALS)
             .orderBy(F.desc("average_score"), "state")),
     }

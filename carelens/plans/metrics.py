@@ -19,11 +19,12 @@ from carelens.operators.star import Star
 from carelens.sources.tables import FAMILY_COLUMN
 
 
-def _avg2(c: str) -> Column:
+def avg2(c: str) -> Column:
+    """ROUND(AVG(c), 2), half away from zero."""
     return X.round_half_away(F.avg(c), 2)
 
 
-def _readmission(df: DataFrame) -> DataFrame:
+def readmission_facts(df: DataFrame) -> DataFrame:
     """score IS NOT NULL and measure_id in the readmission families.
 
     On a stored fact the same test on the partition column prunes folders.
@@ -34,7 +35,8 @@ def _readmission(df: DataFrame) -> DataFrame:
     return df.filter(cond)
 
 
-def _hospitals(star: Star, state: str | None, *cols: str) -> DataFrame:
+def hospitals_for(star: Star, state: str | None, *cols: str) -> DataFrame:
+    """facility_id plus ``cols`` of the hospitals, of one state if given, ready to join."""
     out = ["facility_id", *[c for c in cols if c != "facility_id"]]
     if not state:
         return star.dim("hospitals", *out)
@@ -63,7 +65,7 @@ def national_breakdown(star: Star, state: str | None = None, order: str = "count
     else:
         base = facts.agg(F.count(F.lit(1))).scalar()
         j = (facts.filter(cat != "").select("facility_id", "performance_category")
-             .join(_hospitals(star, state), "facility_id"))
+             .join(hospitals_for(star, state), "facility_id"))
         out = (j.groupBy("performance_category")
                .agg(F.count(F.lit(1)).alias("number_of_measures"))
                .withColumn("percentage", X.mysql_share_percent("number_of_measures", base)))
@@ -81,14 +83,14 @@ def worst_measures(star: Star, state: str | None = None, join_hospitals: bool =
     The stand-alone form joins measures only; the dashboard form always joins
     hospitals too (so facts of unknown facilities drop) and takes a state.
     """
-    f = _readmission(star.performance_data).select(
+    f = readmission_facts(star.performance_data).select(
         "performance_id", "facility_id", "measure_id", "score")
     if join_hospitals or state:
-        f = f.join(_hospitals(star, state), "facility_id")
+        f = f.join(hospitals_for(star, state), "facility_id")
     f = f.join(star.dim("measures", "measure_id", "measure_name"), "measure_id")
     return (f.groupBy("measure_name")
             .agg(F.count("performance_id").alias("number_of_hospitals_reporting"),
-                 _avg2("score").alias("average_score"))
+                 avg2("score").alias("average_score"))
             .orderBy(F.desc("average_score"), "measure_name")
             .limit(k))
 
@@ -101,7 +103,7 @@ def worst_hospitals(star: Star, state: str | None = None,
     f = (star.performance_data
          .filter((F.col("measure_id") == measure_id) & F.col("score").isNotNull())
          .select("facility_id", "score"))
-    h = _hospitals(star, state, "facility_name", "city_town", "state")
+    h = hospitals_for(star, state, "facility_name", "city_town", "state")
     return (f.join(h, "facility_id")
             .select("facility_name", "city_town", "state", "score")
             .distinct()
@@ -112,15 +114,15 @@ def worst_hospitals(star: Star, state: str | None = None,
 # --- N7, N8, N9 -------------------------------------------------------------
 
 def _by_state(star: Star) -> DataFrame:
-    f = _readmission(star.performance_data).select("facility_id", "score", "denominator")
-    return f.join(_hospitals(star, None, "state"), "facility_id")
+    f = readmission_facts(star.performance_data).select("facility_id", "score", "denominator")
+    return f.join(hospitals_for(star, None, "state"), "facility_id")
 
 
 def state_scores(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
     """Average readmission score per state with enough facilities."""
     return (_by_state(star).groupBy("state")
             .agg(F.count_distinct("facility_id").alias("number_of_hospitals"),
-                 _avg2("score").alias("average_state_score"))
+                 avg2("score").alias("average_state_score"))
             .filter(F.col("number_of_hospitals") > min_hospitals)
             .orderBy(F.desc("average_state_score"), "state"))
 
@@ -128,7 +130,7 @@ def state_scores(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> Data
 def state_map(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
     """Per-state average for the map; the facility count only filters."""
     return (_by_state(star).groupBy("state")
-            .agg(_avg2("score").alias("average_state_score"),
+            .agg(avg2("score").alias("average_state_score"),
                  F.count_distinct("facility_id").alias("_n"))
             .filter(F.col("_n") > min_hospitals)
             .drop("_n"))
@@ -141,7 +143,7 @@ def state_details(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> Dat
                  F.sum("denominator").alias("total_patient_volume"),
                  F.min("score").alias("min_score"),
                  F.max("score").alias("max_score"),
-                 _avg2("score").alias("average_score"))
+                 avg2("score").alias("average_score"))
             .filter(F.col("number_of_hospitals") > min_hospitals)
             .orderBy(F.desc("average_score"), "state"))
 
@@ -168,21 +170,21 @@ def common_footnotes(star: Star, k: int = S.TOP_K) -> DataFrame:
 
 def volume_tiers(star: Star) -> DataFrame:
     """Average score per volume tier, long labels, no hospitals join."""
-    f = _readmission(star.performance_data).filter(F.col("denominator").isNotNull())
+    f = readmission_facts(star.performance_data).filter(F.col("denominator").isNotNull())
     return (f.select(X.volume_tier("denominator", S.VOLUME_LABELS_LONG).alias("hospital_volume_tier"),
                      "score")
             .groupBy("hospital_volume_tier")
-            .agg(F.count(F.lit(1)).alias("number_of_measures"), _avg2("score").alias("average_score"))
+            .agg(F.count(F.lit(1)).alias("number_of_measures"), avg2("score").alias("average_score"))
             .orderBy("average_score", "hospital_volume_tier"))
 
 
 def volume_tiers_by_state(star: Star, state: str | None = None) -> DataFrame:
     """Average score per volume tier, short labels, hospitals always joined."""
-    f = (_readmission(star.performance_data).filter(F.col("denominator").isNotNull())
+    f = (readmission_facts(star.performance_data).filter(F.col("denominator").isNotNull())
          .select("facility_id", "denominator", "score")
-         .join(_hospitals(star, state), "facility_id"))
+         .join(hospitals_for(star, state), "facility_id"))
     return (f.select(X.volume_tier("denominator", S.VOLUME_LABELS_SHORT).alias("tier"), "score")
-            .groupBy("tier").agg(_avg2("score").alias("average_score"))
+            .groupBy("tier").agg(avg2("score").alias("average_score"))
             .orderBy("tier"))
 
 
@@ -211,7 +213,7 @@ def kpi_summary(star: Star) -> DataFrame:
     """Facility and measure counts from the dimensions and the national
     readmission average without a hospitals join, as one row (N14, U2)."""
     measures = star.measures.agg(F.count_distinct("measure_id")).scalar()
-    avg = _readmission(star.performance_data).agg(_avg2("score")).scalar()
+    avg = readmission_facts(star.performance_data).agg(avg2("score")).scalar()
     return star.hospitals.agg(F.count_distinct("facility_id").alias("total_hospitals")).select(
         "total_hospitals", measures.alias("total_measures"),
         avg.alias("average_readmission_score"))
@@ -225,8 +227,8 @@ def kpis(star: Star, state: str | None = None) -> DataFrame:
     h = star.hospitals
     if state:
         h = h.filter(F.col("state") == state)
-    f = (_readmission(star.performance_data).select("facility_id", "score")
-         .join(_hospitals(star, state), "facility_id"))
-    avg = f.agg(_avg2("score")).scalar()
+    f = (readmission_facts(star.performance_data).select("facility_id", "score")
+         .join(hospitals_for(star, state), "facility_id"))
+    avg = f.agg(avg2("score")).scalar()
     return h.agg(F.count_distinct("facility_id").alias("total_hospitals")).select(
         "total_hospitals", avg.alias("average_readmission_score"))
