@@ -124,3 +124,15 @@ def test_breakdown_check_agrees_with_national_breakdown(spark, sf001, star):
     for k in n1:
         assert n1[k][0] == c4[k][0]
         assert abs(n1[k][1] - c4[k][1]) <= 0.1 + 1e-9
+
+
+def test_metric_summary_exact_and_approximate(spark):
+    from carelens.operators.quality import metric_summary
+    vals = [(float(i), float(i % 7), i % 5) for i in range(1, 1001)] + [(None, None, None)]
+    df = spark.createDataFrame(vals, "score double, denominator double, number_of_patients int")
+    exact = {r.variable: r for r in metric_summary(df).collect()}
+    s = exact["score"]
+    assert (s.min, s.q1, s.median, s.q3, s.max, s.missing) == (1.0, 250.75, 500.5, 750.25, 1000.0, 1)
+    approx = {r.variable: r for r in metric_summary(df, approximate=True).collect()}
+    assert abs(approx["score"].median - 500.5) <= 1.0
+    assert approx["number_of_patients"].missing == 1
