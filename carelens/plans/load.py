@@ -36,8 +36,9 @@ def star_from_raw(raw: DataFrame, order_cols: list[str],
 
 # --- the driver's tables ------------------------------------------------------
 
-_STORED: dict[tuple[str, str], Star] = {}
-_NUMBERED: dict[tuple[str, str], DataFrame] = {}
+# Per application, checkpoint folder and data folder.
+_STORED: dict[tuple[str, str, str], Star] = {}
+_NUMBERED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def fixture_visits(spark, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def fixture_numbered_visits(spark, sf_dir: str) -> DataFrame:
     and data folder (its output is a stored table, the result reads it)."""
     from carelens.session import checkpoint_dir
     from carelens.sources.fixtures import ORDER_KEY, raw_visits
-    key = (checkpoint_dir(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), sf_dir.rstrip("/"))
     if key not in _NUMBERED:
         _NUMBERED[key] = numbered_visits(raw_visits(spark, sf_dir), ORDER_KEY)
     return _NUMBERED[key]
@@ -68,7 +69,7 @@ def stored_fixture_star(spark, sf_dir: str) -> Star:
     tables, as they would after a load."""
     from carelens.session import checkpoint_dir, scratch_path
     from carelens.sources.tables import load_star, save_star
-    key = (checkpoint_dir(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), sf_dir.rstrip("/"))
     if key not in _STORED:
         path = scratch_path(spark, "star")
         save_star(fixture_star(spark, sf_dir), path)
