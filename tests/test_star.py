@@ -42,10 +42,14 @@ def test_dimension_keys_unique(star):
         assert df.count() == df.select(key).distinct().count()
 
 
-def test_hospitals_take_first_row(star):
-    # the hospital's telephone comes from its row with the smallest id
-    first = (star.performance_data.groupBy("facility_id").agg(F.min("performance_id").alias("pid")))
-    assert star.hospitals.count() == first.count()
+def test_hospitals_take_first_row(spark, sf001, star):
+    # each hospital's telephone comes from its row with the smallest id
+    v = L.fixture_numbered_visits(spark, sf001)
+    first = (v.groupBy("facility_id").agg(F.min(S.ROW_ID).alias(S.ROW_ID))
+             .join(v, ["facility_id", S.ROW_ID]).select("facility_id", "telephone_number"))
+    got = star.hospitals.select("facility_id", "telephone_number")
+    assert first.count() == got.count()
+    assert got.exceptAll(first).count() == 0
 
 
 def test_junction_keys_exist_in_fact(star):
