@@ -40,21 +40,29 @@ class Star:
         out = df.select(*cols) if cols else df
         return F.broadcast(out) if self._small[name] else out
 
-    def dim_selection(self, name: str, selected: DataFrame) -> DataFrame:
+    def dim_selection(self, name: str, selected: DataFrame, key: tuple | None = None) -> DataFrame:
         """A filtered projection of a dimension: broadcast if the whole table
         was checked small, else if the selection itself is checked small
-        (one state, one named facility); otherwise left to a shuffle join."""
+        (one state, one named facility); otherwise left to a shuffle join.
+        ``key`` names the selection so its check runs once."""
         self.dim(name)
         if self._small[name]:
             return F.broadcast(selected)
-        return broadcast_if_small(selected)
+        memo = (name, key) if key is not None else None
+        if memo is None or memo not in self._small:
+            small = broadcast_if_small(selected) is not selected
+            if memo is None:
+                return F.broadcast(selected) if small else selected
+            self._small[memo] = small
+        return F.broadcast(selected) if self._small[memo] else selected
 
     def replace(self, **changes: DataFrame) -> "Star":
         """A star with some tables swapped; size checks of the others are kept."""
         d = self.tables()
         d.update(changes)
         out = Star(**d)
-        out._small.update({k: v for k, v in self._small.items() if k not in changes})
+        out._small.update({k: v for k, v in self._small.items()
+                           if (k[0] if isinstance(k, tuple) else k) not in changes})
         return out
 
 

@@ -41,7 +41,7 @@ def hospitals_for(star: Star, state: str | None, *cols: str) -> DataFrame:
     if not state:
         return star.dim("hospitals", *out)
     h = star.hospitals.filter(F.col("state") == state).select(*out)
-    return star.dim_selection("hospitals", h)
+    return star.dim_selection("hospitals", h, key=("state", state))
 
 
 # --- N1, N2 -----------------------------------------------------------------
@@ -196,7 +196,8 @@ def hospital_profile(star: Star, facility_name: str) -> DataFrame:
     Rows with a NULL score are kept.
     """
     h = star.dim_selection("hospitals", star.hospitals.filter(
-        F.col("facility_name") == facility_name).select("facility_id"))
+        F.col("facility_name") == facility_name).select("facility_id"),
+        key=("facility_name", facility_name))
     f = star.performance_data.select(
         "facility_id", "measure_id", "score", "performance_category", "denominator",
         "number_of_patients_returned")
