@@ -54,7 +54,9 @@ def dense_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "temp_id",
     # Kept for the jobs that read the ids (a lost block is recomputed from the
     # stored table, with the same result).
     offsets = offsets.persist(StorageLevel.MEMORY_AND_DISK)
-    bound = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound = num_partitions or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 0))
     if bound <= MAX_BROADCAST_PARTITIONS:
         offsets = F.broadcast(offsets)
     out = stored.join(offsets, "_pid").select(
