@@ -44,9 +44,11 @@ def parse_mdy(x) -> Column:
 
 
 def pad_zip(x, width: int = S.ZIP_WIDTH) -> Column:
-    """Left-pad with zeros to ``width``; longer text is kept whole."""
+    """Left-pad with zeros to ``width``; longer text is kept whole; a blank
+    ZIP is missing (X5)."""
     x = _c(x)
-    return F.when(F.length(x) < width, F.lpad(x, width, "0")).otherwise(x)
+    return (F.when(F.length(x) == 0, F.lit(None).cast("string"))
+            .when(F.length(x) < width, F.lpad(x, width, "0")).otherwise(x))
 
 
 def categorize(x) -> Column:

@@ -34,9 +34,10 @@ def read_raw_visits(spark: SparkSession, path: str) -> DataFrame:
     """Read the raw extract: header row, every column as text.
 
     No schema inference: it would turn ids such as ``01014F`` or ZIPs such as
-    ``00501`` into numbers. Each row gets ``_src``, a stable source identity
-    (file split index and position, taken right at the scan), used only to
-    break ties between otherwise identical rows.
+    ``00501`` into numbers. Blank fields read as empty text. Each row gets
+    ``_src``, a stable source identity (file split index and position, taken
+    right at the scan), used only to break ties between otherwise identical
+    rows.
     """
     df = (spark.read.option("header", True).option("escape", '"')
           .option("mode", "PERMISSIVE").csv(path))
@@ -44,7 +45,15 @@ def read_raw_visits(spark: SparkSession, path: str) -> DataFrame:
     missing = [c for c in S.RAW_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"raw extract lacks columns {missing}")
-    return df.select(*S.RAW_COLUMNS, F.monotonically_increasing_id().alias(S.SOURCE_ID))
+    # Blank text stays blank text (the CSV reader would give NULL); the
+    # cleaning turns blanks in number, date and ZIP columns into NULL.
+    return df.select(*blank_as_text(S.RAW_COLUMNS),
+                     F.monotonically_increasing_id().alias(S.SOURCE_ID))
+
+
+def blank_as_text(columns: list[str]) -> list:
+    """Raw text columns with NULL (a blank field) read as empty text."""
+    return [F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns]
 
 
 def read_text_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

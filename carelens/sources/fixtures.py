@@ -123,6 +123,14 @@ ORDER_KEY = [
     "footnote", "start_date",
 ]
 
+# Header of a raw extract file as published (display names, normalised on read).
+EXTRACT_HEADER = [
+    "Facility ID", "Facility Name", "Address", "City/Town", "State", "ZIP Code", "County/Parish",
+    "Telephone Number", "Measure ID", "Measure Name", "Compared to National", "Denominator",
+    "Score", "Lower Estimate", "Higher Estimate", "Number of Patients",
+    "Number of Patients Returned", "Footnote", "Start Date", "End Date",
+]
+
 # Variant parameters (FIXTURES.md, "Variants").
 STATE_PARAM = "NATION_3"
 PROFILE_PARAM = "CUSTOMER#000000001"

@@ -28,6 +28,7 @@ from carelens.operators.joins import null_safe_anti_join
 from carelens.operators.keys import dense_row_ids
 from carelens.operators.star import Star, build_star
 from carelens.session import scratch_path
+from carelens.sources.csv import blank_as_text
 from carelens.sources.tables import FAMILY_COLUMN, TABLES, measure_family
 
 LOAD_ID = "load_id"
@@ -60,7 +61,8 @@ def load_batch(batch: DataFrame, star_path: str, load_id: int,
                order_cols: list[str] | None = None) -> dict[str, int]:
     """Clean one batch of raw rows and add it to the star under ``load_id``."""
     spark = batch.sparkSession
-    raw = batch.select(*S.RAW_COLUMNS, *([S.SOURCE_ID] if S.SOURCE_ID in batch.columns else []))
+    raw = batch.select(*blank_as_text(S.RAW_COLUMNS),
+                       *([S.SOURCE_ID] if S.SOURCE_ID in batch.columns else []))
     if S.SOURCE_ID not in raw.columns:
         raw = raw.withColumn(S.SOURCE_ID, F.monotonically_increasing_id())
     before = stored_before(spark, star_path, load_id)

@@ -40,7 +40,8 @@ def test_dates(spark):
 
 
 def test_zip_padding(spark):
-    assert one_col(spark, ["501", "123456", None, "02134"], X.pad_zip) == ["00501", "123456", None, "02134"]
+    assert one_col(spark, ["501", "123456", None, "02134", ""], X.pad_zip) == \
+        ["00501", "123456", None, "02134", None]
 
 
 def test_category_order_and_case(spark):
