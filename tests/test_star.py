@@ -140,3 +140,15 @@ def test_metric_summary_exact_and_approximate(spark):
     approx = {r.variable: r for r in metric_summary(df, approximate=True).collect()}
     assert abs(approx["score"].median - 500.5) <= 1.0
     assert approx["number_of_patients"].missing == 1
+
+
+def test_dense_ids_balance_a_hot_group(spark):
+    # half of the rows share one order key; the written partitions stay balanced
+    import tempfile
+    rows = [("HOT", i) for i in range(4000)] + [(f"k{i:05d}", 10_000 + i) for i in range(4000)]
+    df = spark.createDataFrame(rows, f"k string, {S.SOURCE_ID} long")
+    path = tempfile.mkdtemp(prefix="carelens-ids-") + "/t"
+    dense_row_ids(df, ["k", S.SOURCE_ID], num_partitions=8, path=path)
+    sizes = [r[1] for r in spark.read.parquet(path).groupBy("_pid").count().collect()]
+    assert sum(sizes) == 8000
+    assert max(sizes) <= 0.3 * 8000
