@@ -38,9 +38,18 @@ def null_if_token(x, token: str = S.NOT_APPLICABLE) -> Column:
 
 
 def parse_mdy(x) -> Column:
-    """Month/day/year text -> date; unparseable -> NULL."""
+    """Month/day/year text -> date; unparseable -> NULL.
+
+    Separators ``/``, ``-``, ``.`` and month names are taken; a two-digit
+    year is 20xx below the cutoff and 19xx from it on (Spark's ``yy`` alone
+    would put every two-digit year in 20xx).
+    """
     x = _c(x)
-    return F.coalesce(*[F.try_to_date(x, p) for p in S.INPUT_DATE_FORMATS])
+    four = [F.try_to_date(x, p) for p in S.INPUT_DATE_FORMATS]
+    two = F.coalesce(*[F.try_to_date(x, p) for p in S.INPUT_DATE_FORMATS_2DIGIT])
+    two = F.when(F.year(two) >= 2000 + S.TWO_DIGIT_YEAR_CUTOFF,
+                 F.add_months(two, -1200)).otherwise(two)
+    return F.coalesce(*four, two)
 
 
 def pad_zip(x, width: int = S.ZIP_WIDTH) -> Column:

@@ -49,8 +49,11 @@ STATE_MIN_HOSPITALS = 20
 TOP_K = 5
 # ZIP code width (left-padded with zeros).
 ZIP_WIDTH = 5
-# Date formats: input month/day/year, export day/month/year.
-INPUT_DATE_FORMATS = ["M/d/yyyy", "M-d-yyyy", "yyyy-M-d"]
+# Date formats: input month/day/year (four-digit, then two-digit years),
+# export day/month/year. Two-digit years from 69 on are 19xx, else 20xx.
+INPUT_DATE_FORMATS = ["M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
+INPUT_DATE_FORMATS_2DIGIT = ["M/d/yy", "M-d-yy", "M.d.yy"]
+TWO_DIGIT_YEAR_CUTOFF = 69
 EXPORT_DATE_FORMAT = "dd/MM/yyyy"
 # Default export name when no state is selected.
 NATIONAL = "national"

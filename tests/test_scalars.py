@@ -34,6 +34,12 @@ def test_not_applicable_then_int(spark):
     assert one_col(spark, ["Not Applicable", "5"], lambda c: X.lenient_int(X.null_if_token(c))) == [None, 5]
 
 
+def test_date_forms(spark):
+    got = one_col(spark, ["07-01-2021", "07.01.2021", "July 1, 2021", "Jul 1, 2021", "7/1/21",
+                          "1/2/75", "12/31/68", "2021-07-01", "02/30/2021"], X.parse_mdy)
+    assert got == [dt.date(2021, 7, 1)] * 5 + [dt.date(1975, 1, 2), dt.date(2068, 12, 31), None, None]
+
+
 def test_dates(spark):
     assert one_col(spark, ["07/01/2021", "7/1/2021", "13/45/2020", "", None], X.parse_mdy) == \
         [dt.date(2021, 7, 1), dt.date(2021, 7, 1), None, None, None]
