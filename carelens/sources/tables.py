@@ -104,3 +104,17 @@ def load_star_tables(spark: SparkSession, database: str | None = None, prefix: s
     def t(n):
         return spark.table(f"{database}.{prefix}{n}" if database else f"{prefix}{n}")
     return Star(**{n: t(n) for n in TABLES})
+
+
+def register_views(star: Star, prefix: str = "") -> list[str]:
+    """Expose the five tables as temporary views for ``spark.sql``.
+
+    Queries written against the star schema run unchanged on the views;
+    Catalyst plans them like the DataFrame reports (pushed filters, pruned
+    columns, the readmission filter on ``measure_family`` if added).
+    """
+    names = []
+    for name, df in star.tables().items():
+        df.createOrReplaceTempView(f"{prefix}{name}")
+        names.append(f"{prefix}{name}")
+    return names
