@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 DIMENSION_BROADCAST_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after proving the side has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap even
-    when the side is large; a large side is returned unhinted.
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Hint a broadcast only after proving the side has at most ``max_rows``
+    rows (default :data:`DIMENSION_BROADCAST_ROWS`); a larger side is returned
+    unhinted. The count needs no columns of a plain table (Parquet footers
+    answer it); a filtered side reads only the filter columns.
     """
+    if max_rows is None:
+        max_rows = DIMENSION_BROADCAST_ROWS
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

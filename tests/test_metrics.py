@@ -147,3 +147,26 @@ def test_sql_on_registered_views(spark, star):
         GROUP BY h.state HAVING number_of_hospitals > 1
         ORDER BY average_state_score DESC, state"""
     assert rows(spark.sql(sql)) == rows(M.state_scores(star, 1))
+
+
+def test_large_dimensions_are_shuffle_joined(spark, star, monkeypatch):
+    # beyond the size bound the reports run as shuffle joins, with equal results
+    import carelens.operators.joins as J
+    from tests.plan_report import plan_text
+    expected = {n: rows(f(star)) for n, f in [
+        ("details", M.state_details), ("worst", lambda s: M.worst_measures(s, "AA")),
+        ("profile", lambda s: M.hospital_profile(s, "H3"))]}
+    monkeypatch.setattr(J, "DIMENSION_BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = star.replace()
+        big._small.clear()
+        got = {"details": rows(M.state_details(big)), "worst": rows(M.worst_measures(big, "AA")),
+               "profile": rows(M.hospital_profile(big, "H3"))}
+        text = plan_text(M.state_details(big))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got == expected
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
