@@ -30,17 +30,18 @@ def clean_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_raw_visits(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_visits(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Read the raw extract: header row, every column as text.
 
     No schema inference: it would turn ids such as ``01014F`` or ZIPs such as
     ``00501`` into numbers. Blank fields read as empty text. Each row gets
     ``_src``, a stable source identity (file split index and position, taken
     right at the scan), used only to break ties between otherwise identical
-    rows.
+    rows. ``multiline=True`` allows line breaks inside quoted fields; such
+    files are read whole by one task each instead of in byte-range splits.
     """
     df = (spark.read.option("header", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("mode", "PERMISSIVE").option("multiLine", multiline).csv(path))
     df = df.toDF(*clean_names(df.columns))
     missing = [c for c in S.RAW_COLUMNS if c not in df.columns]
     if missing:
