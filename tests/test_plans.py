@@ -34,3 +34,10 @@ def test_fact_scans_are_column_pruned(plans):
     text = plans["volume_tiers"]
     schema = [l for l in text.splitlines() if l.startswith("ReadSchema:")][0]
     assert "facility_id" not in schema and "start_date" not in schema
+
+
+def test_profile_pushes_facility_ids_to_the_fact_scan(plans):
+    text = plans["hospital_profile"]
+    fact_scans = [b for b in text.split("Scan parquet")[1:] if "measure_id" in b.split("ReadSchema")[1][:200]]
+    assert any("EqualTo(facility_id," in b.split("ReadSchema")[0] or
+               "In(facility_id," in b.split("ReadSchema")[0] for b in fact_scans)
