@@ -37,7 +37,8 @@ def test_fact_scans_are_column_pruned(plans):
 
 
 def test_profile_pushes_facility_ids_to_the_fact_scan(plans):
-    text = plans["hospital_profile"]
-    fact_scans = [b for b in text.split("Scan parquet")[1:] if "measure_id" in b.split("ReadSchema")[1][:200]]
-    assert any("EqualTo(facility_id," in b.split("ReadSchema")[0] or
-               "In(facility_id," in b.split("ReadSchema")[0] for b in fact_scans)
+    import re
+    scans = re.findall(r"\(\d+\) Scan parquet.*?PushedFilters: ([^\n]*).*?ReadSchema: ([^\n]*)",
+                       plans["hospital_profile"], re.S)
+    fact = [pushed for pushed, schema in scans if "score" in schema]
+    assert fact and all("EqualTo(facility_id," in p or "In(facility_id," in p for p in fact)
