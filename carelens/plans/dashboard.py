@@ -14,8 +14,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelens import schema as S
-from carelens.functions.scalars import volume_tier
 from carelens.plans import metrics as M
 from carelens.operators.star import Star
 
@@ -31,29 +29,11 @@ def dashboard(star: Star, state: str | None = None, cache: bool = False) -> dict
     out = {
         "kpis": M.kpis(star, state),
         "national_performance": M.national_breakdown(star, state, order="category"),
-        "performance_by_volume": (
-            local.filter(F.col("denominator").isNotNull())
-            .select(volume_tier("denominator", S.VOLUME_LABELS_SHORT).alias("tier"), "score")
-            .groupBy("tier").agg(M.avg2("score").alias("average_score")).orderBy("tier")),
+        "performance_by_volume": M.volume_tiers_short_of(local),
         "top_hospitals": M.worst_hospitals(star, state),
-        "worst_measures": (
-            local.join(star.dim("measures", "measure_id", "measure_name"), "measure_id")
-            .groupBy("measure_name")
-            .agg(F.count("performance_id").alias("number_of_hospitals_reporting"),
-                 M.avg2("score").alias("average_score"))
-            .orderBy(F.desc("average_score"), "measure_name").limit(S.TOP_K)),
-        "performance_by_state": (
-            shared.groupBy("state")
-            .agg(M.avg2("score").alias("average_state_score"),
-                 F.count_distinct("facility_id").alias("_n"))
-            .filter(F.col("_n") > S.STATE_MIN_HOSPITALS).drop("_n")),
-        "state_details": (
-            shared.groupBy("state")
-            .agg(F.count_distinct("facility_id").alias("number_of_hospitals"),
-                 F.sum("denominator").alias("total_patient_volume"),
-                 F.min("score").alias("min_score"), F.max("score").alias("max_score"),
-                 M.avg2("score").alias("average_score"))
-            .filter(F.col("number_of_hospitals") > S.STATE_MIN_HOSPITALS)
-            .orderBy(F.desc("average_score"), "state")),
+        "worst_measures": M.worst_measures_of(
+            local.join(star.dim("measures", "measure_id", "measure_name"), "measure_id")),
+        "performance_by_state": M.state_map_of(shared),
+        "state_details": M.state_details_of(shared),
     }
     return out

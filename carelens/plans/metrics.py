@@ -87,8 +87,13 @@ def worst_measures(star: Star, state: str | None = None, join_hospitals: bool =
         "performance_id", "facility_id", "measure_id", "score")
     if join_hospitals or state:
         f = f.join(hospitals_for(star, state), "facility_id")
-    f = f.join(star.dim("measures", "measure_id", "measure_name"), "measure_id")
-    return (f.groupBy("measure_name")
+    return worst_measures_of(f.join(star.dim("measures", "measure_id", "measure_name"),
+                                    "measure_id"), k)
+
+
+def worst_measures_of(facts: DataFrame, k: int = S.TOP_K) -> DataFrame:
+    """N3/N4 aggregation over readmission facts that carry ``measure_name``."""
+    return (facts.groupBy("measure_name")
             .agg(F.count("performance_id").alias("number_of_hospitals_reporting"),
                  avg2("score").alias("average_score"))
             .orderBy(F.desc("average_score"), "measure_name")
@@ -129,7 +134,12 @@ def state_scores(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> Data
 
 def state_map(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
     """Per-state average for the map; the facility count only filters."""
-    return (_by_state(star).groupBy("state")
+    return state_map_of(_by_state(star), min_hospitals)
+
+
+def state_map_of(facts: DataFrame, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
+    """N8 aggregation over readmission facts that carry ``state``."""
+    return (facts.groupBy("state")
             .agg(avg2("score").alias("average_state_score"),
                  F.count_distinct("facility_id").alias("_n"))
             .filter(F.col("_n") > min_hospitals)
@@ -138,7 +148,12 @@ def state_map(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFra
 
 def state_details(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
     """Per-state facility count, volume, score range and average."""
-    return (_by_state(star).groupBy("state")
+    return state_details_of(_by_state(star), min_hospitals)
+
+
+def state_details_of(facts: DataFrame, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
+    """N9 aggregation over readmission facts that carry ``state``."""
+    return (facts.groupBy("state")
             .agg(F.count_distinct("facility_id").alias("number_of_hospitals"),
                  F.sum("denominator").alias("total_patient_volume"),
                  F.min("score").alias("min_score"),
@@ -183,7 +198,13 @@ def volume_tiers_by_state(star: Star, state: str | None = None) -> DataFrame:
     f = (readmission_facts(star.performance_data).filter(F.col("denominator").isNotNull())
          .select("facility_id", "denominator", "score")
          .join(hospitals_for(star, state), "facility_id"))
-    return (f.select(X.volume_tier("denominator", S.VOLUME_LABELS_SHORT).alias("tier"), "score")
+    return volume_tiers_short_of(f)
+
+
+def volume_tiers_short_of(facts: DataFrame) -> DataFrame:
+    """N12 aggregation over readmission facts joined to hospitals."""
+    return (facts.filter(F.col("denominator").isNotNull())
+            .select(X.volume_tier("denominator", S.VOLUME_LABELS_SHORT).alias("tier"), "score")
             .groupBy("tier").agg(avg2("score").alias("average_score"))
             .orderBy("tier"))
 
