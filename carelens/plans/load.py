@@ -6,6 +6,8 @@ the raw text); cleaning is row-preserving, so the id is carried through.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
 
 from carelens import schema as S
@@ -36,7 +38,8 @@ def star_from_raw(raw: DataFrame, order_cols: list[str],
 
 # --- the driver's tables ------------------------------------------------------
 
-# Per application, checkpoint folder and data folder.
+# Per application, checkpoint folder and data folder; one builder at a time.
+_LOCK = threading.RLock()
 _STORED: dict[tuple[str, str, str], Star] = {}
 _NUMBERED: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -53,9 +56,10 @@ def fixture_numbered_visits(spark, sf_dir: str) -> DataFrame:
     from carelens.session import checkpoint_dir
     from carelens.sources.fixtures import ORDER_KEY, raw_visits
     key = (spark.sparkContext.applicationId, checkpoint_dir(spark), sf_dir.rstrip("/"))
-    if key not in _NUMBERED:
-        _NUMBERED[key] = numbered_visits(raw_visits(spark, sf_dir), ORDER_KEY)
-    return _NUMBERED[key]
+    with _LOCK:
+        if key not in _NUMBERED:
+            _NUMBERED[key] = numbered_visits(raw_visits(spark, sf_dir), ORDER_KEY)
+        return _NUMBERED[key]
 
 
 def fixture_star(spark, sf_dir: str) -> Star:
@@ -70,8 +74,9 @@ def stored_fixture_star(spark, sf_dir: str) -> Star:
     from carelens.session import checkpoint_dir, scratch_path
     from carelens.sources.tables import load_star, save_star
     key = (spark.sparkContext.applicationId, checkpoint_dir(spark), sf_dir.rstrip("/"))
-    if key not in _STORED:
-        path = scratch_path(spark, "star")
-        save_star(fixture_star(spark, sf_dir), path)
-        _STORED[key] = load_star(spark, path)
-    return _STORED[key]
+    with _LOCK:
+        if key not in _STORED:
+            path = scratch_path(spark, "star")
+            save_star(fixture_star(spark, sf_dir), path)
+            _STORED[key] = load_star(spark, path)
+        return _STORED[key]
