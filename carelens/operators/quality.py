@@ -49,7 +49,7 @@ def metric_summary(visits: DataFrame, columns: list[str] = SUMMARY_COLUMNS,
 
 
 def breakdown_check(visits: DataFrame) -> DataFrame:
-    """Category shares over the categorised rows only (C4, R:118-124).
+    """Category shares over the categorised rows only (C4).
 
     The total is a window over the handful of grouped rows, never over the
     visits. Shares round half to even on the exact ratio.
