@@ -105,3 +105,13 @@ def test_kpi_labels(spark):
     from carelens.sources.export import KPI_FORMATS, formatted
     df = spark.createDataFrame([(1234, None)], "total_hospitals long, average_readmission_score double")
     assert tuple(formatted(df, KPI_FORMATS).first()) == ("1,234", "N/A")
+
+
+def test_jdbc_read_plan():
+    # only the option building is tested: no database may run here
+    from carelens.sources.jdbc import read_plan
+    assert read_plan("hospitals", 1, 100, 8) == {"dbtable": "hospitals"}
+    assert read_plan("performance_data", 1, 100, 8) == {
+        "dbtable": "performance_data", "partitionColumn": "performance_id",
+        "lowerBound": "1", "upperBound": "101", "numPartitions": "8"}
+    assert read_plan("performance_footnotes", None, None, 8) == {"dbtable": "performance_footnotes"}
