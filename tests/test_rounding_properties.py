@@ -40,3 +40,23 @@ def test_mysql_share_matches_decimal_arithmetic(spark, pairs):
 def test_half_even_share_matches_exact_ratio(spark, pairs):
     pairs, got = _spark_rows(spark, pairs, lambda p, t: X.half_even_share_percent(p, t, 1))
     assert got == [half_even_share(p, t) for p, t in pairs]
+
+
+NUMBERS = st.from_regex(r"\A\s{0,2}[+-]?([0-9]{1,12}\.?[0-9]{0,6}|\.[0-9]{1,6})([eE][+-]?[0-9]{1,2})?\s{0,2}\Z")
+TEXTS = st.lists(st.one_of(NUMBERS, st.text(max_size=8)), min_size=1, max_size=200)
+
+
+@settings(max_examples=8, deadline=None)
+@given(TEXTS)
+def test_lenient_double_matches_python_float(spark, texts):
+    import re
+    # Java's \s is ASCII whitespace (as R's is); Python's would also take U+0085 etc.
+    pattern = re.compile(X.NUMBER_PATTERN, re.ASCII)
+    want = [float(t.strip(" \t\n\r\f\v")) if pattern.match(t) else None for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = [r[0] for r in df.select(X.lenient_double("x")).collect()]
+    for t, g, w in zip(texts, got, want):
+        if w is None:
+            assert g is None, t
+        else:
+            assert g == w, t
