@@ -220,17 +220,21 @@ def hospital_profile(star: Star, facility_name: str) -> DataFrame:
     Rows with a NULL score are kept.
     """
     named = star.hospitals.filter(F.col("facility_name") == facility_name).select("facility_id")
-    h = star.dim_selection("hospitals", named, key=("facility_name", facility_name))
     f = star.performance_data.select(
         "facility_id", "measure_id", "score", "performance_category", "denominator",
         "number_of_patients_returned")
-    # A name matches a handful of facilities: with their ids as a literal
-    # filter the fact scan skips row groups by facility_id statistics (the
-    # stored fact is sorted by facility within files). The join stays, so the
-    # result is the same; above the bound only the join filters.
-    ids = [r[0] for r in named.distinct().limit(PROFILE_MAX_IDS + 1).collect()]
-    if len(ids) <= PROFILE_MAX_IDS:
-        f = f.filter(F.col("facility_id").isin(ids))
+    # A name matches a handful of facilities. Fetching at most the bound + 1
+    # of them both proves the selection small (so it is broadcast) and gives
+    # their ids as a literal filter, with which the fact scan skips row groups
+    # by facility_id statistics (the stored fact is sorted by facility within
+    # files). The join stays, so the result is the same; above the bound the
+    # selection is joined after its own size check.
+    picked = named.limit(PROFILE_MAX_IDS + 1).collect()
+    if len(picked) <= PROFILE_MAX_IDS:
+        f = f.filter(F.col("facility_id").isin(sorted({r[0] for r in picked})))
+        h = F.broadcast(named)
+    else:
+        h = star.dim_selection("hospitals", named, key=("facility_name", facility_name))
     return (f.join(h, "facility_id")
             .join(star.dim("measures", "measure_id", "measure_name"), "measure_id")
             .select("measure_name", "score", "performance_category", "denominator",
