@@ -17,6 +17,8 @@ therefore replaces its own output instead of adding it twice.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,8 +78,8 @@ def load_batch(batch: DataFrame, star_path: str, load_id: int,
     if before is not None:
         star = star.replace(**{n: null_safe_anti_join(getattr(star, n), getattr(before, n), k)
                                for n, k in KEYS.items()})
-    counts = {}
-    for name, df in star.tables().items():
+    def write(item):
+        name, df = item
         w = df.withColumn(LOAD_ID, F.lit(load_id).cast("long"))
         part = [LOAD_ID]
         if name == "performance_data":
@@ -85,8 +87,11 @@ def load_batch(batch: DataFrame, star_path: str, load_id: int,
             part.append(FAMILY_COLUMN)
         (w.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
           .partitionBy(*part).parquet(_table_path(star_path, name)))
-        counts[name] = _read(spark, star_path, name).filter(F.col(LOAD_ID) == load_id).count()
-    return counts
+        return name, _read(spark, star_path, name).filter(F.col(LOAD_ID) == load_id).count()
+
+    # the five writes are independent jobs over the same numbered batch
+    with ThreadPoolExecutor(max_workers=5) as pool:
+        return dict(pool.map(write, star.tables().items()))
 
 
 def start_incremental_load(spark: SparkSession, landing_dir: str, star_path: str,
