@@ -31,14 +31,13 @@ def id_bitmap(ids: DataFrame, col: str):
     return ids.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
 
-def keep_marked(df: DataFrame, bitmap, col: str) -> DataFrame:
-    """The rows of ``df`` whose ``col`` may be one of the ids."""
+def marked_rows(df: DataFrame, bitmap, col: str, marked: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``col`` may be one of the ids, or (``marked`` false) cannot be."""
     names = df.columns
 
     def run(batches):
-        marked = np.unpackbits(bitmap.value).view(bool)
+        bits = np.unpackbits(bitmap.value).view(bool) == marked
         for batch in batches:
-            keep = pa.array(marked[batch.column("_bit").to_numpy()])
-            yield batch.select(names).filter(keep)
+            yield batch.select(names).filter(pa.array(bits[batch.column("_bit").to_numpy()]))
 
     return df.withColumn("_bit", _bit(F.col(col))).mapInArrow(run, df.schema)

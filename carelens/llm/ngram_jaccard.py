@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import connected
-from .bitmap import id_bitmap, keep_marked
+from .bitmap import id_bitmap, marked_rows
 from .tables import remove, store
 
-TREES, DEPTH = 20, 8
+TREES, DEPTH = 32, 7
 BLOCK = 128
 EMPTY = b""
 
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k_words: int = 5, t
         one = full.join(ids, (full["key"] == ids["key"]) & full["doc_id"].eqNullSafe(ids["class_id"])).select(full["key"], full["doc_id"])
         one, p = store(one.distinct(), "candidates")
         tmp.append(p)
-        some = keep_marked(docs.select("doc_id", "text"), id_bitmap(one, "doc_id"), "doc_id")
+        some = marked_rows(docs.select("doc_id", "text"), id_bitmap(one, "doc_id"), "doc_id")
         texts = some.join(one, some["doc_id"].eqNullSafe(one["doc_id"])).select("key", "text")
         # doc_id may repeat with other texts: keep the text whose set is the key
         texts = texts.mapInArrow(_keep_own(k_words), "key binary, text string").dropDuplicates(["key"])

@@ -49,6 +49,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return store(df, name)[0]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate folders that no later result reads."""
     conf = spark._jsc.hadoopConfiguration()

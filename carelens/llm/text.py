@@ -24,7 +24,7 @@ def random_u64(name: str, n: int) -> np.ndarray:
     return np.frombuffer(hashlib.shake_256(name.encode()).digest(8 * n), dtype="<u8").copy()
 
 
-BYTE_VALUES = random_u64("bytes", 256) | U64(1)
+BYTE_VALUES = [random_u64(f"bytes {i}", 256) | U64(1) for i in range(2)]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
@@ -99,13 +99,13 @@ def words(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each byte span."""
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True, which: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span; ``which`` (0 or 1) gives a second, independent one."""
     if not len(start):
         return np.zeros(0, dtype=U64)
     up, down = powers(len(raw) + 1)
     c = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(BYTE_VALUES[LOWER[raw] if lower else raw] * up[:len(raw)], out=c[1:])
+    np.cumsum(BYTE_VALUES[which][LOWER[raw] if lower else raw] * up[:len(raw)], out=c[1:])
     return mix((c[end] - c[start]) * down[start] + (end - start).astype(U64))
 
 

@@ -1,0 +1,99 @@
+import random
+
+import numpy as np
+
+from carelens.llm import decontaminate as D
+
+SCHEMA = "item_id long, text string, doc_id string"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row
+
+
+def test_edit_distance_equals_brute_force():
+    r = random.Random(3)
+    for _ in range(40):
+        item = bytes(r.choice(b"abc") for _ in range(r.randint(5, 40)))
+        texts = []
+        for _ in range(12):
+            t = bytearray(item)
+            for _ in range(r.randint(0, 8)):
+                k, p = r.randrange(3), r.randrange(len(t) + 1)
+                t[p:p + (k != 0)] = b"" if k == 2 else bytes([r.choice(b"abc")])
+            texts.append(bytes(t) + bytes(r.choice(b"abc") for _ in range(r.randint(0, 10))))
+        limit = r.randint(0, 6)
+        width = len(item) + limit
+        body = np.array([list(t[:width].ljust(width, b"z")) for t in texts])
+        d, used = D.edit_distance(np.frombuffer(item, np.uint8), body, np.array([min(len(t), width) for t in texts]), limit)
+        for t, got, n in zip(texts, d, used):
+            best = min(distance(item, t[:width]))
+            assert got == min(best, limit + 1)
+            if got <= limit:
+                assert distance(item, t[:n])[-1] == got
+
+
+def edited(text, share, seed):
+    """At most ``share`` of the characters edited, one at a time."""
+    r, t = random.Random(seed), list(text)
+    for _ in range(int(share * len(text.replace(" ", "").replace("\n", "")))):
+        p = r.randrange(len(t))
+        t[p:p + 1] = r.choice([[], [t[p], "x"], ["y"]])
+    return "".join(t)
+
+
+def planted(prose, share, n=60):
+    items = [(i, prose(1000 + i, 20 + i % 30)) for i in range(n)]
+    docs = [(i, prose(i, 60) + " " + edited(items[i][1], share, i) + "\n" + prose(5000 + i, 60)) for i in range(n)]
+    return items, docs
+
+
+def test_exact_and_edited_passages_are_found(spark, make_docs, prose):
+    for share, least in ((0.0, 1.0), (0.03, 0.99), (0.07, 0.95)):
+        items, docs = planted(prose, share)
+        clean = [(100 + i, prose(9000 + i, 150)) for i in range(40)]
+        got = D.find_items(make_docs(docs + clean), spark.createDataFrame([(*x, "k") for x in items], SCHEMA)).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} <= {(i, i) for i in range(60)}
+        assert len(got) >= least * 60
+        for r in got:
+            stretch = dict(docs)[r["doc_id"]].encode()[r["start_byte"]:r["end_byte"]]
+            a, b = (bytes(x).lower().translate(None, b" \t\n\r\x0b\x0c") for x in (dict(items)[r["item_id"]].encode(), stretch))
+            assert distance(a, b)[-1] == r["distance"] <= 0.1 * len(a)
+
+
+def test_recall_against_brute_force_at_the_limit(spark, make_docs, prose):
+    """Passages edited up to the limit: of those within it by brute force at least 0.9 are found."""
+    items, docs = planted(prose, 0.095)
+    within = set()
+    for (i, item), (_, doc) in zip(items, docs):
+        a, b = (x.encode().lower().translate(None, b" \t\n\r\x0b\x0c") for x in (item, doc))
+        start = len(prose(i, 60).encode().translate(None, b" \t\n\r\x0b\x0c"))
+        if min(distance(a, b[start:start + len(a) + len(a) // 10])) <= 0.1 * len(a):
+            within.add(i)
+    got = {r["doc_id"] for r in D.find_items(make_docs(docs), spark.createDataFrame([(*x, "k") for x in items], SCHEMA)).collect()}
+    assert len(within) > 40 and len(got & within) >= 0.9 * len(within)
+
+
+def test_white_space_and_case_do_not_matter_and_blocks_agree(spark, make_docs, prose):
+    items = [(i, prose(i, 30)) for i in range(6)] + [(7, None), (8, ""), (9, "tiny"), (10, prose(0, 30))]
+    docs = [(1, "Öä " + prose(0, 30).upper().replace(" ", "\n\t")), (2, None), (3, ""), (None, prose(1, 30)), (5, "w " * 40_000 + prose(2, 30)),
+            (5, prose(2, 30)), (6, prose(77, 300))]
+    bench = spark.createDataFrame([(*x, "k") for x in items], SCHEMA)
+    want = sorted([(1, 0), (1, 10), (5, 2), (5, 2), (None, 1)], key=str)
+    for size in (1 << 20, 300):
+        got = D.find_items(make_docs(docs), bench, block_bytes=size).collect()
+        assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == want
+        kept = D.clean_documents(make_docs(docs), bench, block_bytes=size)
+        assert kept.columns == make_docs(docs).columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 6]
+
+
+def test_empty_tables(spark, make_docs, prose):
+    none = spark.createDataFrame([], SCHEMA)
+    assert D.find_items(make_docs([]), none).collect() == []
+    assert D.clean_documents(make_docs([(1, prose(1, 50))]), none).count() == 1
+    assert D.find_items(make_docs([]), spark.createDataFrame([(1, prose(1, 40), "k")], SCHEMA)).collect() == []
