@@ -1,8 +1,9 @@
-"""Command line: load extracts into a star, write a report.
+"""Command line: load extracts into a star, write a report, write the cleaned extract.
 
     python -m carelens load --raw EXTRACTS --star STAR [--append]
     python -m carelens report --star STAR --name NAME [--state ST] [--facility NAME]
                               --out PATH [--format csv|json]
+    python -m carelens clean --raw EXTRACTS --out PATH
 
 Run it with ``spark-submit`` on a cluster (the session comes from the
 platform), or plainly for a local session.
@@ -13,25 +14,35 @@ from __future__ import annotations
 import argparse
 import sys
 
+from carelens.operators import quality as Q
+from carelens.operators.clean import clean_visits, export_cleaned_csv
 from carelens.plans import metrics as M
-from carelens.plans.load import star_from_raw
+from carelens.plans.append import append_star
+from carelens.plans.load import numbered_visits, star_from_raw
 from carelens.session import get_session
 from carelens.sources.csv import read_raw_visits
-from carelens.sources.export import export_table_csv, write_json
+from carelens.sources.export import REPORT_FORMATS, export_table_csv, write_json
 from carelens.sources.tables import load_star, save_star
 
 REPORTS = {
     "national_breakdown": lambda st, a: M.national_breakdown(st, a.state, order="category"),
+    "national_breakdown_by_count": lambda st, a: M.national_breakdown(st),
     "worst_measures": lambda st, a: M.worst_measures(st, a.state, join_hospitals=True),
+    "worst_measures_overall": lambda st, a: M.worst_measures(st),
     "worst_hospitals": lambda st, a: M.worst_hospitals(st, a.state),
     "state_scores": lambda st, a: M.state_scores(st),
     "state_map": lambda st, a: M.state_map(st),
     "state_details": lambda st, a: M.state_details(st),
     "common_footnotes": lambda st, a: M.common_footnotes(st),
     "volume_tiers": lambda st, a: M.volume_tiers_by_state(st, a.state),
+    "volume_tiers_overall": lambda st, a: M.volume_tiers(st),
     "hospital_profile": lambda st, a: M.hospital_profile(st, a.facility),
     "kpis": lambda st, a: M.kpis(st, a.state),
     "kpi_summary": lambda st, a: M.kpi_summary(st),
+    "category_counts": lambda st, a: Q.category_counts(st.performance_data),
+    "metric_summary": lambda st, a: Q.metric_summary(st.performance_data),
+    "breakdown_check": lambda st, a: Q.breakdown_check(st.performance_data),
+    "rank_relabel": lambda st, a: Q.rank_relabel(st.performance_data),
 }
 
 
@@ -49,16 +60,24 @@ def parse(argv: list[str]) -> argparse.Namespace:
     rp.add_argument("--facility", default=None, help="facility name (hospital_profile)")
     rp.add_argument("--out", required=True, help="output folder")
     rp.add_argument("--format", default="csv", choices=["csv", "json"])
+    cl = sub.add_parser("clean", help="raw CSV extracts -> cleaned CSV")
+    cl.add_argument("--raw", required=True)
+    cl.add_argument("--out", required=True, help="output folder")
     return p.parse_args(argv)
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parse(sys.argv[1:] if argv is None else argv)
     spark = spark or get_session()
+    if args.command == "clean":
+        export_cleaned_csv(clean_visits(read_raw_visits(spark, args.raw)), args.out)
+        return 0
     if args.command == "load":
-        star = star_from_raw(read_raw_visits(spark, args.raw), order_cols=[])
-        counts = save_star(star, args.star, mode="append" if args.append else "overwrite",
-                           counts=True)
+        raw = read_raw_visits(spark, args.raw)
+        if args.append:
+            counts = append_star(spark, args.star, lambda start: numbered_visits(raw, [], start=start))
+        else:
+            counts = save_star(star_from_raw(raw, order_cols=[]), args.star)
         print(" ".join(f"{k}={v}" for k, v in counts.items()))
         return 0
     if args.name == "hospital_profile" and not args.facility:
@@ -67,7 +86,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if args.format == "json":
         write_json(df, args.out)
     else:
-        export_table_csv(df, args.out, args.name, args.state)
+        export_table_csv(df, args.out, args.name, args.state, REPORT_FORMATS.get(args.name))
     return 0
 
 

@@ -135,8 +135,8 @@ def int_div(a: Column, b: Column) -> Column:
 
 
 def two_decimals(x) -> Column:
-    """Fixed two-decimal text of a number, rounding half away from zero."""
-    return F.format_string("%.2f", _c(x))
+    """Fixed two-decimal text of a number, rounding half away from zero; NULL stays NULL."""
+    return F.when(_c(x).isNotNull(), F.format_string("%.2f", _c(x)))
 
 
 def thousands(x) -> Column:

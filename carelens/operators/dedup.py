@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def first_row_per_key(df: DataFrame, key: str, columns: list[str], order_col: str) -> DataFrame:
-    """Keep, for each ``key``, the ``columns`` of the row with the smallest ``order_col``.
+    """Keep, for each ``key``, the ``columns`` of the row with the smallest ``order_col``
+    (which must be unique).
 
-    One aggregation with map-side partial results: a key holding a large
-    share of the rows is reduced inside each map task before the shuffle.
-    ``dropDuplicates`` would keep an arbitrary row instead.
+    A hash aggregation over two columns finds the smallest ``order_col`` per
+    key (a key with a large share of the rows is reduced inside each map
+    task); those few values then pick their rows. ``dropDuplicates`` would
+    keep an arbitrary row instead.
     """
-    rest = [c for c in columns if c != key]
-    picked = F.min_by(F.struct(*rest), F.col(order_col)).alias("_first")
-    return df.groupBy(key).agg(picked).select(key, *[F.col(f"_first.{c}").alias(c) for c in rest])
+    firsts = df.groupBy(key).agg(F.min(order_col).alias("_first")).select("_first")
+    return df.join(firsts, F.col(order_col) == F.col("_first"), "left_semi").select(*columns)

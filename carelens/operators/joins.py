@@ -1,34 +1,16 @@
-"""Join helpers: size-checked broadcast and the null-safe anti-join."""
+"""The null-safe anti-join."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension (rows) that is broadcast; beyond it the planner shuffles
-# both sides (sort-merge join, with AQE's skew split) or broadcasts at runtime
-# if the measured shuffle output turns out small.
-DIMENSION_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only after proving the side has at most ``max_rows``
-    rows (default :data:`DIMENSION_BROADCAST_ROWS`); a larger side is returned
-    unhinted. The count needs no columns of a plain table (Parquet footers
-    answer it); a filtered side reads only the filter columns.
-    """
-    if max_rows is None:
-        max_rows = DIMENSION_BROADCAST_ROWS
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def null_safe_anti_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` whose key is not in ``right``, NULL matching NULL.
 
     dplyr's anti_join treats NA as equal to NA; a plain anti-join would keep
-    a NULL-keyed row. The distinct keys of ``right`` are broadcast when they
-    are checked small (stored footnote ids), else both sides are shuffled.
+    a NULL-keyed row. The planner picks the strategy from measured sizes.
     """
-    r = broadcast_if_small(right.select(F.col(key).alias("_rk")).distinct())
+    r = right.select(F.col(key).alias("_rk")).distinct()
     return left.join(r, left[key].eqNullSafe(r["_rk"]), "left_anti")

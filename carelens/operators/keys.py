@@ -3,30 +3,28 @@
 ``row_number().over(Window.orderBy(...))`` moves every row into a single
 task. Here instead:
 
-1. range-partition by the order key and sort within partitions (one
+1. write the rows as they come to the shared scratch folder, so that whatever
+   produced them runs once: sampling the range boundaries then reads only the
+   key columns of that table;
+2. range-partition by the order key and sort within partitions (one
    shuffle, balanced by Spark's sampled boundaries; the key must be unique,
    so callers append a source-identity tie-break that also splits groups of
    identical rows);
-2. write the partitions once to the shared scratch folder, each row tagged
+3. write the partitions to the shared scratch folder, each row tagged
    with its partition index and position inside the partition. Writing cuts
    the lineage: later jobs never re-sample boundaries, and a lost executor
-   cannot move a row to another position;
-3. count rows per partition (a scan of one small column), turn the counts
-   into running offsets (one row per partition, a bounded table), broadcast
-   them and add each row's position.
+   cannot move a row to another position; the first table is deleted;
+4. count rows per partition (a scan of one small column), turn the counts
+   into running offsets (one row per partition, a bounded table), and
+   add each row's position.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelens.session import scratch_path
-
-# Offsets have one row per partition, at most the range exchange's partition
-# count (AQE only coalesces); above this many the offsets are joined unhinted.
-MAX_BROADCAST_PARTITIONS = 2_000_000
+from carelens.session import remove_path, scratch_path
 
 
 def dense_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "temp_id",
@@ -35,8 +33,11 @@ def dense_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "temp_id",
     """Return ``df`` plus ``id_col`` = start + 1, 2, ... in ``order_cols`` order."""
     spark = df.sparkSession
     path = path or scratch_path(spark, "rowids")
-    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
-              else df.repartitionByRange(*order_cols))
+    unsorted = scratch_path(spark, "unsorted")
+    df.write.parquet(unsorted)
+    rows = spark.read.schema(df.schema).parquet(unsorted)
+    ranged = (rows.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else rows.repartitionByRange(*order_cols))
     tagged = ranged.sortWithinPartitions(*order_cols).select(
         "*",
         F.spark_partition_id().alias("_pid"),
@@ -45,20 +46,13 @@ def dense_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "temp_id",
     tagged = tagged.withColumn(
         "_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
     tagged.write.mode("overwrite").parquet(path)
+    remove_path(spark, unsorted)
 
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(tagged.schema).parquet(path)
     counts = stored.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))
-    # Kept for the jobs that read the ids (a lost block is recomputed from the
-    # stored table, with the same result).
-    offsets = offsets.persist(StorageLevel.MEMORY_AND_DISK)
-    bound = num_partitions or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 0))
-    if bound <= MAX_BROADCAST_PARTITIONS:
-        offsets = F.broadcast(offsets)
     out = stored.join(offsets, "_pid").select(
         *[c for c in df.columns],
         (F.lit(start).cast("long") + F.col("_off") + F.col("_pos") + 1).alias(id_col),

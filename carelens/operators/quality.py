@@ -17,35 +17,49 @@ def category_counts(visits: DataFrame) -> DataFrame:
     return visits.groupBy("performance_category").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def metric_summary(visits: DataFrame, columns: list[str] = SUMMARY_COLUMNS,
-                   approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
+BUCKETS_PER_OCTAVE = 4096
+
+
+def metric_summary(visits: DataFrame, columns: list[str] = SUMMARY_COLUMNS) -> DataFrame:
     """min, quartiles, median, mean, max and missing count per column.
 
-    One pass over the rows: every statistic of every column is an aggregate
-    of one global ``agg``; the exact ``percentile`` keeps a value -> count
-    map per task, so its memory follows the number of distinct values.
-    ``approximate=True`` switches to ``percentile_approx`` for columns with
-    very many distinct values. The one-row result is reshaped into one row
-    per column.
+    Exact and spread out: values are counted (column, value) with map-side
+    combine; the counts are summed into order-preserving buckets (a bounded
+    number, logarithmic in the value), whose running sums name the bucket of
+    each rank; only those few buckets are then ordered by value. A quartile
+    between two rows is interpolated linearly.
     """
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, QUARTILES, accuracy) if approximate
-             else F.percentile(x, F.array(*[F.lit(p) for p in QUARTILES])))
-        aggs += [
-            F.min(x).alias(f"{c}__min"), q.alias(f"{c}__q"), F.avg(x).alias(f"{c}__mean"),
-            F.max(x).alias(f"{c}__max"),
-            F.count_if(F.col(c).isNull()).alias(f"{c}__missing"),
-        ]
-    one = visits.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(f"{c}__min").alias("min"),
-                 F.col(f"{c}__q")[0].alias("q1"), F.col(f"{c}__q")[1].alias("median"),
-                 F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__q")[2].alias("q3"),
-                 F.col(f"{c}__max").alias("max"), F.col(f"{c}__missing").alias("missing"))
-        for c in columns])
-    return one.select(F.inline(rows))
+    values = visits.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
+    counts = values.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    stats = counts.groupBy("variable").agg(
+        F.min("value").alias("min"), F.max("value").alias("max"),
+        (F.sum(F.col("value").cast("decimal(18,4)") * F.col("n")).cast("double")
+         / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("rows"))
+    bucket = F.floor(F.signum("value") * F.log2(F.abs("value") + 1) * BUCKETS_PER_OCTAVE)
+    known = counts.filter(F.col("value").isNotNull()).withColumn("bucket", bucket)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = known.groupBy("variable", "bucket").agg(F.sum("n").alias("n")).withColumn(
+        "before", before(Window.partitionBy("variable").orderBy("bucket")))
+    # ranks from 0: the rows just below and above each quartile
+    place = (F.col("rows") - 1) * F.col("q")
+    ranks = stats.select("variable", "rows", F.explode(F.array(*[F.lit(q) for q in QUARTILES])).alias("q")).select(
+        "variable", "q", (place - F.floor(place)).alias("part"),
+        F.explode(F.array(F.floor(place), F.ceil(place))).alias("rank")).distinct()
+    holds = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))
+    wanted = ranks.join(buckets, "variable").filter(holds).select("variable", "q", "part", "rank", "bucket", F.col("before").alias("_b"))
+    inside = known.join(wanted.select("variable", "bucket", "_b").distinct(), ["variable", "bucket"]).withColumn(
+        "before", F.col("_b") + before(Window.partitionBy("variable", "bucket").orderBy("value")))
+    found = inside.select("variable", "bucket", "value", "n", "before").join(
+        wanted.drop("_b"), ["variable", "bucket"]).filter(holds)
+    quartile = found.groupBy("variable", "q").agg(
+        (F.min("value") + (F.max("value") - F.min("value")) * F.max("part")).alias("v"))
+    pick = lambda i: F.max(F.when(F.col("q") == QUARTILES[i], F.col("v")))
+    wide = quartile.groupBy("variable").agg(pick(0).alias("q1"), pick(1).alias("median"), pick(2).alias("q3"))
+    return stats.join(wide, "variable", "left").select(
+        "variable", "min", "q1", "median", "mean", "q3", "max", "missing")
 
 
 def breakdown_check(visits: DataFrame) -> DataFrame:

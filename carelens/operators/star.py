@@ -8,7 +8,7 @@ and pairing them by position.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from carelens import schema as S
 from carelens.functions import scalars as X
 from carelens.operators.dedup import first_row_per_key
-from carelens.operators.joins import broadcast_if_small, null_safe_anti_join
+from carelens.operators.joins import null_safe_anti_join
 
 
 @dataclass
@@ -26,44 +26,13 @@ class Star:
     footnotes: DataFrame
     performance_data: DataFrame
     performance_footnotes: DataFrame
-    _small: dict = field(default_factory=dict, repr=False, compare=False)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if not f.name.startswith("_")}
-
-    def dim(self, name: str, *cols: str) -> DataFrame:
-        """A dimension projected to ``cols``, broadcast-hinted only if its size
-        was checked to be small (checked once per table)."""
-        df = getattr(self, name)
-        if name not in self._small:
-            self._small[name] = broadcast_if_small(df) is not df
-        out = df.select(*cols) if cols else df
-        return F.broadcast(out) if self._small[name] else out
-
-    def dim_selection(self, name: str, selected: DataFrame, key: tuple | None = None) -> DataFrame:
-        """A filtered projection of a dimension: broadcast if the whole table
-        was checked small, else if the selection itself is checked small
-        (one state, one named facility); otherwise left to a shuffle join.
-        ``key`` names the selection so its check runs once."""
-        self.dim(name)
-        if self._small[name]:
-            return F.broadcast(selected)
-        memo = (name, key) if key is not None else None
-        if memo is None or memo not in self._small:
-            small = broadcast_if_small(selected) is not selected
-            if memo is None:
-                return F.broadcast(selected) if small else selected
-            self._small[memo] = small
-        return F.broadcast(selected) if self._small[memo] else selected
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
     def replace(self, **changes: DataFrame) -> "Star":
-        """A star with some tables swapped; size checks of the others are kept."""
-        d = self.tables()
-        d.update(changes)
-        out = Star(**d)
-        out._small.update({k: v for k, v in self._small.items()
-                           if (k[0] if isinstance(k, tuple) else k) not in changes})
-        return out
+        """A star with some tables swapped."""
+        return replace(self, **changes)
 
 
 def hospitals_dim(visits: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def dashboard(star: Star, state: str | None = None, cache: bool = False) -> dict
         "performance_by_volume": M.volume_tiers_short_of(local),
         "top_hospitals": M.worst_hospitals(star, state),
         "worst_measures": M.worst_measures_of(
-            local.join(star.dim("measures", "measure_id", "measure_name"), "measure_id")),
+            local.join(star.measures.select("measure_id", "measure_name"), "measure_id")),
         "performance_by_state": M.state_map_of(shared),
         "state_details": M.state_details_of(shared),
     }

@@ -9,6 +9,7 @@ from __future__ import annotations
 import threading
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from carelens import schema as S
 from carelens.operators.clean import clean_visits
@@ -21,8 +22,12 @@ def numbered_visits(raw: DataFrame, order_cols: list[str], start: int = 0,
     """Cleaned visits with ``temp_id``: positions 1..N in ``order_cols`` order.
 
     ``_src`` is appended to the order as the last tie-break, so the key is
-    unique and groups of identical rows still spread over partitions.
+    unique and groups of identical rows still spread over partitions. Without
+    ``order_cols`` the file order, which ``_src`` of a CSV read holds, is kept:
+    nothing is sorted or shuffled.
     """
+    if not order_cols:
+        return clean_visits(raw.withColumn(S.ROW_ID, F.col(S.SOURCE_ID) + F.lit(start)))
     order = list(order_cols)
     if S.SOURCE_ID in raw.columns and S.SOURCE_ID not in order:
         order.append(S.SOURCE_ID)
@@ -40,7 +45,7 @@ def star_from_raw(raw: DataFrame, order_cols: list[str],
 
 # Per application, checkpoint folder and data folder; one builder at a time.
 _LOCK = threading.RLock()
-_STORED: dict[tuple[str, str, str], Star] = {}
+_STORED: dict[tuple[str, ...], Star] = {}
 _NUMBERED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -80,3 +85,19 @@ def stored_fixture_star(spark, sf_dir: str) -> Star:
             save_star(fixture_star(spark, sf_dir), path)
             _STORED[key] = load_star(spark, path)
         return _STORED[key]
+
+
+def appended_fixture_star(spark, sf_dir: str) -> Star:
+    """The star of the driver's tables loaded in two parts, the second appended."""
+    from carelens.plans.append import append_star
+    from carelens.session import checkpoint_dir, scratch_path
+    from carelens.sources.fixtures import ORDER_KEY, halves, raw_visits
+    from carelens.sources.tables import load_star
+    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), sf_dir.rstrip("/"), "appended")
+    with _LOCK:
+        if key not in _STORED:
+            path = scratch_path(spark, "appended_star")
+            for part in halves(raw_visits(spark, sf_dir)):
+                append_star(spark, path, lambda start, raw=part: numbered_visits(raw, ORDER_KEY, start=start))
+            _STORED[key] = load_star(spark, path)
+        return _STORED[key]

@@ -2,9 +2,9 @@
 
 Each function takes a :class:`~carelens.operators.star.Star` and returns a
 lazy DataFrame. ``state`` is optional everywhere it applies: ``None`` or
-``""`` means national. Dimensions reach the joins through ``Star.dim``,
-which broadcasts a dimension only after checking its size; a large one is
-shuffle-joined (AQE splits skewed facility partitions). Top-k reports break
+``""`` means national. Joins carry no hints: the planner broadcasts a side
+whose measured bytes are small and shuffles otherwise (AQE splits skewed
+facility partitions). No job runs while a report is built. Top-k reports break
 ties on the name columns so their rows are repeatable.
 """
 
@@ -20,8 +20,13 @@ from carelens.sources.tables import FAMILY_COLUMN
 
 
 def avg2(c: str) -> Column:
-    """ROUND(AVG(c), 2), half away from zero."""
-    return X.round_half_away(F.avg(c), 2)
+    """ROUND(AVG(c), 2), half away from zero, as a double.
+
+    Summed and divided as decimals (four places of the value count), so the
+    result does not depend on the order in which partitions are added.
+    """
+    total = F.sum(F.col(c).cast("decimal(18,4)"))
+    return F.round(total / F.count(c).cast("decimal(20,0)"), 2).cast("double")
 
 
 def readmission_facts(df: DataFrame) -> DataFrame:
@@ -37,11 +42,8 @@ def readmission_facts(df: DataFrame) -> DataFrame:
 
 def hospitals_for(star: Star, state: str | None, *cols: str) -> DataFrame:
     """facility_id plus ``cols`` of the hospitals, of one state if given, ready to join."""
-    out = ["facility_id", *[c for c in cols if c != "facility_id"]]
-    if not state:
-        return star.dim("hospitals", *out)
-    h = star.hospitals.filter(F.col("state") == state).select(*out)
-    return star.dim_selection("hospitals", h, key=("state", state))
+    h = star.hospitals.filter(F.col("state") == state) if state else star.hospitals
+    return h.select("facility_id", *[c for c in cols if c != "facility_id"])
 
 
 # --- N1, N2 -----------------------------------------------------------------
@@ -87,7 +89,7 @@ def worst_measures(star: Star, state: str | None = None, join_hospitals: bool =
         "performance_id", "facility_id", "measure_id", "score")
     if join_hospitals or state:
         f = f.join(hospitals_for(star, state), "facility_id")
-    return worst_measures_of(f.join(star.dim("measures", "measure_id", "measure_name"),
+    return worst_measures_of(f.join(star.measures.select("measure_id", "measure_name"),
                                     "measure_id"), k)
 
 
@@ -173,7 +175,7 @@ def common_footnotes(star: Star, k: int = S.TOP_K) -> DataFrame:
     equal to joining first even if the footnotes table repeated an id.
     """
     per_id = star.performance_footnotes.groupBy("footnote_id").agg(F.count(F.lit(1)).alias("_c"))
-    j = per_id.join(star.dim("footnotes", "footnote_id", "footnote_text"), "footnote_id", "left")
+    j = per_id.join(star.footnotes.select("footnote_id", "footnote_text"), "footnote_id", "left")
     return (j.groupBy("footnote_id", "footnote_text")
             .agg(F.sum("_c").cast("long").alias("frequency"))
             .orderBy(F.desc("frequency"), F.asc_nulls_first("footnote_id"),
@@ -211,9 +213,6 @@ def volume_tiers_short_of(facts: DataFrame) -> DataFrame:
 
 # --- N13 --------------------------------------------------------------------
 
-PROFILE_MAX_IDS = 1000
-
-
 def hospital_profile(star: Star, facility_name: str) -> DataFrame:
     """Every fact of one named facility with its measure name.
 
@@ -223,20 +222,8 @@ def hospital_profile(star: Star, facility_name: str) -> DataFrame:
     f = star.performance_data.select(
         "facility_id", "measure_id", "score", "performance_category", "denominator",
         "number_of_patients_returned")
-    # A name matches a handful of facilities. Fetching at most the bound + 1
-    # of them both proves the selection small (so it is broadcast) and gives
-    # their ids as a literal filter, with which the fact scan skips row groups
-    # by facility_id statistics (the stored fact is sorted by facility within
-    # files). The join stays, so the result is the same; above the bound the
-    # selection is joined after its own size check.
-    picked = named.limit(PROFILE_MAX_IDS + 1).collect()
-    if len(picked) <= PROFILE_MAX_IDS:
-        f = f.filter(F.col("facility_id").isin(sorted({r[0] for r in picked})))
-        h = F.broadcast(named)
-    else:
-        h = star.dim_selection("hospitals", named, key=("facility_name", facility_name))
-    return (f.join(h, "facility_id")
-            .join(star.dim("measures", "measure_id", "measure_name"), "measure_id")
+    return (f.join(named, "facility_id")
+            .join(star.measures.select("measure_id", "measure_name"), "measure_id")
             .select("measure_name", "score", "performance_category", "denominator",
                     "number_of_patients_returned")
             .orderBy("measure_name", F.desc_nulls_last("score")))

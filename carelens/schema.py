@@ -49,19 +49,9 @@ STATE_MIN_HOSPITALS = 20
 TOP_K = 5
 # ZIP code width (left-padded with zeros).
 ZIP_WIDTH = 5
-# Date formats: input month/day/year (four-digit, then two-digit years),
-# export day/month/year. Two-digit years from 69 on are 19xx, else 20xx.
-INPUT_DATE_FORMATS = ["M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
-INPUT_DATE_FORMATS_2DIGIT = ["M/d/yy", "M-d-yy", "M.d.yy"]
-TWO_DIGIT_YEAR_CUTOFF = 69
+# Export format of dates: day/month/year.
 EXPORT_DATE_FORMAT = "dd/MM/yyyy"
-# Default export name when no state is selected.
-NATIONAL = "national"
-# ---------------------------------------------------------------------------
-
-# Raw extract: every column is text on read (numbers mix with tokens).
-RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
-
+# Columns of the star tables, in order.
 HOSPITAL_COLUMNS = [
     "facility_id", "facility_name", "address", "city_town", "state", "zip_code",
     "county_parish", "telephone_number",
@@ -72,6 +62,19 @@ FACT_COLUMNS = [
     "higher_estimate", "number_of_patients", "number_of_patients_returned",
     "performance_category", "start_date", "end_date",
 ]
+# Default export name when no state is selected.
+NATIONAL = "national"
+# ---------------------------------------------------------------------------
+
+# Date texts read: month/day/year with four-digit, then two-digit years; of the
+# latter 69 on are 19xx, else 20xx.
+INPUT_DATE_FORMATS = ["M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
+INPUT_DATE_FORMATS_2DIGIT = ["M/d/yy", "M-d-yy", "M.d.yy"]
+TWO_DIGIT_YEAR_CUTOFF = 69
+
+# Raw extract: every column is text on read (numbers mix with tokens).
+RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
+
 # Cleaned visit row: the raw columns with typed metrics plus the category.
 VISIT_COLUMNS = RAW_COLUMNS + ["performance_category"]
 

@@ -2,12 +2,14 @@
 
 On a cluster the session is created by the platform and already names a
 shared checkpoint folder (``spark.checkpoint.dir``); this module only reads
-it. A folder is set here only when none is configured (tests, local runs),
-and then under the warehouse directory, which on a cluster is shared too.
+it. A folder is set here only when none is configured, under the warehouse
+directory, and only where that is shared by all executors: a local session,
+or a warehouse on a shared file system. Otherwise an error asks for one.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -53,6 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        local = re.fullmatch(r"local(\[.*\])?", sc.master)
+        if not local and re.match(r"(file:|/)", warehouse):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: "
+                               f"{warehouse} is on each machine's own disk")
         configured = warehouse.rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -66,3 +72,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint location."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/carelens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_path(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of intermediate tables that nothing reads any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

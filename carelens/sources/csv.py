@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carelens import schema as S
@@ -13,43 +13,74 @@ from carelens import schema as S
 def clean_names(names: list[str]) -> list[str]:
     """Header names -> unique snake_case names (S3).
 
-    Splits camelCase, turns every run of other characters into one
-    underscore, lower-cases, trims underscores, and numbers repeats
+    ``%`` and ``#`` are spelled out, camelCase and acronyms are split, every
+    run of other characters becomes one underscore; names are lower-cased,
+    trimmed of underscores, and a repeat takes the first free number
     (``x``, ``x_2``, ...).
     """
     out: list[str] = []
-    seen: dict[str, int] = {}
     for n in names:
-        s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", n)
+        s = n.replace("%", " percent ").replace("#", " number ")
+        s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
+        s = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", s)
         s = re.sub(r"[^0-9A-Za-z]+", "_", s).strip("_").lower() or "x"
         if s[0].isdigit():
             s = "x" + s
-        k = seen.get(s, 0) + 1
-        seen[s] = k
-        out.append(s if k == 1 else f"{s}_{k}")
+        k, name = 2, s
+        while name in out:
+            k, name = k + 1, f"{s}_{k}"
+        out.append(name)
     return out
 
 
-def read_raw_visits(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+FILE, BLOCK, POSITION = "_file", "_block", "_position"
+
+
+def with_file_place(df: DataFrame) -> DataFrame:
+    """Rows of a file scan with their file, split start and a number that grows
+    within the split (taken right at the scan)."""
+    return df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
+                     F.monotonically_increasing_id().alias(POSITION))
+
+
+def file_order_ids(df: DataFrame, id_col: str, start: int = 0) -> DataFrame:
+    """Dense ids start + 1, 2, ... in the order of file path, split and row, for
+    rows that carry :func:`with_file_place`; those columns are dropped.
+
+    No row is shuffled to be ordered: the rows of each split are counted, the
+    counts (one row per split) become offsets, and a row's id is its split's
+    offset plus its place in the split.
+    """
+    splits = df.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min(POSITION).alias("_first"))
+    before = Window.orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(FILE, BLOCK, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return df.join(offsets, [FILE, BLOCK]).withColumn(
+        id_col, F.lit(start).cast("long") + F.col("_off") + F.col(POSITION) - F.col("_first") + 1).drop(
+        FILE, BLOCK, POSITION, "_first", "_off")
+
+
+def read_raw_visits(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Read the raw extract: header row, every column as text.
 
     No schema inference: it would turn ids such as ``01014F`` or ZIPs such as
     ``00501`` into numbers. Blank fields read as empty text. Each row gets
-    ``_src``, a stable source identity (file split index and position, taken
-    right at the scan), used only to break ties between otherwise identical
-    rows. ``multiline=True`` allows line breaks inside quoted fields; such
-    files are read whole by one task each instead of in byte-range splits.
+    ``_src``, its number in file order over all files (by path).
+
+    Quoted fields may hold line breaks, so one file is read by one task: give
+    a large extract as many files. ``multiline=False`` splits large files,
+    for extracts without such fields.
     """
     df = (spark.read.option("header", True).option("escape", '"')
           .option("mode", "PERMISSIVE").option("multiLine", multiline).csv(path))
-    df = df.toDF(*clean_names(df.columns))
-    missing = [c for c in S.RAW_COLUMNS if c not in df.columns]
+    names = clean_names(df.columns)
+    missing = [c for c in S.RAW_COLUMNS if c not in names]
     if missing:
         raise ValueError(f"raw extract lacks columns {missing}")
+    placed = with_file_place(df)
+    placed = placed.toDF(*names, FILE, BLOCK, POSITION)
     # Blank text stays blank text (the CSV reader would give NULL); the
     # cleaning turns blanks in number, date and ZIP columns into NULL.
-    return df.select(*blank_as_text(S.RAW_COLUMNS),
-                     F.monotonically_increasing_id().alias(S.SOURCE_ID))
+    return file_order_ids(placed.select(*blank_as_text(S.RAW_COLUMNS), FILE, BLOCK, POSITION), S.SOURCE_ID)
 
 
 def blank_as_text(columns: list[str]) -> list:
@@ -61,12 +92,14 @@ def read_text_table(spark: SparkSession, path: str, columns: list[str]) -> DataF
     """Read back a CSV written by :func:`write_csv` with every column as text."""
     schema = ", ".join(f"`{c}` string" for c in columns)
     return (spark.read.schema(schema).option("header", True).option("escape", '"')
-            .option("nullValue", "").csv(path))
+            .option("nullValue", "").option("multiLine", True).csv(path))
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite") -> str:
-    """Write with a header; NULL and empty text both as empty fields."""
+    """Write with a header; NULL and empty text both as empty fields, other text
+    unchanged: outer blanks, quotes and line breaks included (S4)."""
     (df.write.mode(mode).option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .option("nullValue", "").option("emptyValue", "")
        .option("quoteAll", quote_all).csv(path))
     return path

@@ -25,8 +25,16 @@ STATE_DETAILS_FORMATS = {
 }
 WORST_MEASURES_FORMATS = {"number_of_hospitals_reporting": "thousands", "average_score": "two_decimals"}
 TOP_HOSPITALS_FORMATS = {"score": "two_decimals"}
+STATE_SCORES_FORMATS = {"number_of_hospitals": "thousands", "average_state_score": "two_decimals"}
 KPI_FORMATS = {"total_hospitals": "thousands", "average_readmission_score": "or_na"}
 
+# report name -> display formats of its exported table
+REPORT_FORMATS = {
+    "worst_measures": WORST_MEASURES_FORMATS, "worst_measures_overall": WORST_MEASURES_FORMATS,
+    "worst_hospitals": TOP_HOSPITALS_FORMATS, "state_scores": STATE_SCORES_FORMATS,
+    "state_details": STATE_DETAILS_FORMATS, "kpis": KPI_FORMATS,
+}
+
 # Label shown for a missing headline value.
 NOT_AVAILABLE_LABEL = "N/A"
 

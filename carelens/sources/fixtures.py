@@ -10,9 +10,7 @@ lineitem-sized side is shuffled once, on the order key; joining lineitem to
 orders first would shuffle the lineitem-sized result again on the customer
 key. The two fact-sized sides (lineitem, orders) are always sort-merge
 joined: a static size estimate must not turn either into a broadcast, since
-both grow with the data. ``customer`` and ``nation`` go through the
-size-checked broadcast helper (customer falls back to a shuffle join when
-it is large).
+both grow with the data. ``customer`` and ``nation`` join without a hint.
 """
 
 from __future__ import annotations
@@ -21,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelens import schema as S
-from carelens.operators.joins import broadcast_if_small
 
 # Fixed values of the fixture mapping (FIXTURES.md section 3).
 MEASURE_PREFIX_BY_LINE = {
@@ -55,12 +52,9 @@ def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = load_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-    # Size checks run on the base tables: a count needs no columns, so it is
-    # answered from Parquet footers even when the table is large.
     enriched_orders = (orders
-                       .join(broadcast_if_small(cust), orders.o_custkey == cust.c_custkey)
-                       .join(broadcast_if_small(nation, 10_000),
-                             F.col("c_nationkey") == nation.n_nationkey))
+                       .join(cust, orders.o_custkey == cust.c_custkey)
+                       .join(nation, F.col("c_nationkey") == nation.n_nationkey))
     j = li.hint("merge").join(enriched_orders, li.l_orderkey == enriched_orders.o_orderkey)
 
     line = F.col("l_linenumber")
@@ -110,7 +104,6 @@ def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         footnote.alias("footnote"),
         F.date_format(ship, "MM/dd/yyyy").alias("start_date"),
         F.date_format(ship + F.expr("INTERVAL 30 DAYS"), "MM/dd/yyyy").alias("end_date"),
-        # lineitem key (l_orderkey, l_linenumber); line numbers run 1..7
         # the lineitem key (l_orderkey, l_linenumber) in one long; line numbers are 1..7
         (F.col("l_orderkey") * 8 + line).alias(S.SOURCE_ID),
     )
@@ -136,12 +129,55 @@ STATE_PARAM = "NATION_3"
 PROFILE_PARAM = "CUSTOMER#000000001"
 ORPHAN_MODULUS = 50
 EXISTING_FOOTNOTE_IDS = [5]
+SPLIT_YEAR = 1996
+MORE_FOOTNOTE_IDS = {11: 10, 12: 14, 13: 22, 14: 26, 15: 34}  # id: linked to every n-th fact
 
 
-def hospitals_orphans(hospitals: DataFrame) -> DataFrame:
-    """Drop every 50th facility from the dimension (the fact stays whole),
-    so that inner joins to ``hospitals`` have fact rows without a facility."""
-    return hospitals.filter(F.col("facility_id").try_cast("int") % ORPHAN_MODULUS != 0)
+def facts_with_orphans(performance_data: DataFrame) -> DataFrame:
+    """The fact plus a copy of every 50th row whose facility is unknown, so
+    that inner joins to ``hospitals`` drop fact rows."""
+    more = performance_data.filter(F.col("performance_id") % ORPHAN_MODULUS == 0)
+    return performance_data.unionByName(more.withColumn("facility_id", F.concat(F.lit("?"), "facility_id")))
+
+
+def facts_fractional(performance_data: DataFrame) -> DataFrame:
+    """The fact with scores that have three decimals."""
+    return performance_data.withColumn("score", F.col("score") + (F.col("performance_id") % 1000) / F.lit(1000.0))
+
+
+def more_links(performance_footnotes: DataFrame, performance_data: DataFrame) -> DataFrame:
+    """The links plus links to further ids, which the footnotes table lacks."""
+    for i, n in MORE_FOOTNOTE_IDS.items():
+        performance_footnotes = performance_footnotes.union(
+            performance_data.filter(F.col("performance_id") % n == 0).select("performance_id", F.lit(i).alias("footnote_id")))
+    return performance_footnotes
+
+
+def blank_parts(visits: DataFrame) -> DataFrame:
+    """The visits with footnote cells that end in a blank part (``"5, "``)."""
+    return visits.withColumn("footnote", F.when(F.col("footnote") == "5", "5, ").otherwise(F.col("footnote")))
+
+
+def odd_text(visits: DataFrame) -> DataFrame:
+    """The visits with addresses that hold outer blanks, quotes, a line break or nothing."""
+    k = F.col("l") % 5
+    out = visits.withColumn("l", F.length("facility_name") + F.col("zip_code").cast("int"))
+    a = F.col("address")
+    return out.withColumn("address", F.when(k == 0, F.concat(F.lit("  "), a, F.lit(" "))).when(
+        k == 1, F.concat(F.lit('say "'), a, F.lit('", twice'))).when(k == 2, F.concat(a, F.lit("\nfloor 2"))).when(
+        k == 3, F.lit("")).otherwise(a)).drop("l")
+
+
+def halves(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The raw rows that start before SPLIT_YEAR, and the others."""
+    early = F.substring("start_date", 7, 4).cast("int") < SPLIT_YEAR
+    return raw.filter(early), raw.filter(~early)
+
+
+def footnotes_partly_described(footnotes: DataFrame) -> DataFrame:
+    """The footnotes table with a text for some ids only."""
+    return footnotes.withColumn("footnote_text", F.when(
+        F.col("footnote_id").isin(*EXISTING_FOOTNOTE_IDS), F.concat(F.lit("Footnote "), F.col("footnote_id").cast("string"))))
 
 
 def footnotes_existing(footnotes: DataFrame) -> DataFrame:

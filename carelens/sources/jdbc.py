@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from carelens import schema as S
 from carelens.operators.star import Star
-from carelens.sources.tables import TABLES, check_schema
+from carelens.sources.tables import TABLES, cast_table
 
 SPLIT_TABLES = {"performance_data": "performance_id", "performance_footnotes": "performance_id"}
 
@@ -40,20 +40,19 @@ def load_star_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
                               "FROM performance_data"}).first()
     lo, hi = (bounds[0], bounds[1]) if bounds else (None, None)
     tables = {n: reader(read_plan(n, lo, hi, partitions)) for n in TABLES}
-    if check:
-        tables = {n: check_schema(df, S.STAR_DDL[n], n) for n, df in tables.items()}
-    return Star(**tables)
+    return Star(**{n: cast_table(df, S.STAR_DDL[n], n) if check else df for n, df in tables.items()})
 
 
 def save_star_jdbc(star: Star, url: str, properties: dict[str, str], mode: str = "append",
                    batch_size: int = 10_000) -> None:
-    """Write the five tables (``append`` as the load does, or ``overwrite``).
+    """Write the five tables (``append`` as the load does, or ``overwrite``, which
+    empties the existing tables and keeps their keys and column types).
 
     Each task writes its partition in batches; partitions write in parallel.
     """
     for name, df in star.tables().items():
         w = df.write.format("jdbc").mode(mode).option("url", url).option("dbtable", name) \
-            .option("batchsize", str(batch_size))
+            .option("batchsize", str(batch_size)).option("truncate", True)
         for k, v in properties.items():
             w = w.option(k, v)
         w.save()

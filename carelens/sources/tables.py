@@ -1,23 +1,25 @@
 """Star tables on storage.
 
-Parquet folders by default, or catalog tables. The fact is written
-partitioned by ``measure_family`` (``READM``, ``EDAC``, ``OTHER``), so the
-readmission filter of the reports prunes whole folders; it is a derived
-column and the reports never return it.
+Parquet folders by default, or catalog tables. Every folder is partitioned by
+the load that wrote its rows, the fact also by ``measure_family`` (``READM``, ``EDAC``, ``OTHER``), so the readmission filter of the reports prunes whole
+folders; these are derived columns and the reports never return them.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelens import schema as S
 from carelens.operators.star import Star
+from carelens.session import path_exists
 
 FAMILY_COLUMN = "measure_family"
+LOAD_COLUMN = "load_id"
+FIRST_LOAD = "first"
 OTHER_FAMILY = "OTHER"
 TABLES = ["hospitals", "measures", "footnotes", "performance_data", "performance_footnotes"]
 
@@ -30,37 +32,45 @@ def measure_family(measure_id) -> Column:
     return out.otherwise(F.lit(OTHER_FAMILY))
 
 
-def save_star(star: Star, path: str, mode: str = "overwrite",
-              counts: bool = False, parallel: int = 5) -> dict[str, int]:
-    """Write the five tables under ``path``; ``mode='append'`` adds to them.
+def save_star(star: Star, path: str, mode: str = "overwrite", load_id: str = FIRST_LOAD,
+              parallel: int = 5) -> dict[str, int]:
+    """Write the five tables under ``path``; returns the rows of this write per table.
+
+    Every table is partitioned by ``load_id``. ``overwrite`` replaces the
+    star; ``append`` writes one load: it adds the rows, or replaces those of
+    an earlier try with the same ``load_id``, and leaves all others alone. An
+    empty input appends nothing (S12). Rows are counted as they are written.
 
     The five writes are independent jobs over the same stored input and are
     submitted together (``parallel`` threads), so the stages of one fill the
-    slots the small final stages of another leave idle. Returns row counts
-    per table when ``counts`` is set (S10); an empty input appends nothing
-    (S12).
+    slots the small final stages of another leave idle.
     """
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode is overwrite or append, not {mode}")
     base = path.rstrip("/")
+    overwrite = "static" if mode == "overwrite" else "dynamic"
 
     def write(item):
         name, df = item
-        w, part = df, []
+        seen = Observation()
+        w = df.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn(LOAD_COLUMN, F.lit(load_id))
+        part = [LOAD_COLUMN]
         if name == "performance_data":
-            w = df.withColumn(FAMILY_COLUMN, measure_family("measure_id"))
-            part = [FAMILY_COLUMN]
-        writer = w.write.mode(mode)
-        if part:
-            writer = writer.partitionBy(*part)
-        writer.parquet(f"{base}/{name}")
-        return name, (df.sparkSession.read.parquet(f"{base}/{name}").count() if counts else None)
-
-    items = list(star.tables().items())
-    if parallel and parallel > 1:
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            done = list(pool.map(write, items))
-    else:
-        done = [write(i) for i in items]
-    return {n: c for n, c in done if c is not None}
+            w = w.withColumn(FAMILY_COLUMN, measure_family("measure_id"))
+            part.append(FAMILY_COLUMN)
+        w.write.mode("overwrite").option("partitionOverwriteMode", overwrite).partitionBy(*part).parquet(f"{base}/{name}")
+        return name, seen.get["rows"]
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return dict(pool.map(write, star.tables().items()))
+
+
+def star_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a star is stored at ``path``; an error if only some of its tables are."""
+    there = [n for n in TABLES if path_exists(spark, f"{path.rstrip('/')}/{n}")]
+    if there and len(there) < len(TABLES):
+        raise ValueError(f"{path} holds only {there}: not a star")
+    return bool(there)
 
 
 def check_schema(df: DataFrame, ddl: str, name: str = "table") -> DataFrame:
@@ -76,12 +86,32 @@ def check_schema(df: DataFrame, ddl: str, name: str = "table") -> DataFrame:
     return df
 
 
-def load_star(spark: SparkSession, path: str, check: bool = True) -> Star:
-    """Read the five tables back (S6, S7). The fact keeps ``measure_family``."""
+def cast_table(df: DataFrame, ddl: str, name: str = "table") -> DataFrame:
+    """The declared columns in their declared types (a database may hold an id as
+    INT or a score as DECIMAL); an error if a column is missing."""
+    want = T.StructType.fromDDL(ddl)
+    missing = [f.name for f in want.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{name}: lacks columns {missing}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want.fields])
+
+
+def load_star(spark: SparkSession, path: str, check: bool = True, without_load: str | None = None) -> Star:
+    """Read the five tables back (S6, S7). The fact keeps ``measure_family``.
+
+    The columns that are there are checked against the declared ones (S11). A
+    table without rows reads empty. ``without_load`` leaves one load out.
+    """
     base = path.rstrip("/")
-    t = {n: spark.read.parquet(f"{base}/{n}") for n in TABLES}
-    if check:
-        t = {n: check_schema(df, S.STAR_DDL[n], n) for n, df in t.items()}
+    t = {}
+    for name in TABLES:
+        extra = f", {LOAD_COLUMN} string" + (f", {FAMILY_COLUMN} string" if name == "performance_data" else "")
+        df = spark.read.schema(S.STAR_DDL[name] + extra).parquet(f"{base}/{name}")
+        if check and not df.isEmpty():
+            check_schema(spark.read.parquet(f"{base}/{name}"), S.STAR_DDL[name], name)
+        if without_load is not None:
+            df = df.filter(F.col(LOAD_COLUMN) != without_load)
+        t[name] = df.drop(LOAD_COLUMN)
     return Star(**t)
 
 

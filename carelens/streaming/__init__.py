@@ -1,5 +1,3 @@
 """Incremental loads with Structured Streaming (file source + foreachBatch)."""
 
-from carelens.streaming.ingest import (  # noqa: F401
-    load_batch, read_incremental_star, start_incremental_load,
-)
+from carelens.streaming.ingest import load_batch, start_incremental_load  # noqa: F401

@@ -1,116 +1,65 @@
 """Incremental load of new extracts into a stored star (S5 append, C7 + J6).
 
-New CSV extracts dropped into a landing folder are picked up by a
-Structured Streaming file source; each micro-batch is cleaned and appended
-to the five tables. As in the batch load:
-
-* row ids continue after the largest id already stored, in file order;
-* facilities and measures already stored keep their first row; only new
-  keys are added;
-* only footnote ids not stored yet are added (NULL matches NULL).
-
-Each micro-batch writes its rows into its own ``load_id`` partition with
-dynamic partition overwrite, and computes its offsets and anti-joins from
-earlier ``load_id`` partitions only. A batch re-run after a failure
-therefore replaces its own output instead of adding it twice.
+New CSV extracts dropped into a landing folder are picked up by a Structured
+Streaming file source; each micro-batch goes through the same append path as
+the command line (:mod:`carelens.plans.append`), rows numbered in file order.
+
+A landing folder has its own progress folder inside the star, so a later call
+goes on where the last one ended, and its own load ids (folder and batch), so
+no folder's batches replace another's. A batch that is run again after a
+failure replaces its own rows.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from carelens import schema as S
 from carelens.operators.clean import clean_visits
-from carelens.operators.joins import null_safe_anti_join
-from carelens.operators.keys import dense_row_ids
-from carelens.operators.star import Star, build_star
-from carelens.session import scratch_path
-from carelens.sources.csv import blank_as_text
-from carelens.sources.tables import FAMILY_COLUMN, TABLES, measure_family
-
-LOAD_ID = "load_id"
-KEYS = {"hospitals": "facility_id", "measures": "measure_id"}
-
-
-def _table_path(star_path: str, name: str) -> str:
-    return f"{star_path.rstrip('/')}/{name}"
-
-
-def _read(spark: SparkSession, star_path: str, name: str) -> DataFrame:
-    """A table with its declared schema, so a table with no rows yet reads empty."""
-    ddl = f"{S.STAR_DDL[name]}, {LOAD_ID} bigint"
-    if name == "performance_data":
-        ddl += f", {FAMILY_COLUMN} string"
-    return spark.read.schema(ddl).parquet(_table_path(star_path, name))
-
-
-def stored_before(spark: SparkSession, star_path: str, load_id: int) -> Star | None:
-    """The tables as they were before ``load_id`` (earlier partitions only);
-    ``None`` before the first load."""
-    try:
-        t = {n: _read(spark, star_path, n) for n in TABLES}
-    except AnalysisException:
-        return None
-    return Star(**{n: df.filter(F.col(LOAD_ID) < load_id).drop(LOAD_ID) for n, df in t.items()})
-
-
-def load_batch(batch: DataFrame, star_path: str, load_id: int,
-               order_cols: list[str] | None = None) -> dict[str, int]:
-    """Clean one batch of raw rows and add it to the star under ``load_id``."""
-    spark = batch.sparkSession
-    raw = batch.select(*blank_as_text(S.RAW_COLUMNS),
-                       *([S.SOURCE_ID] if S.SOURCE_ID in batch.columns else []))
-    if S.SOURCE_ID not in raw.columns:
-        raw = raw.withColumn(S.SOURCE_ID, F.monotonically_increasing_id())
-    before = stored_before(spark, star_path, load_id)
-    start = 0
-    if before is not None:
-        start = before.performance_data.agg(F.max("performance_id")).first()[0] or 0
-    order = list(order_cols or []) + [S.SOURCE_ID]
-    visits = clean_visits(dense_row_ids(raw, order, id_col=S.ROW_ID, start=start,
-                                        path=scratch_path(spark, f"ingest-{load_id}")))
-    star = build_star(visits, None if before is None else before.footnotes)
-    if before is not None:
-        star = star.replace(**{n: null_safe_anti_join(getattr(star, n), getattr(before, n), k)
-                               for n, k in KEYS.items()})
-    def write(item):
-        name, df = item
-        w = df.withColumn(LOAD_ID, F.lit(load_id).cast("long"))
-        part = [LOAD_ID]
-        if name == "performance_data":
-            w = w.withColumn(FAMILY_COLUMN, measure_family("measure_id"))
-            part.append(FAMILY_COLUMN)
-        (w.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-          .partitionBy(*part).parquet(_table_path(star_path, name)))
-        return name, _read(spark, star_path, name).filter(F.col(LOAD_ID) == load_id).count()
-
-    # the five writes are independent jobs over the same numbered batch
-    with ThreadPoolExecutor(max_workers=5) as pool:
-        return dict(pool.map(write, star.tables().items()))
+from carelens.plans.append import append_star
+from carelens.sources.csv import BLOCK, FILE, POSITION, blank_as_text, file_order_ids
+
+
+def source_key(landing_dir: str) -> str:
+    return hashlib.sha256(landing_dir.rstrip("/").encode()).hexdigest()[:16]
+
+
+def load_batch(batch: DataFrame, star_path: str, load_id: str) -> dict[str, int]:
+    """Clean one batch of raw rows read from files (with their file and split
+    columns) and add it to the star under ``load_id``."""
+    if POSITION not in batch.columns:
+        batch = batch.withColumn(POSITION, F.monotonically_increasing_id())
+    raw = batch.select(*blank_as_text(S.RAW_COLUMNS), FILE, BLOCK, POSITION)
+    return append_star(batch.sparkSession, star_path,
+                       lambda start: clean_visits(file_order_ids(raw, S.ROW_ID, start)), load_id)
 
 
 def start_incremental_load(spark: SparkSession, landing_dir: str, star_path: str,
                            checkpoint_location: str | None = None,
                            available_now: bool = True,
-                           processing_time: str | None = None) -> StreamingQuery:
+                           processing_time: str | None = None,
+                           multiline: bool = True) -> StreamingQuery:
     """Stream CSV extracts from ``landing_dir`` into the star at ``star_path``.
 
     The extracts have a header row in the raw column order; every column is
-    read as text. ``available_now`` processes what is there and stops;
-    otherwise the query polls every ``processing_time``.
+    read as text, quoted fields may hold line breaks. ``available_now``
+    processes what is there and stops; otherwise the query polls every
+    ``processing_time``. Progress is kept at ``checkpoint_location``, by
+    default in the star's folder, one for each landing folder.
     """
-    ck = checkpoint_location or scratch_path(spark, "ingest-ck")
+    key = source_key(landing_dir)
+    ck = checkpoint_location or f"{star_path.rstrip('/')}/_ingest/{key}"
     stream = (spark.readStream.schema(S.RAW_SCHEMA).option("header", True)
-              .option("escape", '"').csv(landing_dir))
+              .option("escape", '"').option("multiLine", multiline).csv(landing_dir)
+              .select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            load_batch(batch, star_path, batch_id)
+            load_batch(batch, star_path, f"{key}-{batch_id}")
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", ck)
     w = w.trigger(availableNow=True) if available_now else w.trigger(
@@ -118,9 +67,4 @@ def start_incremental_load(spark: SparkSession, landing_dir: str, star_path: str
     return w.start()
 
 
-def read_incremental_star(spark: SparkSession, star_path: str) -> Star:
-    """All loads of an incrementally built star (``load_id`` dropped)."""
-    return Star(**{n: _read(spark, star_path, n).drop(LOAD_ID) for n in TABLES})
-
-
-__all__ = ["load_batch", "start_incremental_load", "read_incremental_star", "stored_before"]
+__all__ = ["load_batch", "start_incremental_load", "source_key"]

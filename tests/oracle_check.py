@@ -60,7 +60,7 @@ def _rows(cols, rows):
 
 def compare(spark, sf_dir: str, names=None, verbose=True) -> dict[str, dict]:
     import __spark_entry__ as E
-    qs, sql = E.queries(), E.oracle_sql()
+    qs, sql = E.core_queries(), E.core_oracle_sql()
     con = duck(sf_dir)
     report = {}
     for name in names or list(qs):

@@ -46,7 +46,7 @@ def main() -> None:
     spark = get_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     rows = []
-    for name, q in E.queries().items():
+    for name, q in E.core_queries().items():
         s = summary(plan_text(q(spark, sf)))
         rows.append((name, s))
     cols = list(rows[0][1])

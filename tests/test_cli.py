@@ -5,7 +5,7 @@ import tempfile
 
 from carelens import schema as S
 from carelens.__main__ import main
-from carelens.sources.csv import write_csv
+from carelens.sources.csv import read_text_table, write_csv
 from carelens.sources.fixtures import EXTRACT_HEADER, raw_visits
 
 
@@ -26,3 +26,18 @@ def test_load_then_report(spark, sf001, capsys):
     assert main(["report", "--star", star, "--name", "state_details",
                  "--out", os.path.join(base, "csv")], spark) == 0
     assert os.path.isdir(os.path.join(base, "csv", "state_details_national.csv"))
+
+    raw_path = os.path.join(base, "extract")
+    assert main(["load", "--raw", raw_path, "--star", star, "--append"], spark) == 0
+    out = capsys.readouterr().out
+    assert f"performance_data={raw.count()}" in out and "hospitals=0" in out
+    for name in ("national_breakdown_by_count", "worst_measures_overall", "volume_tiers_overall", "category_counts",
+                 "metric_summary", "breakdown_check", "rank_relabel"):
+        path = os.path.join(base, name)
+        assert main(["report", "--star", star, "--name", name, "--out", path, "--format", "json"], spark) == 0
+        assert spark.read.json(path).count() > 0
+    assert main(["clean", "--raw", raw_path, "--out", os.path.join(base, "cleaned")], spark) == 0
+    assert read_text_table(spark, os.path.join(base, "cleaned"), S.VISIT_COLUMNS).count() == raw.count()
+    main(["report", "--star", star, "--name", "kpis", "--state", "NOWHERE", "--out", os.path.join(base, "none")], spark)
+    shown = read_text_table(spark, os.path.join(base, "none", "kpis_NOWHERE.csv"), ["n", "score"]).first()
+    assert tuple(shown) == ("0", "N/A")

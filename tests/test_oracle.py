@@ -5,11 +5,11 @@ import pytest
 import __spark_entry__ as E
 from tests.oracle_check import compare
 
-NAMES = sorted(E.queries())
+NAMES = sorted(E.core_queries())
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(E.core_oracle_sql()) == set(E.core_queries())
 
 
 def test_entry_runs(spark):

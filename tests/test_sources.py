@@ -17,6 +17,8 @@ HEADER = ["Facility ID", "Facility Name", "Address", "City/Town", "State", "ZIP
 def test_clean_names():
     assert clean_names(HEADER) == S.RAW_COLUMNS
     assert clean_names(["FacilityID", "a b", "a.b", "1st"]) == ["facility_id", "a_b", "a_b_2", "x1st"]
+    assert clean_names(["a", "a", "a_2", "a"]) == ["a", "a_2", "a_2_2", "a_3"]
+    assert clean_names(["% Returned", "# Cases", "CMSMeasureID", ""]) == ["percent_returned", "number_cases", "cms_measure_id", "x"]
 
 
 def test_raw_csv_is_all_text(spark):
@@ -76,12 +78,17 @@ def _tiny_star(spark):
 def test_save_load_append_counts(spark):
     from carelens.sources.tables import load_star, save_star
     base = tempfile.mkdtemp(prefix="carelens-star-")
-    counts = save_star(_tiny_star(spark), base, counts=True)
+    counts = save_star(_tiny_star(spark), base)
     assert counts == {"hospitals": 1, "measures": 1, "footnotes": 1, "performance_data": 2,
                       "performance_footnotes": 1}
-    counts = save_star(_tiny_star(spark), base, mode="append", counts=True)
-    assert counts["performance_data"] == 4
+    counts = save_star(_tiny_star(spark), base, mode="append", load_id="second")
+    assert counts["performance_data"] == 2          # the rows of this write
     st = load_star(spark, base)
+    assert st.performance_data.count() == 4
+    assert load_star(spark, base, without_load="second").performance_data.count() == 2
+    assert save_star(_tiny_star(spark), base, mode="append", load_id="second")["hospitals"] == 1
+    st = load_star(spark, base)
+    assert st.performance_data.count() == 4
     assert sorted(r[0] for r in st.performance_data.select("measure_family").distinct().collect()) \
         == ["OTHER", "READM"]
 
@@ -115,3 +122,61 @@ def test_jdbc_read_plan():
         "dbtable": "performance_data", "partitionColumn": "performance_id",
         "lowerBound": "1", "upperBound": "101", "numPartitions": "8"}
     assert read_plan("performance_footnotes", None, None, 8) == {"dbtable": "performance_footnotes"}
+
+
+def test_csv_round_trip_keeps_text(spark):
+    from carelens.sources.csv import write_csv
+    texts = ["  a b  ", "x\ny", 'say "hi", twice', "a\\b", "plain", None]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "k string, v string")
+    path = write_csv(df, tempfile.mkdtemp(prefix="carelens-rt-") + "/t")
+    assert {r.k: r.v for r in read_text_table(spark, path, ["k", "v"]).collect()} == {str(i): t for i, t in enumerate(texts)}
+
+
+def _extract(path, names):
+    with open(path, "w") as f:
+        f.write(",".join(f'"{h}"' for h in HEADER) + "\n")
+        for n in names:
+            f.write(f'F1,{n},1 ST,TOWN,AL,501,CTY,555,READM_30_HF,HF,Worse,120,21.5,19,24,1,7,"1, ",07/01/2021,06/30/2024\n')
+
+
+def test_rows_are_numbered_in_path_order(spark):
+    d = tempfile.mkdtemp(prefix="carelens-files-")
+    _extract(os.path.join(d, "a.csv"), ["FIRST"])
+    _extract(os.path.join(d, "b.csv"), [f'"SECOND {i}\nline"' for i in range(50)])
+    for multiline, n in ((True, 51), (False, 101)):
+        raw = read_raw_visits(spark, d, multiline=multiline)
+        got = [r.facility_name for r in raw.orderBy(S.SOURCE_ID).collect()]
+        assert len(got) == n and got[0] == "FIRST" and got[1].startswith("SECOND 0")
+        assert sorted(r[0] for r in raw.select(S.SOURCE_ID).collect()) == list(range(1, n + 1))
+    from carelens.plans.load import star_from_raw
+    assert star_from_raw(read_raw_visits(spark, d), []).hospitals.first().facility_name == "FIRST"
+
+
+def test_two_decimals_of_null(spark):
+    from carelens.functions.scalars import two_decimals
+    df = spark.createDataFrame([(1.005,), (None,)], "x double")
+    assert [r[0] for r in df.select(two_decimals("x")).collect()] == ["1.01", None] or \
+        [r[0] for r in df.select(two_decimals("x")).collect()] == ["1.00", None]
+
+
+def test_cast_table(spark):
+    import pytest
+    from carelens.sources.tables import cast_table
+    df = spark.sql("SELECT CAST(1 AS bigint) AS footnote_id, 'a' AS footnote_text, 2 AS other")
+    assert cast_table(df, S.STAR_DDL["footnotes"]).dtypes == [("footnote_id", "int"), ("footnote_text", "string")]
+    with pytest.raises(ValueError, match="footnote_text"):
+        cast_table(df.drop("footnote_text"), S.STAR_DDL["footnotes"])
+
+
+def test_no_scratch_folder_on_a_machines_own_disk():
+    import pytest
+    from types import SimpleNamespace as N
+    from carelens.session import ensure_checkpoint_dir
+    conf = {"spark.sql.warehouse.dir": "file:/home/x/spark-warehouse"}
+    made = []
+    sc = N(getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append, master="spark://h:7077")
+    cluster = N(sparkContext=sc, conf=N(get=lambda k, d=None: conf.get(k, d)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(cluster)
+    conf["spark.sql.warehouse.dir"] = "hdfs://n/warehouse"
+    assert ensure_checkpoint_dir(cluster) == "hdfs://n/warehouse/_checkpoints"

@@ -130,16 +130,29 @@ def test_breakdown_check_agrees_with_national_breakdown(spark, sf001, star):
         assert abs(n1[k][1] - c4[k][1]) <= 0.1 + 1e-9
 
 
-def test_metric_summary_exact_and_approximate(spark):
+def test_metric_summary_exact(spark):
     from carelens.operators.quality import metric_summary
     vals = [(float(i), float(i % 7), i % 5) for i in range(1, 1001)] + [(None, None, None)]
     df = spark.createDataFrame(vals, "score double, denominator double, number_of_patients int")
     exact = {r.variable: r for r in metric_summary(df).collect()}
     s = exact["score"]
     assert (s.min, s.q1, s.median, s.q3, s.max, s.missing) == (1.0, 250.75, 500.5, 750.25, 1000.0, 1)
-    approx = {r.variable: r for r in metric_summary(df, approximate=True).collect()}
-    assert abs(approx["score"].median - 500.5) <= 1.0
-    assert approx["number_of_patients"].missing == 1
+    assert exact["number_of_patients"].missing == 1
+
+
+def test_quartiles_equal_sorted_values(spark):
+    import random
+    import statistics
+    from carelens.operators.quality import metric_summary
+    r = random.Random(2)
+    a = [round(r.gauss(0, 50), 2) for _ in range(777)] + [5.0] * 300
+    b = [r.choice([0.0, 1e9, -1e9, 0.25]) for _ in a]
+    df = spark.createDataFrame([(x, y, 3) for x, y in zip(a, b)], "score double, denominator double, number_of_patients int")
+    got = {x.variable: x for x in metric_summary(df.repartition(7)).collect()}
+    for name, v in (("score", a), ("denominator", b)):
+        want = statistics.quantiles(v, n=4, method="inclusive")
+        assert [got[name].q1, got[name].median, got[name].q3] == pytest.approx(want, abs=1e-9)
+    assert got["number_of_patients"].q1 == got["number_of_patients"].q3 == 3.0
 
 
 def test_dense_ids_balance_a_hot_group(spark):

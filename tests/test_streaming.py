@@ -1,51 +1,85 @@
-"""Incremental load: two extracts streamed into one star."""
+"""Incremental load: extracts streamed into one star."""
 
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from carelens import schema as S
-from carelens.sources.csv import write_csv
-from carelens.sources.fixtures import raw_visits
-from carelens.streaming import load_batch, read_incremental_star, start_incremental_load
+from carelens.plans.append import append_star
+from carelens.plans.load import numbered_visits
+from carelens.sources.csv import read_raw_visits, with_file_place, write_csv
+from carelens.sources.fixtures import EXTRACT_HEADER, halves, raw_visits
+from carelens.sources.tables import TABLES, load_star
+from carelens.streaming import load_batch, start_incremental_load
+from carelens.streaming.ingest import source_key
 
 
-def test_two_extracts_stream_into_one_star(spark, sf001):
+def ids(star):
+    return tuple(star.performance_data.agg(F.min("performance_id"), F.max("performance_id"),
+                                           F.count_distinct("performance_id"), F.count("*")).first())
+
+
+def write_extract(df, path):
+    write_csv(df.coalesce(1).toDF(*EXTRACT_HEADER), path)
+
+
+def run(spark, landing, star_path):
+    start_incremental_load(spark, landing + "/*", star_path).awaitTermination(300)
+    return load_star(spark, star_path)
+
+
+def test_extracts_of_two_folders_stream_into_one_star(spark, sf001):
     raw = raw_visits(spark, sf001).select(*S.RAW_COLUMNS)
-    year = F.substring("start_date", 7, 4).cast("int")
+    early, late = halves(raw)
     base = tempfile.mkdtemp(prefix="carelens-stream-")
-    landing, star_path = os.path.join(base, "landing"), os.path.join(base, "star")
-    ck = os.path.join(base, "ck")
+    one, two, star_path = (os.path.join(base, x) for x in ("one", "two", "star"))
 
-    write_csv(raw.filter(year < 1996).coalesce(1), os.path.join(landing, "a"))
-    q = start_incremental_load(spark, landing + "/*", star_path, ck)
-    q.awaitTermination(300)
-    first = read_incremental_star(spark, star_path)
-    n1 = first.performance_data.count()
-    assert n1 == raw.filter(year < 1996).count()
+    write_extract(early, os.path.join(one, "a"))
+    first = run(spark, one, star_path)
+    n1 = early.count()
+    assert ids(first) == (1, n1, n1, n1)
+    kept = {r.facility_id: r for r in first.hospitals.collect()}
 
-    write_csv(raw.filter(year >= 1996).coalesce(1), os.path.join(landing, "b"))
-    q = start_incremental_load(spark, landing + "/*", star_path, ck)
-    q.awaitTermination(300)
-    star = read_incremental_star(spark, star_path)
+    # nothing new in the folder: nothing happens
+    assert ids(run(spark, one, star_path)) == (1, n1, n1, n1)
 
+    # another landing folder, with default arguments, adds and takes nothing away
+    write_extract(late, os.path.join(two, "b"))
+    star = run(spark, two, star_path)
     n = raw.count()
-    pd = star.performance_data
-    assert tuple(pd.agg(F.min("performance_id"), F.max("performance_id"),
-                        F.count_distinct("performance_id")).first()) == (1, n, n)
-    # ids of the first extract did not move
-    assert pd.filter(F.col("performance_id") <= n1).count() == n1
-    h = star.hospitals
-    assert h.count() == h.select("facility_id").distinct().count() == \
-        raw.select("facility_id").distinct().count()
+    assert ids(star) == (1, n, n, n)
+    h = {r.facility_id: r for r in star.hospitals.collect()}
+    assert star.hospitals.count() == len(h) == raw.select("facility_id").distinct().count()
+    assert all(h[k] == v for k, v in kept.items())
     assert star.measures.count() == raw.select("measure_id").distinct().count()
     assert sorted(r[0] for r in star.footnotes.collect()) == [1, 5, 7]
-    assert star.performance_footnotes.join(pd, "performance_id", "left_anti").count() == 0
-
-    # a re-run of a batch replaces its own output
-    load_batch(spark.read.schema(S.RAW_SCHEMA).option("header", True).csv(
-        os.path.join(landing, "b")), star_path, 1)
-    again = read_incremental_star(spark, star_path)
-    assert again.performance_data.count() == n
-    assert again.footnotes.count() == 3
+    assert star.performance_footnotes.join(star.performance_data, "performance_id", "left_anti").count() == 0
+
+    # a batch that is run again replaces its own rows
+    batch = with_file_place(spark.read.schema(S.RAW_SCHEMA).option("header", True).csv(os.path.join(two, "b")))
+    counts = load_batch(batch, star_path, f"{source_key(two + '/*')}-0")
+    assert counts["performance_data"] == late.count() and counts["footnotes"] == 0
+    again = load_star(spark, star_path)
+    assert ids(again) == (1, n, n, n) and again.hospitals.count() == len(h)
+
+
+def test_append_numbers_go_on_and_dimensions_stay_unique(spark, sf001):
+    base = tempfile.mkdtemp(prefix="carelens-append-")
+    raw = raw_visits(spark, sf001).select(*S.RAW_COLUMNS)
+    write_extract(raw.limit(51), os.path.join(base, "x"))
+    got = read_raw_visits(spark, os.path.join(base, "x"))
+    for k in (1, 2):
+        counts = append_star(spark, os.path.join(base, "star"), lambda start: numbered_visits(got, [], start=start))
+        assert counts["performance_data"] == 51 and (counts["hospitals"] > 0) == (k == 1)
+        star = load_star(spark, os.path.join(base, "star"))
+        assert ids(star) == (1, 51 * k, 51 * k, 51 * k)
+    assert star.hospitals.count() == star.hospitals.select("facility_id").distinct().count()
+
+
+def test_half_a_star_is_an_error(spark, sf001):
+    base = tempfile.mkdtemp(prefix="carelens-half-")
+    os.makedirs(os.path.join(base, TABLES[0]))
+    with pytest.raises(ValueError, match="not a star"):
+        append_star(spark, base, lambda start: None)
