@@ -98,27 +98,34 @@ class Embedder:
         return out.T
 
 
-def edit_distance(item: np.ndarray, texts: np.ndarray, size: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distance of ``item`` to the best beginning of each row of ``texts`` (n, width;
-    ``size`` bytes are real), and that beginning's length; limit + 1 if above ``limit``."""
-    n, m = len(texts), len(item)
-    span = 2 * limit + 1                                     # cells: text position i + d - limit after i item bytes
-    far = m + limit + 1
-    shift = np.arange(span)
-    row = np.where(shift >= limit, shift - limit, far)[None, :].repeat(n, 0).astype(np.int32)
-    row = np.where(shift[None, :] - limit > size[:, None], far, row)
-    padded = np.concatenate([np.full((n, limit + 1), 256, np.int16), texts.astype(np.int16),
-                             np.full((n, max(0, m + limit + 1 - texts.shape[1])), 256, np.int16)], axis=1)
-    for i in range(1, m + 1):
-        at = i + shift - limit                               # text bytes used
-        gone = row + np.where(padded[:, i:i + span] == item[i - 1], 0, 1)
-        skip = np.concatenate([row[:, 1:], np.full((n, 1), far, np.int32)], axis=1) + 1
-        best = np.minimum(gone, skip)
-        best = np.where((at[None, :] < 0) | (at[None, :] > size[:, None]), far, best)
-        best = np.minimum.accumulate(best - shift, axis=1) + shift  # text bytes left over
-        row = np.minimum(np.where((at[None, :] < 0) | (at[None, :] > size[:, None]), far, best), far)
-    d = row.min(axis=1)
-    used = m + row.argmin(axis=1) - limit
+def edit_distances(items: np.ndarray, m: np.ndarray, texts: np.ndarray, size: np.ndarray,
+                   limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the distance of the item (``m`` bytes) to the best beginning of the
+    text (``size`` bytes), and that beginning's length; limit + 1 if above ``limit``.
+    All rows at once, in a band as wide as the largest limit needs."""
+    n, top = len(m), int(limit.max(initial=0))
+    shift = np.arange(2 * top + 1, dtype=np.int32)           # cell: text position i + shift - top after i item bytes
+    far = np.int32(1 << 20)
+    row = np.where(shift >= top, shift - top, far)[None, :].repeat(n, 0).astype(np.int32)
+    row[shift[None, :] - top > size[:, None]] = far
+    longest = int(m.max(initial=0))
+    padded = np.full((n, longest + 2 * top + 2), 256, dtype=np.int16)
+    width = min(texts.shape[1], longest + top + 1)
+    padded[:, top + 1:top + 1 + width] = texts[:, :width]
+    d, used = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for i in range(longest + 1):
+        if i:
+            at = i + shift - top                             # text bytes used
+            gone = row + (padded[:, i:i + len(shift)] != items[:, i - 1:i])
+            gone[:, :-1] = np.minimum(gone[:, :-1], row[:, 1:] + 1)
+            out = (at < 0) | (at > size[:, None])
+            gone[out] = far
+            row = np.minimum.accumulate(gone - shift, axis=1) + shift  # text bytes left over
+            row[out] = far
+        done = m == i
+        if done.any():
+            d[done] = row[done].min(axis=1)
+            used[done] = i + row[done].argmin(axis=1) - top
     return np.where(d <= limit, d, limit + 1), used
 
 
@@ -187,50 +194,33 @@ class ItemBlock:
 
     def search(self, off, raw, start, row):
         """(row, item, first byte, end byte, distance) of the best stretch of each item found."""
+        open_ = []  # (row, item, place) still to be measured
         for (r, i), places in sorted(self.candidates(off, raw, start, row).items()):
-            item, places = self.items[i], np.unique(places)
-            m, end = len(item), int(off[r + 1])
-            exact = next((p for p in places.tolist() if p + m <= end and np.array_equal(raw[p:p + m], item)), None)
+            item, end = self.items[i], int(off[r + 1])
+            m = len(item)
+            exact = next((p for p in sorted(places) if p + m <= end and np.array_equal(raw[p:p + m], item)), None)
             if exact is not None:
                 yield r, i, exact, exact + m, 0
-                continue
-            limit = int(m * self.max_edit)
-            at = places[:, None] + np.arange(m + limit)
-            texts = np.where(at < end, raw[np.minimum(at, len(raw) - 1)], 0)
-            best = (limit + 1, 0, 0)
-            for a in range(0, len(places), 256):
-                d, used = edit_distance(item, texts[a:a + 256], np.minimum(end - places[a:a + 256], m + limit), limit)
-                j = int(d.argmin())
-                best = min(best, (int(d[j]), int(places[a + j]), int(places[a + j] + used[j])))
-            if best[0] <= limit:
-                yield r, i, best[1], best[2], best[0]
-
-
-def find_items(docs: DataFrame, items: DataFrame, max_edit: float = 0.1, walks: int = 6, bands: int = 16,
-               bits: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, start_byte, end_byte, distance): the best place of each
-    item of ``items (item_id, text)`` found in each row of ``docs (doc_id, text)``.
-
-    Bytes count in the document's UTF-8 text; of equal distances the first
-    place is given. Null and empty texts match nothing, nor do items of fewer
-    than 32 bytes without white space. Repeated documents or items each give
-    their rows; null ids are kept as null. Other columns are ignored; empty
-    tables give an empty result.
-    """
-    spark = docs.sparkSession
-    items = items.select("item_id", "text").filter("text is not null")
-    total = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    n_blocks = max(1, -(-total // block_bytes))
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id"))]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start_byte long, end_byte long, distance int"
-    out = None
-    for k in range(n_blocks):
-        got = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").toArrow()
-        id_type = got.schema.field("item_id").type
-        block = spark.sparkContext.broadcast((got["item_id"].to_pylist(), got["text"].to_pylist()))
-        found = docs.select("doc_id", "text").mapInArrow(_searcher(block, id_type, max_edit, walks, bands, bits), schema)
-        out = found if out is None else out.union(found)
-    return out
+            else:
+                open_ += [(r, i, p) for p in places]
+        open_.sort(key=lambda x: len(self.items[x[1]]))      # alike lengths share a batch
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for a in range(0, len(open_), 256):
+            part = open_[a:a + 256]
+            m = np.array([len(self.items[i]) for _, i, _ in part])
+            limit = (m * self.max_edit).astype(np.int64)
+            items = np.zeros((len(part), int(m.max())), dtype=np.int16)
+            for k, (_, i, _) in enumerate(part):
+                items[k, :m[k]] = self.items[i]
+            place = np.array([p for _, _, p in part])
+            end = off[np.array([r for r, _, _ in part]) + 1]
+            at = place[:, None] + np.arange(int((m + limit).max()))
+            d, used = edit_distances(items, m, raw[np.minimum(at, len(raw) - 1)], np.minimum(end - place, m + limit), limit)
+            for k in np.flatnonzero(d <= limit):
+                r, i, p = part[k]
+                best[r, i] = min(best.get((r, i), (1 << 30, 0, 0)), (int(d[k]), p, p + int(used[k])))
+        for (r, i), (distance, first, end) in sorted(best.items()):
+            yield r, i, first, end, distance
 
 
 _blocks: dict[str, ItemBlock] = {}
@@ -246,7 +236,7 @@ def _block(token: str, shared, *options) -> ItemBlock:
 
 def _matches(block: ItemBlock, texts: pa.Array):
     """(first row, chunk's offsets, byte places, hits) of each chunk with a hit."""
-    for a, _, o, r in T.chunks(*T.buffers(texts)) if block.items else ():
+    for a, _, o, r in T.chunks(*T.buffers(texts), 1 << 21) if block.items else ():
         off, raw, start, row, place = compact(o, r)
         hits = list(block.search(off, raw, start, row))
         if hits:
@@ -265,8 +255,8 @@ def _blocks_of(items: DataFrame, block_bytes: int):
             (got["item_id"].to_pylist(), got["text"].to_pylist())), got.schema.field("item_id").type
 
 
-def find_items(docs: DataFrame, items: DataFrame, max_edit: float = 0.1, walks: int = 6, bands: int = 16,
-               bits: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, max_edit: float = 0.1, walks: int = 6, bands: int = 24,
+               bits: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, start_byte, end_byte, distance): the best place of each
     item of ``items (item_id, text)`` found in each row of ``docs (doc_id, text)``.
 
@@ -299,8 +289,8 @@ def _finder(token, shared, id_type, options):
     return run
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, max_edit: float = 0.1, walks: int = 6, bands: int = 16,
-                    bits: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, max_edit: float = 0.1, walks: int = 6, bands: int = 24,
+                    bits: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, all columns kept, decided
     row by row where they are (no join). Nulls and empty tables as in ``find_items``."""
     for token, shared, _ in _blocks_of(items, block_bytes):

@@ -30,7 +30,9 @@ def test_edit_distance_equals_brute_force():
         limit = r.randint(0, 6)
         width = len(item) + limit
         body = np.array([list(t[:width].ljust(width, b"z")) for t in texts])
-        d, used = D.edit_distance(np.frombuffer(item, np.uint8), body, np.array([min(len(t), width) for t in texts]), limit)
+        n = len(texts)
+        d, used = D.edit_distances(np.tile(np.frombuffer(item, np.uint8), (n, 1)), np.full(n, len(item)), body,
+                                   np.array([min(len(t), width) for t in texts]), np.full(n, limit))
         for t, got, n in zip(texts, d, used):
             best = min(distance(item, t[:width]))
             assert got == min(best, limit + 1)
