@@ -25,7 +25,8 @@ from . import dac
 from . import text as T
 
 SEGMENT_TOKENS = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+MARK = "\x01"  # stands between words that are encoded together
 SEGMENT_SCHEMA = ("part int, seg int, n_docs int, n_tokens long, doc_ids array<long>, "
                   "doc_starts array<long>, ids binary")
 
@@ -39,6 +40,8 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        mark = self._ids([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self):
@@ -46,12 +49,26 @@ class WordEncoder:
         self.flat = np.zeros(0, dtype=np.uint32)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and ids per word, from one call for all with a mark between them;
+        word by word if some word holds the mark or the marks do not come out one each."""
+        if self.mark is not None and not any(MARK in w for w in words):
+            ids = np.array(self._ids([f" {MARK} ".join(words)])[0], dtype=np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(words) - 1:
+                return np.delete(ids, at), np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
+        each = self._ids(words)
+        return np.array([x for i in each for x in i], dtype=np.uint32), np.array([len(i) for i in each])
+
     def _learn(self, new: list[bytes]):
-        ids = [e.ids for e in self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
         for w in new:
             self.index[w] = len(self.index)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=int(size.sum()))
+        texts = [w.decode("utf-8", "replace") for w in new]
+        parts = [self._together(texts[i:i + 256]) for i in range(0, len(texts), 256)]
+        flat, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
         start = np.concatenate(([0], np.cumsum(size)))[:-1] + len(self.flat)
         self.flat = np.concatenate((self.flat, flat))
         self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
