@@ -182,6 +182,6 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, f
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string" + (
         ", kept_text string" if with_text else "")
     marks = id_bitmap(sets, "tk")
-    touched = marked_rows(docs, marks, "tk", True).join(sets, "tk", "left").select("doc_id", "text", "blocked")
+    touched = marked_rows(docs, marks, "tk", True).join(sets.hint("merge"), "tk", "left").select("doc_id", "text", "blocked")
     whole = marked_rows(docs, marks, "tk", False).select("doc_id", "text")
     return touched.mapInArrow(_dropper(with_text), schema).union(whole.mapInArrow(_dropper(with_text), schema))
