@@ -6,7 +6,10 @@ the vector is log(1 + tf) * idf, scaled to length 1. Each language has several
 centroids: spherical k-means over a bounded sample of its learning rows. A
 text gets the language of the centroid of largest cosine, and is rejected if
 its distance (1 - cosine) exceeds what texts of its length show: the radius is
-fitted on pieces of the sample's texts of doubling length.
+fitted on pieces of the sample's texts of doubling length. The distance of a
+text grows with its length beyond the longest length fitted, so a longer text
+is cut into equal pieces within that length, all of them are compared with the
+centroids of its language, and it is rejected if their median is too far.
 """
 
 from __future__ import annotations
@@ -82,10 +85,32 @@ class Model:
     owner: np.ndarray          # language of each centroid
     idf: np.ndarray
     radius: np.ndarray         # largest usual distance for each length of PIECES
+    longest: int = 0           # longest length the radius was fitted on (0: none)
 
     def predict(self, texts: list[str]):
         """Language number (-1: no letter), cosine, rejected."""
-        return self.assign(count_vectors(texts), np.array([has_letter(t) for t in texts], dtype=bool))
+        lang, score, rejected = self.assign(count_vectors(texts), np.array([has_letter(t) for t in texts], dtype=bool))
+        if self.longest:
+            for i in np.flatnonzero((lang >= 0) & (np.array([len(t) for t in texts]) > self.longest)):
+                s = normalise(texts[i])
+                if len(s) > self.longest:
+                    rejected[i] = np.median(self._excess(s, lang[i])) > 0
+        return lang, score, rejected
+
+    def _excess(self, s: str, lang: int) -> np.ndarray:
+        """By how much each piece of a long normalised text is farther from the language than its length allows."""
+        n = -(-len(s) // self.longest)
+        cut = [len(s) * k // n for k in range(n + 1)]
+        near, out = self.centroids[self.owner == lang].T, []
+        for a in range(0, n, 256):
+            counts = count_vectors([s[x:y] for x, y in zip(cut[a:a + 256], cut[a + 1:a + 257])])
+            grams = counts.sum(axis=1)
+            far = 1.0 - (unit(counts, self.idf) @ near).max(axis=1)
+            out.append((far - self.reach(grams))[grams > 0])
+        return np.concatenate(out)
+
+    def reach(self, grams: np.ndarray) -> np.ndarray:
+        return np.interp(np.log2(np.maximum(grams, 1)), [0, *np.log2(PIECES)], [1.0, *self.radius])
 
     def assign(self, counts: np.ndarray, lettered: np.ndarray):
         grams = counts.sum(axis=1)
@@ -94,9 +119,8 @@ class Model:
         cos = unit(counts, self.idf) @ self.centroids.T
         best = cos.argmax(axis=1)
         score = np.clip(cos[np.arange(len(counts)), best], 0.0, 1.0).astype(np.float64)
-        reach = np.interp(np.log2(np.maximum(grams, 1)), [0, *np.log2(PIECES)], [1.0, *self.radius])
         lang = np.where(lettered, self.owner[best], -1)
-        return lang, np.where(lettered, score, 0.0), ~lettered | (1.0 - score > reach)
+        return lang, np.where(lettered, score, 0.0), ~lettered | (1.0 - score > self.reach(grams))
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -196,6 +220,7 @@ def fit(rows: DataFrame, clusters: int = 4, sample_per_lang: int = 200) -> Model
         pieces = [vec[i] for i in np.flatnonzero(size_of == z)]
         far = 1.0 - model.assign(_dense(pieces), np.ones(len(pieces), bool))[1] if len(pieces) >= 5 else None
         radius.append(min(0.95, float(far.max()) * 1.1 + 0.05) if far is not None else (radius[-1] if radius else 0.95))
+        model.longest = z if far is not None else model.longest
     model.radius = np.array(radius)
     return model
 

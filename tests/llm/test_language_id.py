@@ -50,3 +50,18 @@ def test_nothing_learned(make_docs, prose):
     m = L.fit(make_docs([]))
     assert L.classify(make_docs([]), m).collect() == []
     assert [r["lang_pred"] for r in L.classify(make_docs([(1, prose(1, 20))]), m).collect()] == ["und"]
+
+
+def test_length_alone_rejects_nothing(spark):
+    """Learned from varied texts the radius is tight: joined documents of one language stay however long, another script goes."""
+    words = F.split("text", r"\s+")
+    docs = entry.table(spark, "/root/testdata/sf0.1", "documents").filter("lang IN ('en', 'de') AND length(text) > 2000").filter(
+        F.size(F.array_distinct(words)) > 0.3 * F.size(words)).select("doc_id", "text", "lang").cache()
+    m = L.fit(docs)
+    assert m.radius[-1] < 0.4
+    for lang in ("en", "de"):
+        body = "\n".join(r["text"] for r in docs.filter(F.col("lang") == lang).orderBy("doc_id").collect())
+        number, _, rejected = m.predict([body[:n] for n in (5_000, 20_000, 100_000, 300_000, 1_000_000)])
+        assert [m.langs[k] for k in number] == [lang] * 5 and not rejected.any()
+    assert m.predict(["пример текста на другом языке " * 20_000])[2].all()
+    docs.unpersist()
