@@ -4,8 +4,9 @@ Rules decide the urls they fit; the rest is decided per host. Hosts of pages
 that an allow rule fits are trusted seeds, hosts of blocked pages distrusted
 seeds, each weighted by such pages. Over the host graph (distinct pages linking
 from host to host) personalised PageRank spreads trust along the links and
-distrust against them; both run as one table, so an iteration is one join on
-the host and one aggregation. A host is blocked if it has more distrust than
+distrust against them until next to nothing is left to spread and no new host
+is reached; both run as one table, so an iteration is one join on the host and
+one aggregation. A host is blocked if it has more distrust than
 ``margin`` times its trust.
 """
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .tables import remove, store
 
+BATCH = 6  # rounds between two writes of the ranks
+
 RULES = (
     ("org/", "allow"),
     ("example.org/es/", "block"),
@@ -62,36 +65,57 @@ def host_links(pages: DataFrame) -> DataFrame:
     return e.filter("b != '' AND a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = 10,
+              tolerance: float = 1e-9) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind of ``seeds (kind, host, weight)``.
 
     Kind ``trust`` follows the links a -> b, ``distrust`` goes from b to a.
     Seeds are scaled to sum 1 per kind; a host without links on passes nothing.
-    Every third round's ranks are written to the shared folder.
+    ``rounds`` None: until the rank that can still spread is at most
+    ``tolerance`` per kind and a batch of rounds has reached no new host, so
+    every host linked with a seed over any distance has a rank.
+
+    Each host holds its rank and the share of it that came in the last round,
+    which alone is passed on; a link of a host to itself keeps the rank, so a
+    round is one join and one aggregation. Ranks are written to the shared
+    folder every ``BATCH`` rounds.
     """
     spark = links.sparkSession
     way = links.select(F.lit("trust").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst"), "n").union(
         links.select(F.lit("distrust").alias("kind"), F.col("b").alias("src"), F.col("a").alias("dst"), "n"))
     out = way.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    edges, _ = store(way.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("w")), "host_edges")
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
-    start, _ = store(seeds.join(total, "kind").filter("total > 0").select(
-        "kind", "host", (F.col("weight") / F.col("total")).alias("rank")), "host_seeds")
-    home = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
-    rank, old = start, None
-    for i in range(1, rounds + 1):
-        flow = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("rank") * F.col("w") * damping).alias("rank"))
-        rank = flow.union(home).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % 3 == 0 or i == rounds:
-            rank, path = store(rank, "host_ranks")
-            if old:
-                remove(spark, old)
-            old = path
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules=RULES, margin: float = 1.0, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+    rank, old = store(seeds.join(total, "kind").filter("total > 0").select(
+        "kind", "host", (F.col("weight") / F.col("total") * (1 - damping)).alias("rank")).withColumn("fresh", F.col("rank")), "host_ranks")
+    hosts = way.select("kind", F.col("dst").alias("src")).union(rank.select("kind", F.col("host").alias("src"))).distinct()
+    edges, _ = store(way.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total") * damping).alias("w")).union(
+        hosts.select("kind", "src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("w"))), "host_edges")
+    done, reached = 0, None
+    while rounds is None or done < rounds:
+        n = BATCH if rounds is None else min(BATCH, rounds - done)
+        for _ in range(n):
+            passed = F.when(F.col("w").isNull(), 0.0).otherwise(F.col("fresh") * F.col("w"))
+            rank = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).filter("w IS NULL OR fresh > 0").select(
+                "kind", F.col("dst").alias("host"), F.when(F.col("w").isNull(), F.col("rank")).otherwise(passed).alias("rank"),
+                passed.alias("fresh")).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("fresh").alias("fresh"))
+        done += n
+        rank, path = store(rank, "host_ranks")
+        remove(spark, old)
+        old = path
+        if rounds is None:
+            now = {r["kind"]: (r["n"], r["fresh"]) for r in rank.groupBy("kind").agg(
+                F.count("*").alias("n"), F.sum("fresh").alias("fresh")).collect()}
+            left = max((f for _, f in now.values()), default=0.0) * damping / (1 - damping)
+            count = sum(c for c, _ in now.values())
+            if left <= tolerance and count == reached or not left:
+                break
+            reached = count
+    # what still spreads stays where it is, as in the iteration from the seeds
+    return rank.select("kind", "host", (F.col("rank") + F.col("fresh") * (damping / (1 - damping))).alias("rank"))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, margin: float = 1.0, damping: float = 0.85,
+               rounds: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), one row per row of ``pages (page_id, url, html)``.
 
     The longest fitting rule decides; a rule fits its host and all subdomains

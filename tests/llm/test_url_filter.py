@@ -46,6 +46,32 @@ def test_propagation_equals_matrix_iteration(spark):
             assert got.get((kind, h), 0.0) == pytest.approx(v, abs=1e-12)
 
 
+def test_converged_ranks_solve_the_linear_system(spark):
+    """A chain of 40 hosts, a cycle that holds its rank and a branch, without a number of rounds."""
+    edges = {(f"c{i}", f"c{i + 1}"): 1 for i in range(40)} | {("x", "y"): 2, ("y", "x"): 1, ("y", "c0"): 1, ("x", "z"): 1}
+    seeds = {"x": 3, "c0": 1}
+    hosts = sorted({h for e in edges for h in e})
+    at = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for (a, b), n in edges.items():
+        m[at[b], at[a]] = n
+    total = m.sum(axis=0)
+    m = m / np.where(total > 0, total, 1)
+    s = np.array([seeds.get(h, 0) for h in hosts]) / 4
+    want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * m, 0.15 * s)
+    got = U.propagate(spark.createDataFrame([(*k, n) for k, n in edges.items()], "a string, b string, n long"),
+                      spark.createDataFrame([("trust", h, n) for h, n in seeds.items()], "kind string, host string, weight long"), rounds=None)
+    got = {r["host"]: r["rank"] for r in got.collect()}
+    assert set(got) == set(hosts) and np.allclose([got[h] for h in hosts], want, rtol=1e-6, atol=1e-9)
+
+
+def test_hosts_far_from_every_seed_are_judged(spark):
+    rows = [(0, "http://bad.com/de/1", None), (1, "http://h1.net/", link("bad.com"))] + [
+        (i, f"http://h{i}.net/", link(f"h{i - 1}.net")) for i in range(2, 16)]
+    got = {r["host"]: r for r in U.judge_urls(pages(spark, rows)).collect()}
+    assert all(got[f"h{i}.net"]["verdict"] == "block" and got[f"h{i}.net"]["distrust"] > 0 for i in range(1, 16))
+
+
 def test_urls_and_rules(spark):
     cases = [("HTTPS://WWW.Example.ORG/es/1?a#b", "www.example.org", "/es/1", "example.org/es/", "block"),
              ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
