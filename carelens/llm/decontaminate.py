@@ -6,17 +6,21 @@ has an edit distance of at most ``max_edit`` times the item's length.
 
 Search, in one map over the documents per block of items, without a shuffle:
 
-1. Windows. For each size class of items (prefix lengths growing by
-   ``CLASS_GROWTH``) a window of that size may start at every word; it is kept
-   if it holds at least two *seeds*, the ``SEED`` bytes from a word's start
-   that are also found in some item.
+1. Windows. An item is searched by windows of its own that start at words, half
+   a window apart and at its end, each of the largest size class (lengths
+   growing by ``CLASS_GROWTH``, at most ``WINDOW``) it is long enough for. Any
+   of them finds it, so a long item is found rather better than a short one. In
+   a document a window of each class may start at every word; it is kept if it
+   holds at least two *seeds*, the ``SEED`` bytes from a word's start that are
+   also found in some item.
 2. CGK embedding. A random walk reads a window's bytes, at each step staying or
    going on by a random bit of (step, byte): edit distance becomes Hamming
    distance between the symbols read. Items are embedded alike.
 3. Bit-sampling LSH. ``walks`` embeddings times ``bands`` samples of ``bits``
    positions each; equal samples make a candidate. A stretch at the largest
    distance allowed is found with a probability measured in the tests.
-4. Exact edit distance (banded, free end) decides.
+4. Exact edit distance (banded, free start and end) decides, once for the
+   candidates that put the item at about the same place.
 
 Items are taken in blocks of at most ``BLOCK_BYTES``, which bounds what is
 broadcast however large the benchmark is.
@@ -39,6 +43,7 @@ from . import text as T
 SEED = 12
 MIN_ITEM = 32
 CLASS_GROWTH = 1.4
+WINDOW = 96
 BLOCK_BYTES = 32 << 20
 FILTER_BITS = 1 << 22
 
@@ -129,6 +134,43 @@ def edit_distances(items: np.ndarray, m: np.ndarray, texts: np.ndarray, size: np
     return np.where(d <= limit, d, limit + 1), used
 
 
+def stretch_ends(items: np.ndarray, m: np.ndarray, texts: np.ndarray, first: np.ndarray, size: np.ndarray,
+                 width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the distance of the item (``m`` bytes) to the best stretch of the text's
+    bytes ``first`` to ``size``, and that stretch's end. After i item bytes, i to i + ``width`` - 1
+    text bytes lie before the path: a stretch starts within the first ``width`` bytes."""
+    n, longest = len(m), int(m.max(initial=0))
+    shift = np.arange(width, dtype=np.int32)
+    far = np.int32(1 << 20)
+    padded = np.full((n, longest + width), 256, dtype=np.int16)
+    padded[:, :min(texts.shape[1], longest + width)] = texts[:, :longest + width]
+    d, end = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    row = np.zeros((n, width), dtype=np.int32)
+    for i in range(longest + 1):
+        out = (i + shift < first[:, None]) | (i + shift > size[:, None])
+        if i:
+            gone = row + (padded[:, i - 1:i - 1 + width] != items[:, i - 1:i])
+            gone[:, :-1] = np.minimum(gone[:, :-1], row[:, 1:] + 1)
+            gone[out] = far
+            row = np.minimum.accumulate(gone - shift, axis=1) + shift
+        row[out] = far
+        done = m == i
+        if done.any():
+            d[done] = row[done].min(axis=1)
+            end[done] = i + row[done].argmin(axis=1)
+    return d, end
+
+
+def _window_starts(start: np.ndarray, m: int, size: int) -> list[int]:
+    """Of an item's starts those of its windows: half a window apart, and the last that fits."""
+    fits = start[start + size <= m]
+    got: list[int] = []
+    for x in fits.tolist():
+        if not got or x >= got[-1] + size // 2:
+            got.append(x)
+    return sorted({*got, *fits[-1:].tolist()})
+
+
 class ItemBlock:
     """The items of one block, ready for search."""
 
@@ -146,27 +188,33 @@ class ItemBlock:
         self.embed, self.tables = [], []
         if not len(use):
             return
-        sizes = [int(size[use].min())]
-        while sizes[-1] * CLASS_GROWTH <= size.max():
+        top = min(WINDOW, int(size.max()))
+        sizes = [min(top, int(size[use].min()))]
+        while sizes[-1] * CLASS_GROWTH <= top:
             sizes.append(int(np.ceil(sizes[-1] * CLASS_GROWTH)))
-        of = np.searchsorted(sizes, size[use], side="right") - 1
-        for k, c in enumerate(sizes):
-            mine = np.flatnonzero(of == k)
-            if not len(mine):
-                continue
+        windows: dict[int, list[tuple[int, int]]] = defaultdict(list)  # class -> (item, place in it)
+        cut = np.searchsorted(row, np.arange(len(size) + 1))
+        for k, i in enumerate(use.tolist()):
+            mine, m = start[cut[i]:cut[i + 1]] - off[i], int(size[i])
+            c = int(np.searchsorted(sizes, m, side="right")) - 1
+            windows[c] += [(k, x) for x in _window_starts(mine, m, sizes[c])]
+        for k, places in sorted(windows.items()):
+            c = sizes[k]
             e = Embedder(c, walks, bands, bits)
-            keys = e.keys(np.stack([self.items[i][:c] for i in mine]))
             table, held = defaultdict(list), np.zeros(FILTER_BITS, dtype=bool)
-            for i, ks in zip(mine.tolist(), keys):
-                for x in ks.tolist():
-                    table[x].append(i)
-            held[(keys.ravel() & T.U64(FILTER_BITS - 1)).view(np.int64)] = True
+            for a in range(0, len(places), 4096):
+                part = places[a:a + 4096]
+                keys = e.keys(np.stack([self.items[i][x:x + c] for i, x in part]))
+                for place, ks in zip(part, keys):
+                    for key in ks.tolist():
+                        table[key].append(place)
+                held[(keys.ravel() & T.U64(FILTER_BITS - 1)).view(np.int64)] = True
             self.embed.append(e)
             self.tables.append((table, held))
 
-    def candidates(self, off, raw, start, row) -> dict[tuple[int, int], list[int]]:
-        """(row, item) -> word starts whose window shares a band with the item."""
-        found: dict[tuple[int, int], list[int]] = defaultdict(list)
+    def candidates(self, off, raw, start, row) -> dict[tuple[int, int], set[int]]:
+        """(row, item) -> where the item would start for its windows to lie where a document's window shares a band with them."""
+        found: dict[tuple[int, int], set[int]] = defaultdict(set)
         seeds, ok = _seeds(off, raw, start, row)
         hit = np.zeros(len(start), dtype=bool)
         hit[ok] = self.seed_bits[(seeds & T.U64(FILTER_BITS - 1)).view(np.int64)]
@@ -186,39 +234,57 @@ class ItemBlock:
                 keys = e.keys(strings)
                 r, c = np.nonzero(held[(keys & T.U64(FILTER_BITS - 1)).view(np.int64)])
                 for i, key in zip(r.tolist(), keys[r, c].tolist()):
-                    for item in table.get(key, ()):
-                        place = found[(int(row[w[i]]), item)]
-                        if not place or place[-1] != int(start[w[i]]):
-                            place.append(int(start[w[i]]))
+                    for item, x in table.get(key, ()):
+                        found[int(row[w[i]]), item].add(int(start[w[i]]) - x)
         return found
 
     def search(self, off, raw, start, row):
         """(row, item, first byte, end byte, distance) of the best stretch of each item found."""
-        open_ = []  # (row, item, place) still to be measured
+        open_ = []  # (row, item, first and last place of a group) still to be measured
         for (r, i), places in sorted(self.candidates(off, raw, start, row).items()):
-            item, end = self.items[i], int(off[r + 1])
-            m = len(item)
-            exact = next((p for p in sorted(places) if p + m <= end and np.array_equal(raw[p:p + m], item)), None)
+            item, first, end = self.items[i], int(off[r]), int(off[r + 1])
+            m, order = len(item), sorted(places)
+            exact = next((p for p in order if first <= p and p + m <= end and np.array_equal(raw[p:p + m], item)), None)
             if exact is not None:
                 yield r, i, exact, exact + m, 0
-            else:
-                open_ += [(r, i, p) for p in places]
+                continue
+            room, low = int(m * self.max_edit) // 4, order[0]
+            for p, after in zip(order, [*order[1:], None]):
+                if after is None or after > low + room:
+                    open_.append((r, i, low, p))
+                    low = after
         open_.sort(key=lambda x: len(self.items[x[1]]))      # alike lengths share a batch
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for a in range(0, len(open_), 256):
+        a = 0
+        while a < len(open_):
             part = open_[a:a + 256]
-            m = np.array([len(self.items[i]) for _, i, _ in part])
+            part = part[:max(1, (1 << 19) // len(self.items[part[-1][1]]))]
+            a += len(part)
+            m = np.array([len(self.items[i]) for _, i, _, _ in part])
             limit = (m * self.max_edit).astype(np.int64)
             items = np.zeros((len(part), int(m.max())), dtype=np.int16)
-            for k, (_, i, _) in enumerate(part):
+            for k, (_, i, _, _) in enumerate(part):
                 items[k, :m[k]] = self.items[i]
-            place = np.array([p for _, _, p in part])
-            end = off[np.array([r for r, _, _ in part]) + 1]
-            at = place[:, None] + np.arange(int((m + limit).max()))
-            d, used = edit_distances(items, m, raw[np.minimum(at, len(raw) - 1)], np.minimum(end - place, m + limit), limit)
-            for k in np.flatnonzero(d <= limit):
-                r, i, p = part[k]
-                best[r, i] = min(best.get((r, i), (1 << 30, 0, 0)), (int(d[k]), p, p + int(used[k])))
+            rows = np.array([r for r, _, _, _ in part])
+            zero = np.array([p for _, _, p, _ in part]) - limit  # where a text of this batch begins
+            width = int((np.array([q - p for _, _, p, q in part]) + 2 * limit).max()) + 1
+            at = zero[:, None] + np.arange(int(m.max()) + width)
+            texts = raw[np.clip(at, 0, len(raw) - 1)]
+            d, last = stretch_ends(items, m, texts, np.maximum(off[rows] - zero, 0), off[rows + 1] - zero, width)
+            hit = np.flatnonzero(d <= limit)
+            if not len(hit):
+                continue
+            # backwards from the end: where the stretch starts
+            m, limit, last, zero = m[hit], limit[hit], last[hit] + zero[hit], zero[hit]
+            back = np.zeros((len(hit), int(m.max())), dtype=np.int16)
+            for k, h in enumerate(hit):
+                back[k, :m[k]] = items[h, :m[k]][::-1]
+            at = last[:, None] - 1 - np.arange(int((m + limit).max()))
+            d, used = edit_distances(back, m, raw[np.clip(at, 0, len(raw) - 1)],
+                                     np.minimum(last - off[rows[hit]], m + limit), limit)
+            for k, h in enumerate(hit):
+                r, i = part[h][:2]
+                best[r, i] = min(best.get((r, i), (1 << 30, 0, 0)), (int(d[k]), int(last[k] - used[k]), int(last[k])))
         for (r, i), (distance, first, end) in sorted(best.items()):
             yield r, i, first, end, distance
 

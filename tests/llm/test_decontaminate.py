@@ -81,6 +81,32 @@ def test_recall_against_brute_force_at_the_limit(spark, make_docs, prose):
     assert len(within) > 40 and len(got & within) >= 0.9 * len(within)
 
 
+def test_stretch_ends_equal_brute_force():
+    r = random.Random(5)
+    for _ in range(60):
+        item = bytes(r.choice(b"abc") for _ in range(r.randint(4, 25)))
+        text = bytes(r.choice(b"abc") for _ in range(r.randint(5, 12))) + item[:r.randint(0, 25)] + bytes(r.choice(b"abc") for _ in range(r.randint(0, 9)))
+        wide = len(text) + 1  # every start and end
+        d, end = D.stretch_ends(np.frombuffer(item, np.uint8)[None].astype(np.int16), np.array([len(item)]),
+                                np.pad(np.frombuffer(text, np.uint8), (len(item), 0))[None], np.array([len(item)]),
+                                np.array([len(item) + len(text)]), wide + len(item))
+        best = min(min(distance(item, text[k:])) for k in range(len(text) + 1))
+        assert d[0] == best == min(distance(item, text[k:end[0] - len(item)])[-1] for k in range(end[0] - len(item) + 1))
+
+
+def test_long_items_edited_to_the_limit_are_found(spark, make_docs, prose):
+    for words, n in ((50, 40), (170, 30), (680, 15)):  # about 300, 1000 and 4000 bytes
+        items = [(i, prose(1000 + i, words)) for i in range(n)]
+        docs = [(i, prose(i, 60) + " " + edited(items[i][1], 0.095, i) + "\n" + prose(5000 + i, 60)) for i in range(n)]
+        got = D.find_items(make_docs(docs), spark.createDataFrame([(*x, "k") for x in items], SCHEMA)).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} <= {(i, i) for i in range(n)}
+        assert len(got) >= 0.9 * n, words
+        for r in got[:5 if words < 600 else 0]:
+            stretch = dict(docs)[r["doc_id"]].encode()[r["start_byte"]:r["end_byte"]]
+            a, b = (bytes(x).lower().translate(None, b" \t\n\r\x0b\x0c") for x in (dict(items)[r["item_id"]].encode(), stretch))
+            assert distance(a, b)[-1] == r["distance"] <= 0.1 * len(a)
+
+
 def test_white_space_and_case_do_not_matter_and_blocks_agree(spark, make_docs, prose):
     items = [(i, prose(i, 30)) for i in range(6)] + [(7, None), (8, ""), (9, "tiny"), (10, prose(0, 30))]
     docs = [(1, "Öä " + prose(0, 30).upper().replace(" ", "\n\t")), (2, None), (3, ""), (None, prose(1, 30)), (5, "w " * 40_000 + prose(2, 30)),
