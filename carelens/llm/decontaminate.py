@@ -1,8 +1,8 @@
 """Benchmark decontamination by edit distance (operator 2).
 
 Texts and items are compared without white space and with A-Z lower-cased, as
-bytes. An item occurs in a document if some stretch of it, starting at a word,
-has an edit distance of at most ``max_edit`` times the item's length.
+bytes. An item occurs in a document if some stretch of it, starting at a word or
+inside a long one, has an edit distance of at most ``max_edit`` times the item's length.
 
 Search, in one map over the documents per block of items, without a shuffle:
 
@@ -13,6 +13,11 @@ Search, in one map over the documents per block of items, without a shuffle:
    a document a window of each class may start at every word; it is kept if it
    holds at least two *seeds*, the ``SEED`` bytes from a word's start that are
    also found in some item.
+   Where white space gives no starts - in words longer than ``LONG`` bytes, as in
+   Chinese, Thai, URLs or code - windows start at places chosen by content
+   (minimizers of ``GRAM`` bytes), in items and documents alike. Items under
+   ``MIN_ITEM`` bytes are looked up by the hash of their whole length, at every
+   word and at every byte of a long word.
 2. CGK embedding. A random walk reads a window's bytes, at each step staying or
    going on by a random bit of (step, byte): edit distance becomes Hamming
    distance between the symbols read. Items are embedded alike.
@@ -44,6 +49,8 @@ SEED = 12
 MIN_ITEM = 32
 CLASS_GROWTH = 1.4
 WINDOW = 96
+GRAM = 8
+LONG = 16
 BLOCK_BYTES = 32 << 20
 FILTER_BITS = 1 << 22
 
@@ -56,6 +63,30 @@ def compact(off: np.ndarray, raw: np.ndarray):
     return upto[off], T.LOWER[raw[keep]], upto[start], row, np.flatnonzero(keep)
 
 
+def _long_words(off, raw, start, row) -> np.ndarray:
+    """The bytes of words longer than LONG."""
+    end = np.minimum(np.append(start[1:], len(raw)), off[row + 1])
+    edge = np.zeros(len(raw) + 1, dtype=np.int32)
+    long = end - start > LONG
+    np.add.at(edge, start[long], 1)
+    np.add.at(edge, end[long], -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+
+def minimizers(off, raw, at):
+    """Places chosen by content, and their rows: of each GRAM neighbouring places
+    from one of ``at`` on, the one whose GRAM bytes have the least hash."""
+    row = np.searchsorted(off, at, side="right") - 1
+    ok = at + 2 * GRAM - 1 <= off[row + 1]
+    at = at[ok]
+    if not len(at):
+        return at, row[ok]
+    places = np.flatnonzero(np.arange(len(raw)) + GRAM <= len(raw))
+    h = T.span_hashes(raw, places, places + GRAM, lower=False)
+    got = np.unique(at + h[at[:, None] + np.arange(GRAM)].argmin(axis=1))
+    return got, np.searchsorted(off, got, side="right") - 1
+
+
 def _seeds(off, raw, start, row):
     ok = np.flatnonzero(start + SEED <= off[row + 1])
     return T.span_hashes(raw, start[ok], start[ok] + SEED, lower=False), ok
@@ -179,52 +210,82 @@ class ItemBlock:
         size = np.diff(off)
         self.max_edit = max_edit
         use = np.flatnonzero(size >= MIN_ITEM)
-        self.ids = [ids[i] for i in use]
-        self.items = [raw[off[i]:off[i + 1]] for i in use]
-        self.longest = int(size.max(initial=0))
-        seeds, _ = _seeds(off, raw, start, row)
+        small = np.flatnonzero((size > 0) & (size < MIN_ITEM))
+        self.ids = [ids[i] for i in [*use, *small]]
+        self.items = [raw[off[i]:off[i + 1]] for i in [*use, *small]]
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # length -> hash -> items
+        for k, (i, h) in enumerate(zip(small, T.span_hashes(raw, off[small], off[small + 1], lower=False).tolist())):
+            self.short[int(size[i])][h].append(len(use) + k)
+        chosen, chosen_row = minimizers(off, raw, np.arange(len(raw)))
+        word_seeds, ok = _seeds(off, raw, start, row)
+        has_seed = start[ok]
+        seeds = np.concatenate((word_seeds, _seeds(off, raw, chosen, chosen_row)[0]))
         self.seed_bits = np.zeros(FILTER_BITS, dtype=bool)
         self.seed_bits[(seeds & T.U64(FILTER_BITS - 1)).view(np.int64)] = True
-        self.embed, self.tables = [], []
+        self.by_word, self.by_content = [], []  # (embedder, table, filter, seeds needed) of each class
         if not len(use):
             return
-        top = min(WINDOW, int(size.max()))
-        sizes = [min(top, int(size[use].min()))]
-        while sizes[-1] * CLASS_GROWTH <= top:
-            sizes.append(int(np.ceil(sizes[-1] * CLASS_GROWTH)))
-        windows: dict[int, list[tuple[int, int]]] = defaultdict(list)  # class -> (item, place in it)
-        cut = np.searchsorted(row, np.arange(len(size) + 1))
-        for k, i in enumerate(use.tolist()):
-            mine, m = start[cut[i]:cut[i + 1]] - off[i], int(size[i])
-            c = int(np.searchsorted(sizes, m, side="right")) - 1
-            windows[c] += [(k, x) for x in _window_starts(mine, m, sizes[c])]
-        for k, places in sorted(windows.items()):
-            c = sizes[k]
-            e = Embedder(c, walks, bands, bits)
-            table, held = defaultdict(list), np.zeros(FILTER_BITS, dtype=bool)
-            for a in range(0, len(places), 4096):
-                part = places[a:a + 4096]
-                keys = e.keys(np.stack([self.items[i][x:x + c] for i, x in part]))
-                for place, ks in zip(part, keys):
-                    for key in ks.tolist():
-                        table[key].append(place)
-                held[(keys.ravel() & T.U64(FILTER_BITS - 1)).view(np.int64)] = True
-            self.embed.append(e)
-            self.tables.append((table, held))
+        top, least = min(WINDOW, int(size.max())), int(size[use].min())
+        for starts, rows, cut_off, out in ((start, row, 0, self.by_word), (chosen, chosen_row, 2 * GRAM, self.by_content)):
+            sizes = [min(top, least - cut_off)]  # a place chosen by content lies within 2 * GRAM bytes of the item's start
+            while sizes[-1] * CLASS_GROWTH <= top:
+                sizes.append(int(np.ceil(sizes[-1] * CLASS_GROWTH)))
+            windows: dict[int, list[tuple[int, int]]] = defaultdict(list)  # class -> (item, place in it)
+            need: dict[int, int] = defaultdict(lambda: 2)
+            cut = np.searchsorted(rows, np.arange(len(size) + 1))
+            for k, i in enumerate(use.tolist()):
+                mine, m = starts[cut[i]:cut[i + 1]] - off[i], int(size[i])
+                c = sizes[int(np.searchsorted(sizes, m - cut_off, side="right")) - 1]
+                places = _window_starts(mine, m, c)
+                windows[c] += [(k, x) for x in places]
+                seeded = has_seed[np.searchsorted(has_seed, off[i]):np.searchsorted(has_seed, off[i + 1])] - off[i]
+                for x in places:  # no more than the item itself has
+                    need[c] = min(need[c], int(np.searchsorted(seeded, x + c) - np.searchsorted(seeded, x)))
+            for c, places in sorted(windows.items()):
+                if places:
+                    one = cut_off or c < 5 * SEED
+                    out.append((*self._table(Embedder(c, walks, bands, bits), places), 1 if one else max(1, need[c])))
+
+    def _table(self, e: Embedder, places: list[tuple[int, int]]):
+        table, held = defaultdict(list), np.zeros(FILTER_BITS, dtype=bool)
+        for a in range(0, len(places), 4096):
+            part = places[a:a + 4096]
+            keys = e.keys(np.stack([self.items[i][x:x + e.size] for i, x in part]))
+            for place, ks in zip(part, keys):
+                for key in ks.tolist():
+                    table[key].append(place)
+            held[(keys.ravel() & T.U64(FILTER_BITS - 1)).view(np.int64)] = True
+        return e, table, held
 
     def candidates(self, off, raw, start, row) -> dict[tuple[int, int], set[int]]:
         """(row, item) -> where the item would start for its windows to lie where a document's window shares a band with them."""
         found: dict[tuple[int, int], set[int]] = defaultdict(set)
+        inside = _long_words(off, raw, start, row)
+        if self.short:
+            at = np.union1d(start, inside)
+            at_row = np.searchsorted(off, at, side="right") - 1
+            for size, items in self.short.items():
+                ok = np.flatnonzero(at + size <= off[at_row + 1])
+                h = T.span_hashes(raw, at[ok], at[ok] + size, lower=False)
+                known = np.isin(h, np.fromiter(items, dtype=T.U64, count=len(items)))
+                for k, x in zip(ok[known].tolist(), h[known].tolist()):
+                    for item in items[x]:
+                        found[int(at_row[k]), item].add(int(at[k]))
+        self._shared_bands(found, self.by_word, off, raw, start, row)
+        if self.by_content and len(inside):
+            self._shared_bands(found, self.by_content, off, raw, *minimizers(off, raw, inside))
+        return found
+
+    def _shared_bands(self, found, classes, off, raw, start, row) -> None:
         seeds, ok = _seeds(off, raw, start, row)
         hit = np.zeros(len(start), dtype=bool)
         hit[ok] = self.seed_bits[(seeds & T.U64(FILTER_BITS - 1)).view(np.int64)]
         if not hit.any():
-            return found
+            return
         upto = np.concatenate(([0], np.cumsum(hit)))
         end = off[row + 1]
-        for e, (table, held) in zip(self.embed, self.tables):
+        for e, table, held, need in classes:
             reach = np.searchsorted(start, np.minimum(start + int(e.size * (1 + self.max_edit)) + 1, end))
-            need = 2 if e.size >= 5 * SEED else 1
             windows = np.flatnonzero((upto[reach] - upto[:-1] >= need) & (end - start >= e.size * (1 - self.max_edit)))
             for a in range(0, len(windows), 4096):
                 w = windows[a:a + 4096]
@@ -236,7 +297,6 @@ class ItemBlock:
                 for i, key in zip(r.tolist(), keys[r, c].tolist()):
                     for item, x in table.get(key, ()):
                         found[int(row[w[i]]), item].add(int(start[w[i]]) - x)
-        return found
 
     def search(self, off, raw, start, row):
         """(row, item, first byte, end byte, distance) of the best stretch of each item found."""
@@ -327,8 +387,8 @@ def find_items(docs: DataFrame, items: DataFrame, max_edit: float = 0.1, walks:
     item of ``items (item_id, text)`` found in each row of ``docs (doc_id, text)``.
 
     Bytes count in the document's UTF-8 text; of equal distances the first
-    place is given. Null and empty texts match nothing, nor do items of fewer
-    than 32 bytes without white space. Repeated documents or items each give
+    place is given. Null and empty texts match nothing; items of fewer than 32
+    bytes without white space are found exactly. Repeated documents or items each give
     their rows; null ids are kept as null. Other columns are ignored; empty
     tables give an empty result.
     """

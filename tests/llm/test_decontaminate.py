@@ -125,3 +125,18 @@ def test_empty_tables(spark, make_docs, prose):
     assert D.find_items(make_docs([]), none).collect() == []
     assert D.clean_documents(make_docs([(1, prose(1, 50))]), none).count() == 1
     assert D.find_items(make_docs([]), spark.createDataFrame([(1, prose(1, 40), "k")], SCHEMA)).collect() == []
+
+
+def test_exact_copies_without_white_space_and_short_items(spark, make_docs, prose):
+    r = random.Random(8)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    items = [(0, han(12)), (1, han(25)), (2, han(120)), (3, "https://www.example.org/" + prose(3, 20).replace(" ", "/").replace("\n", "")),
+             (4, "for(i=0;i<n;i++){a[i]=b[i]*c[i]+d[i-1];if(a[i]>max){max=a[i];}}"), (5, prose(5, 30)), (6, "Short item"), (7, han(3)), (8, "q" * 90)]
+    docs = [(0, han(300) + items[0][1] + han(300)), (1, han(90) + items[1][1] + han(3)), (2, han(50) + items[2][1]),
+            (3, prose(60, 30) + " see " + items[3][1] + " " + prose(61, 30)), (4, prose(62, 30) + "\n" + items[4][1] + "\n" + prose(63, 30)),
+            (5, "x" * 40 + "".join(items[5][1].split()) + "y" * 40), (6, prose(64, 30) + " a short  item. " + prose(65, 30)), (7, han(40) + items[7][1] + han(40)),
+            (8, prose(66, 9) + "\n" + items[8][1]), (20, han(2000)), (21, prose(67, 500))]
+    bench = spark.createDataFrame([(*x, "k") for x in items], SCHEMA)
+    got = D.find_items(make_docs(docs), bench).collect()
+    assert sorted((x["doc_id"], x["item_id"], x["distance"]) for x in got) == [(i, i, 0) for i in range(9)]
+    assert sorted(x["doc_id"] for x in D.clean_documents(make_docs(docs), bench).collect()) == [20, 21]
