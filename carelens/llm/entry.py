@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language_id, line_dedup, mixing, ngram_jaccard, pu_quality, quality_rules, suffix_dedup,
+from . import (bpe_chunks, decontaminate, language_id, line_dedup, mixing, ngram_jaccard, pu_quality, quality_rules, suffix_dedup,
                token_output, url_filter)
 from .oracle import oracle_sql  # noqa: F401
 from .tables import crc32_mod, ship
@@ -61,6 +61,15 @@ def op9_token_output(spark, d):
     return token_output.token_table(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_bpe_chunk_reuse(spark, d):
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe_chunks.encode(table(spark, d, "documents"), path)
+    return bpe_chunks.decode(ids, path).select(
+        "doc_id", F.expr("bigint(length(ids) div 4)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 #: tokens wanted of each domain of ``labels`` (quality and toxicity)
 DOMAIN_TARGETS = {"good": 0.95, "good_toxic": 0.03, "poor": 0.02, "poor_toxic": 0.0}
 
@@ -83,5 +92,6 @@ def pipeline(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_language_id, op2_benchmark_decontamination, op3_quality_classifier, op4_suffix_array_dedup,
-             op5_quality_rules, op6_line_dedup, op7_url_filters, op8_ngram_jaccard_join, op9_token_output, op10_mixing]
+             op5_quality_rules, op6_line_dedup, op7_url_filters, op8_ngram_jaccard_join, op9_token_output, op10_mixing,
+             op11_bpe_chunk_reuse]
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
