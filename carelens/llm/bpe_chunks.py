@@ -3,10 +3,11 @@
 A rolling hash over 16 bytes cuts every text into chunks at places that depend
 on the bytes around them alone, so a passage that many documents share gives
 the same chunks in all of them. A chunk that occurs twice or more in the table
-is encoded once; the texts that hold it take its ids by a join, and where two
-pieces meet, the text around the joint is encoded again until the splits agree
+is encoded once; texts that consist of such chunks for half of their bytes or
+more (``MIN_SHARE``: below that, moving a text costs more than encoding it)
+take the ids by a join, and where two pieces meet, the text around the joint is encoded again until the splits agree
 with the chunk's own (``byte_bpe.Joiner``), so the ids are exactly those of the
-whole text. Texts without such a chunk are encoded where they are read.
+whole text. All other texts are encoded where they are read.
 
 Which texts those are is told by a bitmap of the repeated chunks (``bitmap``).
 It has a fixed size and only ever lets too much through: the more it lets
@@ -31,6 +32,7 @@ from .tables import ship, store
 WINDOW = 16
 CUT_BITS = 8   # a chunk has about 256 bytes
 LEAST = 64     # a place close behind another one is no cut
+MIN_SHARE = 0.5
 TEXT, CHUNK, SPECIAL = 0, 1, 2
 IDS_SCHEMA = "doc_id long, ids binary"
 PIECE_SCHEMA = "part int, row long, doc_id long, pos int, kind int, key binary, body binary"
@@ -94,11 +96,12 @@ def repeated_bitmap(docs: DataFrame):
 def _marked(o, r, seen):
     start, end, row, h = chunk_table(o, r)
     hit = _in_bitmap(h, seen)
-    return start, end, row, hit, np.bincount(row[hit], minlength=len(o) - 1) > 0
+    share = np.bincount(row[hit], weights=(end - start)[hit], minlength=len(o) - 1)
+    return start, end, row, hit, (share > 0) & (share >= MIN_SHARE * np.diff(o))
 
 
 def _alone(seen, name: str):
-    """Ids of the texts that hold no chunk in the bitmap."""
+    """Ids of the texts that hold too few chunks of the bitmap to take them from elsewhere."""
     def run(batches):
         bpe = loaded(name)
         for batch in batches:
@@ -154,7 +157,7 @@ def _encode_chunks(name: str):
     def run(batches):
         bpe = loaded(name)
         for batch in batches:
-            ids = [bpe.ids(x.decode("utf-8", "replace")).astype("<u4").tobytes() for x in batch.column("body").to_pylist()]
+            ids = [bpe.ids(x.decode("utf-8", "replace")).astype(bpe.narrow).tobytes() for x in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
     return run
 
@@ -171,7 +174,7 @@ def _assemble(name: str):
                         done.append((doc, one.ids().astype("<u4").tobytes()))
                     now, one, doc = (part, row), Joiner(bpe), doc_id
                 if kind == CHUNK:
-                    one.chunk(np.frombuffer(body, dtype="<u4"))
+                    one.chunk(np.frombuffer(body, dtype=bpe.narrow).astype(np.uint32))
                 elif kind == TEXT:
                     one.text(body)
                 else:

@@ -72,7 +72,7 @@ class ByteBPE:
         self.length = np.array([len(w) for w in table], dtype=np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)))[:-1]
         self.flat = np.frombuffer(b"".join(table), dtype=np.uint8)
-        self.table = table
+        self.narrow = "<u2" if size <= 1 << 16 else "<u4"  # the type of an id that is on its way
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text in which added tokens are not looked for."""
