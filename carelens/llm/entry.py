@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe_chunks, decontaminate, language_id, line_dedup, mixing, ngram_jaccard, pu_quality, quality_rules, suffix_dedup,
-               token_output, url_filter)
+               token_alignment, token_output, url_filter)
 from .oracle import oracle_sql  # noqa: F401
 from .tables import crc32_mod, ship
 
@@ -70,6 +70,11 @@ def op11_bpe_chunk_reuse(spark, d):
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_token_alignment(spark, d):
+    import public_tokenizers as P
+    return token_alignment.alignment_table(table(spark, d, "documents"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+
+
 #: tokens wanted of each domain of ``labels`` (quality and toxicity)
 DOMAIN_TARGETS = {"good": 0.95, "good_toxic": 0.03, "poor": 0.02, "poor_toxic": 0.0}
 
@@ -93,5 +98,5 @@ def pipeline(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_language_id, op2_benchmark_decontamination, op3_quality_classifier, op4_suffix_array_dedup,
              op5_quality_rules, op6_line_dedup, op7_url_filters, op8_ngram_jaccard_join, op9_token_output, op10_mixing,
-             op11_bpe_chunk_reuse]
+             op11_bpe_chunk_reuse, op13_token_alignment]
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
