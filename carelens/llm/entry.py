@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_chunks, decontaminate, language_id, line_dedup, mixing, ngram_jaccard, pu_quality, quality_rules, suffix_dedup,
+from . import (bpe_chunks, collocations, decontaminate, language_id, line_dedup, mixing, ngram_jaccard, pu_quality, quality_rules, suffix_dedup,
                token_alignment, token_output, url_filter)
 from .oracle import oracle_sql  # noqa: F401
 from .tables import crc32_mod, ship
@@ -70,6 +70,10 @@ def op11_bpe_chunk_reuse(spark, d):
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_phrase_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
+
+
 def op13_token_alignment(spark, d):
     import public_tokenizers as P
     return token_alignment.alignment_table(table(spark, d, "documents"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
@@ -98,5 +102,5 @@ def pipeline(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_language_id, op2_benchmark_decontamination, op3_quality_classifier, op4_suffix_array_dedup,
              op5_quality_rules, op6_line_dedup, op7_url_filters, op8_ngram_jaccard_join, op9_token_output, op10_mixing,
-             op11_bpe_chunk_reuse, op13_token_alignment]
+             op11_bpe_chunk_reuse, op12_phrase_collocations, op13_token_alignment]
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
