@@ -315,5 +315,5 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, max_words:
                .groupBy("lang", "lang_name", "key", "a", "n", "b").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("s"))
                .select(F.col("lang_name").alias("lang"), F.concat_ws(" ", "s.word").alias("phrase"), "a", "b.l", "b.r", "n", F.col("b.score").alias("score")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return spelled.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top).select(
-        "lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return spelled.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
