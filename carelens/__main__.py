@@ -12,6 +12,7 @@ platform), or plainly for a local session.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import sys
 
 from carelens.operators import quality as Q
@@ -66,6 +67,12 @@ def parse(argv: list[str]) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def extract_id(spark, path: str) -> str:
+    """A name of the extract from its files' paths, sizes and times: the same for a load that is tried again."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime").orderBy("path").collect()
+    return hashlib.sha256(repr([tuple(f) for f in files]).encode()).hexdigest()[:16]
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parse(sys.argv[1:] if argv is None else argv)
     spark = spark or get_session()
@@ -75,7 +82,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if args.command == "load":
         raw = read_raw_visits(spark, args.raw)
         if args.append:
-            counts = append_star(spark, args.star, lambda start: numbered_visits(raw, [], start=start))
+            counts = append_star(spark, args.star, lambda start: numbered_visits(raw, [], start=start), extract_id(spark, args.raw))
         else:
             counts = save_star(star_from_raw(raw, order_cols=[]), args.star)
         print(" ".join(f"{k}={v}" for k, v in counts.items()))

@@ -3,18 +3,15 @@
 ``row_number().over(Window.orderBy(...))`` moves every row into a single
 task. Here instead:
 
-1. write the rows as they come to the shared scratch folder, so that whatever
-   produced them runs once: sampling the range boundaries then reads only the
-   key columns of that table;
-2. range-partition by the order key and sort within partitions (one
+1. range-partition by the order key and sort within partitions (one
    shuffle, balanced by Spark's sampled boundaries; the key must be unique,
    so callers append a source-identity tie-break that also splits groups of
    identical rows);
-3. write the partitions to the shared scratch folder, each row tagged
+2. write the partitions to the shared scratch folder, each row tagged
    with its partition index and position inside the partition. Writing cuts
    the lineage: later jobs never re-sample boundaries, and a lost executor
-   cannot move a row to another position; the first table is deleted;
-4. count rows per partition (a scan of one small column), turn the counts
+   cannot move a row to another position;
+3. count rows per partition (a scan of one small column), turn the counts
    into running offsets (one row per partition, a bounded table), and
    add each row's position.
 """
@@ -24,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelens.session import remove_path, scratch_path
+from carelens.session import scratch_path
 
 
 def dense_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "temp_id",
@@ -33,11 +30,8 @@ def dense_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "temp_id",
     """Return ``df`` plus ``id_col`` = start + 1, 2, ... in ``order_cols`` order."""
     spark = df.sparkSession
     path = path or scratch_path(spark, "rowids")
-    unsorted = scratch_path(spark, "unsorted")
-    df.write.parquet(unsorted)
-    rows = spark.read.schema(df.schema).parquet(unsorted)
-    ranged = (rows.repartitionByRange(num_partitions, *order_cols) if num_partitions
-              else rows.repartitionByRange(*order_cols))
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
     tagged = ranged.sortWithinPartitions(*order_cols).select(
         "*",
         F.spark_partition_id().alias("_pid"),
@@ -46,7 +40,6 @@ def dense_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "temp_id",
     tagged = tagged.withColumn(
         "_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
     tagged.write.mode("overwrite").parquet(path)
-    remove_path(spark, unsorted)
 
     stored = spark.read.schema(tagged.schema).parquet(path)
     counts = stored.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
+from csv import reader
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carelens import schema as S
+from carelens.session import scratch_path
 
 
 def clean_names(names: list[str]) -> list[str]:
@@ -43,44 +48,103 @@ def with_file_place(df: DataFrame) -> DataFrame:
                      F.monotonically_increasing_id().alias(POSITION))
 
 
-def file_order_ids(df: DataFrame, id_col: str, start: int = 0) -> DataFrame:
-    """Dense ids start + 1, 2, ... in the order of file path, split and row, for
-    rows that carry :func:`with_file_place`; those columns are dropped.
+def placed_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Write rows that carry :func:`with_file_place` once, to the shared scratch
+    folder: the rows as stored, and the split manifest (file, split, rows, first
+    position, rows before the split) made from them.
 
-    No row is shuffled to be ordered: the rows of each split are counted, the
-    counts (one row per split) become offsets, and a row's id is its split's
-    offset plus its place in the split.
+    The files are scanned by this one job, so it does not matter how another
+    scan of them would be cut: a row's place is stored with the row.
     """
-    splits = df.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min(POSITION).alias("_first"))
+    spark = df.sparkSession
+    path = scratch_path(spark, "placed")
+    df.write.parquet(f"{path}/rows")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/rows")
+    splits = rows.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("_rows"), F.min(POSITION).alias("_first"))
     before = Window.orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(FILE, BLOCK, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return df.join(offsets, [FILE, BLOCK]).withColumn(
-        id_col, F.lit(start).cast("long") + F.col("_off") + F.col(POSITION) - F.col("_first") + 1).drop(
-        FILE, BLOCK, POSITION, "_first", "_off")
+    manifest = splits.select("*", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    manifest.write.parquet(f"{path}/splits")
+    return rows, spark.read.schema(manifest.schema).parquet(f"{path}/splits")
+
 
+def file_order_ids(df: DataFrame, id_col: str, start: int = 0) -> DataFrame:
+    """Dense ids start + 1, 2, ... in the order of file path, split and row, for
+    rows that carry :func:`with_file_place`; those columns are dropped.
 
-def read_raw_visits(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Read the raw extract: header row, every column as text.
+    No row is shuffled to be ordered: a row's id is its split's offset in the
+    stored manifest (one row per split) plus its place in the split.
+    """
+    rows, manifest = placed_rows(df)
+    return rows.join(manifest, [FILE, BLOCK]).withColumn(
+        id_col, F.lit(start).cast("long") + F.col("_before") + F.col(POSITION) - F.col("_first") + 1).drop(
+        FILE, BLOCK, POSITION, "_rows", "_first", "_before")
+
+
+def first_record(spark: SparkSession, file: str) -> str | None:
+    """The first line of a text file (compressed ones too), with the lines that a
+    quoted line break adds; None if the file is empty."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+        codec.createInputStream(stream) if codec is not None else stream, "UTF-8"))
+    try:
+        record = line = reader.readLine()
+        while line is not None and record.count('"') % 2:
+            line = reader.readLine()
+            record += "\n" + (line or "")
+        return record
+    finally:
+        reader.close()
+
+
+def header_manifest(spark: SparkSession, path: str | list[str], threads: int = 16) -> dict[tuple[str, ...], list[str]]:
+    """The files of ``path`` (file, folder, glob or list) by their normalised header:
+    column names in file order -> files. One small read per file; empty files have no rows and are left out."""
+    uris = spark.read.text(path).inputFiles()
+    files = sorted(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(u)).toString() for u in uris)
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        records = list(pool.map(lambda f: first_record(spark, f), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, record in zip(files, records):
+        if record is not None:
+            names = next(reader([record.removeprefix("\ufeff")], strict=False), [])
+            groups.setdefault(tuple(clean_names(names)), []).append(file)
+    return groups
+
+
+def read_raw_visits(spark: SparkSession, path: str | list[str], multiline: bool = True, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Read raw extracts: header rows, every column as text.
+
+    Each file is read by its own header: columns may stand in another order in
+    another file, and files may have further columns, which are not read. A
+    file that lacks a column is an error that names both, unless the column is
+    ``optional``: then it reads as empty text.
 
     No schema inference: it would turn ids such as ``01014F`` or ZIPs such as
     ``00501`` into numbers. Blank fields read as empty text. Each row gets
-    ``_src``, its number in file order over all files (by path).
+    ``_src``, its number in file order over all files (by path); the rows are
+    scanned and stored once (:func:`placed_rows`).
 
     Quoted fields may hold line breaks, so one file is read by one task: give
     a large extract as many files. ``multiline=False`` splits large files,
     for extracts without such fields.
     """
-    df = (spark.read.option("header", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").option("multiLine", multiline).csv(path))
-    names = clean_names(df.columns)
-    missing = [c for c in S.RAW_COLUMNS if c not in names]
-    if missing:
-        raise ValueError(f"raw extract lacks columns {missing}")
-    placed = with_file_place(df)
-    placed = placed.toDF(*names, FILE, BLOCK, POSITION)
-    # Blank text stays blank text (the CSV reader would give NULL); the
-    # cleaning turns blanks in number, date and ZIP columns into NULL.
-    return file_order_ids(placed.select(*blank_as_text(S.RAW_COLUMNS), FILE, BLOCK, POSITION), S.SOURCE_ID)
+    groups = header_manifest(spark, path)
+    lacking = [f"{files[0]} lacks {missing}" for names, files in groups.items()
+               if (missing := [c for c in S.RAW_COLUMNS if c not in names and c not in optional])]
+    if lacking:
+        raise ValueError(f"raw extract lacks columns: {'; '.join(lacking)}")
+    parts = [spark.createDataFrame([], S.RAW_SCHEMA).select("*", F.lit("").alias(FILE), F.lit(0).cast("long").alias(BLOCK),
+                                                            F.lit(0).cast("long").alias(POSITION))]
+    for names, files in groups.items():
+        df = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("header", True)
+              .option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multiline)
+              .csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]))
+        df = df.withColumns({c: F.lit("") for c in S.RAW_COLUMNS if c not in names})
+        parts.append(with_file_place(df).select(*blank_as_text(S.RAW_COLUMNS), FILE, BLOCK, POSITION))
+    return file_order_ids(reduce(DataFrame.unionByName, parts[1:] or parts), S.SOURCE_ID)
 
 
 def blank_as_text(columns: list[str]) -> list:

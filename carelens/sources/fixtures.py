@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelens import schema as S
+from carelens.sources.csv import write_csv
 
 # Fixed values of the fixture mapping (FIXTURES.md section 3).
 MEASURE_PREFIX_BY_LINE = {
@@ -130,6 +131,10 @@ PROFILE_PARAM = "CUSTOMER#000000001"
 ORPHAN_MODULUS = 50
 EXISTING_FOOTNOTE_IDS = [5]
 SPLIT_YEAR = 1996
+# Extract files by year, in path order: all rows, none of the files empty (sf0.01: 1995 to 2001).
+FILE_YEARS = {"a": (1998, 1998), "b": (None, 1997), "c": (1999, None)}
+# Files with unlike headers: years, and how the header differs.
+MIXED_YEARS = {"swapped": (None, 1996), "added": (1997, 1997), "absent": (1998, 1998), "plain": (1999, None)}
 MORE_FOOTNOTE_IDS = {11: 10, 12: 14, 13: 22, 14: 26, 15: 34}  # id: linked to every n-th fact
 
 
@@ -168,6 +173,32 @@ def odd_text(visits: DataFrame) -> DataFrame:
         k == 3, F.lit("")).otherwise(a)).drop("l")
 
 
+def between_years(raw: DataFrame, first: int | None, last: int | None) -> DataFrame:
+    """The raw rows that start in the years first to last (None: open)."""
+    year = F.substring("start_date", 7, 4).cast("int")
+    return raw.filter((year >= first if first else F.lit(True)) & (year <= last if last else F.lit(True)))
+
+
+def ordered_extract(raw: DataFrame, path: str) -> None:
+    """Write the rows as CSV files that are in row order by file name, over as many tasks as Spark deals out."""
+    one = raw.repartitionByRange(*ORDER_KEY).sortWithinPartitions(*ORDER_KEY)
+    write_csv(one.toDF(*EXTRACT_HEADER), path)
+
+
+def mixed_extract(raw: DataFrame, path: str) -> None:
+    """Write the rows as files with unlike headers: columns in reverse order, a
+    column more, a column (County/Parish) less, and the published header."""
+    for name, years in MIXED_YEARS.items():
+        df = between_years(raw, *years).toDF(*EXTRACT_HEADER)
+        if name == "swapped":
+            df = df.select(*[F.col(f"`{c}`") for c in reversed(EXTRACT_HEADER)])
+        if name == "added":
+            df = df.select(F.lit("new, with a comma").alias("Survey Note"), "*", F.col("State").alias("state"))
+        if name == "absent":
+            df = df.drop("County/Parish")
+        write_csv(df, f"{path}/{name}")
+
+
 def halves(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The raw rows that start before SPLIT_YEAR, and the others."""
     early = F.substring("start_date", 7, 4).cast("int") < SPLIT_YEAR

@@ -7,6 +7,9 @@ folders; these are derived columns and the reports never return them.
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,7 +18,8 @@ from pyspark.sql import types as T
 
 from carelens import schema as S
 from carelens.operators.star import Star
-from carelens.session import path_exists
+from carelens.session import folder_names, path_exists, remove_path
+from carelens.sources.commits import LoadLog
 
 FAMILY_COLUMN = "measure_family"
 LOAD_COLUMN = "load_id"
@@ -32,37 +36,87 @@ def measure_family(measure_id) -> Column:
     return out.otherwise(F.lit(OTHER_FAMILY))
 
 
-def save_star(star: Star, path: str, mode: str = "overwrite", load_id: str = FIRST_LOAD,
-              parallel: int = 5) -> dict[str, int]:
-    """Write the five tables under ``path``; returns the rows of this write per table.
+def write_table(name: str, df: DataFrame, path: str, part: str) -> dict:
+    """Write one table's rows into the partition ``part``; returns rows (and the
+    largest fact id), counted as they are written."""
+    seen = Observation()
+    counted = [F.count(F.lit(1)).alias("rows")]
+    if name == "performance_data":
+        counted.append(F.max("performance_id").alias("last_id"))
+    writer = df.observe(seen, *counted)
+    if name == "performance_data":
+        writer = writer.withColumn(FAMILY_COLUMN, measure_family("measure_id")).write.partitionBy(FAMILY_COLUMN)
+    else:
+        writer = writer.write
+    # a folder of its own: jobs of two loads must not share an output folder
+    writer.mode("overwrite").parquet(f"{path}/{LOAD_COLUMN}={part}")
+    return seen.get
+
 
-    Every table is partitioned by ``load_id``. ``overwrite`` replaces the
-    star; ``append`` writes one load: it adds the rows, or replaces those of
-    an earlier try with the same ``load_id``, and leaves all others alone. An
-    empty input appends nothing (S12). Rows are counted as they are written.
+def write_part(star: Star, path: str, part: str, parallel: int = 5, write: Callable = write_table) -> tuple[dict[str, int], int]:
+    """Write the five tables' rows as partition ``part``: rows per table (S10) and largest fact id.
 
     The five writes are independent jobs over the same stored input and are
     submitted together (``parallel`` threads), so the stages of one fill the
     slots the small final stages of another leave idle.
     """
-    if mode not in ("overwrite", "append"):
-        raise ValueError(f"mode is overwrite or append, not {mode}")
-    base = path.rstrip("/")
-    overwrite = "static" if mode == "overwrite" else "dynamic"
-
-    def write(item):
-        name, df = item
-        seen = Observation()
-        w = df.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn(LOAD_COLUMN, F.lit(load_id))
-        part = [LOAD_COLUMN]
-        if name == "performance_data":
-            w = w.withColumn(FAMILY_COLUMN, measure_family("measure_id"))
-            part.append(FAMILY_COLUMN)
-        w.write.mode("overwrite").option("partitionOverwriteMode", overwrite).partitionBy(*part).parquet(f"{base}/{name}")
-        return name, seen.get["rows"]
+    def one(item):
+        return item[0], write(item[0], item[1], f"{path.rstrip('/')}/{item[0]}", part)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        return dict(pool.map(write, star.tables().items()))
+        seen = dict(pool.map(one, star.tables().items()))
+    return {n: x["rows"] for n, x in seen.items()}, int(seen["performance_data"]["last_id"] or 0)
+
+
+def new_part(load_id: str) -> str:
+    """A partition value of its own for each try of a load."""
+    return f"{re.sub(r'[^A-Za-z0-9_.-]', '_', load_id)}-{uuid.uuid4().hex[:12]}"
+
+
+def stored_parts(spark: SparkSession, path: str) -> dict[str, str]:
+    """The partitions a star without a commit log holds, each as a load."""
+    found = set()
+    for name in TABLES:
+        found |= {n.split("=", 1)[1] for n in folder_names(spark, f"{path.rstrip('/')}/{name}") if n.startswith(f"{LOAD_COLUMN}=")}
+    return {p: p for p in found}
+
+
+def save_star(star: Star, path: str, mode: str = "overwrite", load_id: str = FIRST_LOAD,
+              parallel: int = 5, write: Callable = write_table) -> dict[str, int]:
+    """Write the five tables under ``path``; returns the rows of this write per table.
+
+    Every table is partitioned by ``load_id`` (a value per load and try).
+    ``overwrite`` replaces the star; ``append`` writes one load: it adds the
+    rows, or replaces those of an earlier one with the same ``load_id``, and
+    leaves all others alone. Either becomes visible in all tables at once, when
+    it is committed (:mod:`carelens.sources.commits`); a write that fails
+    changes nothing a reader sees. An empty input appends nothing (S12).
+    """
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode is overwrite or append, not {mode}")
+    spark = star.hospitals.sparkSession
+    log, part = LoadLog(spark, path), new_part(load_id)
+    if mode == "append" and not log.exists() and star_exists(spark, path):
+        log.commit(0, stored_parts(spark, path), 0)
+    rows, last_id = write_part(star, path, part, parallel, write)
+    while True:  # again if another load came in: this one's rows do not depend on it
+        before = log.state()
+        if log.commit(before.version, {load_id: part}, last_id, mode == "overwrite", rows):
+            break
+    if mode == "overwrite":
+        remove_path(spark, *[f"{path.rstrip('/')}/{n}/{LOAD_COLUMN}={p}" for n in TABLES for p in before.parts.values()])
+    return rows
+
+
+def remove_unseen(spark: SparkSession, path: str) -> list[str]:
+    """Delete the partitions that no reader sees (of failed or replaced loads).
+    Not while another load is running: its partitions are not visible yet."""
+    seen, gone = set(LoadLog(spark, path).state().parts.values()), []
+    for name in TABLES:
+        base = f"{path.rstrip('/')}/{name}"
+        gone += [f"{base}/{n}" for n in folder_names(spark, base) if n.startswith(f"{LOAD_COLUMN}=") and n.split("=", 1)[1] not in seen]
+    remove_path(spark, *gone)
+    return gone
 
 
 def star_exists(spark: SparkSession, path: str) -> bool:
@@ -100,16 +154,20 @@ def load_star(spark: SparkSession, path: str, check: bool = True, without_load:
     """Read the five tables back (S6, S7). The fact keeps ``measure_family``.
 
     The columns that are there are checked against the declared ones (S11). A
-    table without rows reads empty. ``without_load`` leaves one load out.
+    table without rows reads empty. Of a star with a commit log only committed
+    loads are read, as a filter on the partitions. ``without_load`` leaves one out.
     """
     base = path.rstrip("/")
-    t = {}
+    log, t = LoadLog(spark, base), {}
+    parts = [p for k, p in log.state().parts.items() if k != without_load] if log.exists() else None
     for name in TABLES:
         extra = f", {LOAD_COLUMN} string" + (f", {FAMILY_COLUMN} string" if name == "performance_data" else "")
         df = spark.read.schema(S.STAR_DDL[name] + extra).parquet(f"{base}/{name}")
         if check and not df.isEmpty():
             check_schema(spark.read.parquet(f"{base}/{name}"), S.STAR_DDL[name], name)
-        if without_load is not None:
+        if parts is not None:
+            df = df.filter(F.col(LOAD_COLUMN).isin(parts))
+        elif without_load is not None:
             df = df.filter(F.col(LOAD_COLUMN) != without_load)
         t[name] = df.drop(LOAD_COLUMN)
     return Star(**t)

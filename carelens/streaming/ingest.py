@@ -7,7 +7,7 @@ the command line (:mod:`carelens.plans.append`), rows numbered in file order.
 A landing folder has its own progress folder inside the star, so a later call
 goes on where the last one ended, and its own load ids (folder and batch), so
 no folder's batches replace another's. A batch that is run again after a
-failure replaces its own rows.
+failure replaces its own rows, and is seen in all tables at once.
 """
 
 from __future__ import annotations
@@ -15,27 +15,24 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from carelens import schema as S
-from carelens.operators.clean import clean_visits
 from carelens.plans.append import append_star
-from carelens.sources.csv import BLOCK, FILE, POSITION, blank_as_text, file_order_ids
+from carelens.plans.load import numbered_visits
+from carelens.sources.csv import read_raw_visits
+
+
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def source_key(landing_dir: str) -> str:
     return hashlib.sha256(landing_dir.rstrip("/").encode()).hexdigest()[:16]
 
 
-def load_batch(batch: DataFrame, star_path: str, load_id: str) -> dict[str, int]:
-    """Clean one batch of raw rows read from files (with their file and split
-    columns) and add it to the star under ``load_id``."""
-    if POSITION not in batch.columns:
-        batch = batch.withColumn(POSITION, F.monotonically_increasing_id())
-    raw = batch.select(*blank_as_text(S.RAW_COLUMNS), FILE, BLOCK, POSITION)
-    return append_star(batch.sparkSession, star_path,
-                       lambda start: clean_visits(file_order_ids(raw, S.ROW_ID, start)), load_id)
+def load_batch(spark: SparkSession, files: list[str], star_path: str, load_id: str, multiline: bool = True) -> dict[str, int]:
+    """Read the extracts ``files``, each by its own header, and add them to the star under ``load_id``."""
+    raw = read_raw_visits(spark, files, multiline)
+    return append_star(spark, star_path, lambda start: numbered_visits(raw, [], start=start), load_id)
 
 
 def start_incremental_load(spark: SparkSession, landing_dir: str, star_path: str,
@@ -45,21 +42,21 @@ def start_incremental_load(spark: SparkSession, landing_dir: str, star_path: str
                            multiline: bool = True) -> StreamingQuery:
     """Stream CSV extracts from ``landing_dir`` into the star at ``star_path``.
 
-    The extracts have a header row in the raw column order; every column is
-    read as text, quoted fields may hold line breaks. ``available_now``
+    The stream is one of files; the rows of a batch's files are read as
+    :func:`read_raw_visits` reads them, so columns may stand in any order.
+    Quoted fields may hold line breaks. ``available_now``
     processes what is there and stops; otherwise the query polls every
     ``processing_time``. Progress is kept at ``checkpoint_location``, by
     default in the star's folder, one for each landing folder.
     """
     key = source_key(landing_dir)
     ck = checkpoint_location or f"{star_path.rstrip('/')}/_ingest/{key}"
-    stream = (spark.readStream.schema(S.RAW_SCHEMA).option("header", True)
-              .option("escape", '"').option("multiLine", multiline).csv(landing_dir)
-              .select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)))
+    stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(landing_dir).select("path")  # the content is not read here
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            load_batch(batch, star_path, f"{key}-{batch_id}")
+        files = [r.path for r in batch.collect()]
+        if files:
+            load_batch(spark, files, star_path, f"{key}-{batch_id}", multiline)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", ck)
     w = w.trigger(availableNow=True) if available_now else w.trigger(

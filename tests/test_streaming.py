@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from carelens import schema as S
 from carelens.plans.append import append_star
 from carelens.plans.load import numbered_visits
-from carelens.sources.csv import read_raw_visits, with_file_place, write_csv
+from carelens.sources.csv import read_raw_visits, write_csv
 from carelens.sources.fixtures import EXTRACT_HEADER, halves, raw_visits
 from carelens.sources.tables import TABLES, load_star
 from carelens.streaming import load_batch, start_incremental_load
@@ -58,8 +58,7 @@ def test_extracts_of_two_folders_stream_into_one_star(spark, sf001):
     assert star.performance_footnotes.join(star.performance_data, "performance_id", "left_anti").count() == 0
 
     # a batch that is run again replaces its own rows
-    batch = with_file_place(spark.read.schema(S.RAW_SCHEMA).option("header", True).csv(os.path.join(two, "b")))
-    counts = load_batch(batch, star_path, f"{source_key(two + '/*')}-0")
+    counts = load_batch(spark, [os.path.join(two, "b")], star_path, f"{source_key(two + '/*')}-0")
     assert counts["performance_data"] == late.count() and counts["footnotes"] == 0
     again = load_star(spark, star_path)
     assert ids(again) == (1, n, n, n) and again.hospitals.count() == len(h)
