@@ -247,15 +247,15 @@ class ItemBlock:
                     out.append((*self._table(Embedder(c, walks, bands, bits), places), 1 if one else max(1, need[c])))
 
     def _table(self, e: Embedder, places: list[tuple[int, int]]):
-        table, held = defaultdict(list), np.zeros(FILTER_BITS, dtype=bool)
+        """Sorted keys of all windows with the window of each (12 bytes an entry), and the windows' items and places."""
+        keys, held = [], np.zeros(FILTER_BITS, dtype=bool)
         for a in range(0, len(places), 4096):
-            part = places[a:a + 4096]
-            keys = e.keys(np.stack([self.items[i][x:x + e.size] for i, x in part]))
-            for place, ks in zip(part, keys):
-                for key in ks.tolist():
-                    table[key].append(place)
-            held[(keys.ravel() & T.U64(FILTER_BITS - 1)).view(np.int64)] = True
-        return e, table, held
+            keys.append(e.keys(np.stack([self.items[i][x:x + e.size] for i, x in places[a:a + 4096]])))
+            held[(keys[-1].ravel() & T.U64(FILTER_BITS - 1)).view(np.int64)] = True
+        n = np.concatenate([np.full(k.shape[0], k.shape[1]) for k in keys])
+        flat, owner = np.concatenate([k.ravel() for k in keys]), np.repeat(np.arange(len(places), dtype=np.int32), n)
+        order = np.argsort(flat, kind="stable")
+        return e, (flat[order], owner[order], np.array(places, dtype=np.int64)), held
 
     def candidates(self, off, raw, start, row) -> dict[tuple[int, int], set[int]]:
         """(row, item) -> where the item would start for its windows to lie where a document's window shares a band with them."""
@@ -284,7 +284,7 @@ class ItemBlock:
             return
         upto = np.concatenate(([0], np.cumsum(hit)))
         end = off[row + 1]
-        for e, table, held, need in classes:
+        for e, (known, owner, places), held, need in classes:
             reach = np.searchsorted(start, np.minimum(start + int(e.size * (1 + self.max_edit)) + 1, end))
             windows = np.flatnonzero((upto[reach] - upto[:-1] >= need) & (end - start >= e.size * (1 - self.max_edit)))
             for a in range(0, len(windows), 4096):
@@ -294,8 +294,9 @@ class ItemBlock:
                 strings = np.where(real, raw[np.minimum(at, len(raw) - 1)], 0).astype(np.uint8)
                 keys = e.keys(strings)
                 r, c = np.nonzero(held[(keys & T.U64(FILTER_BITS - 1)).view(np.int64)])
-                for i, key in zip(r.tolist(), keys[r, c].tolist()):
-                    for item, x in table.get(key, ()):
+                first, last = (np.searchsorted(known, keys[r, c], side=x) for x in ("left", "right"))
+                for i, a0, b0 in zip(r[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist()):
+                    for item, x in places[owner[a0:b0]].tolist():
                         found[int(row[w[i]]), item].add(int(start[w[i]]) - x)
 
     def search(self, off, raw, start, row):

@@ -151,23 +151,30 @@ def posterior_table(docs: DataFrame, model: Domains) -> DataFrame:
 
 @dataclass
 class Fit:
-    """Residual history of the projected gradient: the rates are a function of it."""
+    """History of the projected gradient (residual and momentum of each round): the rates are a function of it."""
     target: np.ndarray
     total: float
     budget: float
     ridge: float
     step: float
-    residuals: list = field(default_factory=list)
+    history: list = field(default_factory=list)
     achieved: np.ndarray | None = None
+    gradient: float = 0.0
 
-    def rates(self, p: np.ndarray, residuals=None) -> np.ndarray:
-        """Rates of documents with posteriors ``p`` after the recorded steps, from 1.
+    def walk(self, p: np.ndarray):
+        """Rates of documents with posteriors ``p`` after the last round, those before it, the
+        point the last step was taken from, and the point the next one is taken from.
         Steps are taken per token share, so a document's length does not matter."""
-        r = np.ones(len(p))
+        old = x = y = at = np.ones(len(p))
         scale = self.total / self.budget if self.budget else 0.0
-        for res in self.residuals if residuals is None else residuals:
-            r = np.maximum(0.0, r - self.step * (scale * (p @ res) + self.ridge * (r - 1.0)))
-        return r
+        for residual, momentum in self.history:
+            at, old = y, x
+            x = np.maximum(0.0, y - self.step * (scale * (p @ residual) + self.ridge * (y - 1.0)))
+            y = x + momentum * (x - old) if momentum else x
+        return x, old, at, y
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return self.walk(p)[0]
 
 
 def _posteriors(batch) -> np.ndarray:
@@ -176,12 +183,14 @@ def _posteriors(batch) -> np.ndarray:
 
 
 def fit_rates(table: DataFrame, target: np.ndarray, budget: float | None = None, ridge: float = 1e-3,
-              rounds: int = 60, tolerance: float = 1e-4) -> Fit:
-    """Projected gradient on ``table (n_tokens, p)``.
+              rounds: int = 200, tolerance: float = 1e-4, plain: int = 25) -> Fit:
+    """Projected gradient on ``table (n_tokens, p)``, one small aggregate per round.
 
     ``target``: shares of the domains (scaled to sum 1); ``budget``: expected
-    tokens of the mix (default: all tokens). Stops when the residual changes
-    by less than ``tolerance`` or after ``rounds`` aggregates.
+    tokens of the mix (default: all tokens). After ``plain`` rounds the steps
+    have momentum, which starts again when a step goes against it. Stops when
+    the projected gradient (root mean square over the tokens) is below
+    ``tolerance``, or after ``rounds`` rounds.
     """
     target = np.asarray(target, dtype=np.float64)
     target = target / target.sum() if target.sum() else target
@@ -192,34 +201,42 @@ def fit_rates(table: DataFrame, target: np.ndarray, budget: float | None = None,
         return fit
     scale = total / fit.budget
 
-    def sums(step_of):
+    def sums(moments: bool) -> np.ndarray:
+        """Expected shares at the next point and at the rates, size and turn of the last step; the moments of p."""
         def run(batches):
-            out = np.zeros(k * k + k)
+            out = np.zeros(2 * k + 2 + k * k)
             for batch in batches:
                 if batch.num_rows:
                     p, n = _posteriors(batch), batch.column("n_tokens").to_numpy() / total
-                    r = fit.rates(p, step_of)
-                    out[:k] += (r * n * scale) @ p
-                    out[k:] += ((p * n[:, None]).T @ p).ravel()
+                    x, old, at, y = fit.walk(p)
+                    out[:k] += (y * n * scale) @ p
+                    out[k:2 * k] += (x * n * scale) @ p
+                    out[2 * k] += ((x - at) ** 2) @ n
+                    out[2 * k + 1] += ((at - x) * (x - old)) @ n
+                    if moments:
+                        out[2 * k + 2:] += ((p * n[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], ["i", "v"])
         rows = table.select("n_tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        got = np.zeros(k * k + k)
+        got = np.zeros(2 * k + 2 + k * k)
         for x in rows:
             got[x["i"]] = x["v"]
         return got
 
-    first = sums([])
+    now = sums(True)
     # preconditioned by the shares s_i, the quadratic's curvature is that of the K x K posterior moments
-    fit.step = 1.0 / (scale * scale * float(np.linalg.eigvalsh(first[k:].reshape(k, k)).max()) + ridge)
-    at = first[:k]
-    for _ in range(rounds):
-        fit.residuals.append(at - target)
-        new = sums(list(fit.residuals))[:k]
-        moved = np.abs(new - at).max()
-        at = new
-        if moved < tolerance:
+    fit.step = 1.0 / (scale * scale * float(np.linalg.eigvalsh(now[2 * k + 2:].reshape(k, k)).max()) + ridge)
+    t = 1.0
+    for i in range(rounds):
+        if i < plain or now[2 * k + 1] > 0:
+            t = 1.0
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2 if i >= plain else 1.0
+        fit.history.append((now[:k] - target, (t - 1) / after))
+        t = after
+        now = sums(False)
+        fit.gradient = float(np.sqrt(now[2 * k])) / fit.step
+        if fit.gradient < tolerance:
             break
-    fit.achieved = at
+    fit.achieved = now[k:2 * k]
     return fit
 
 
@@ -252,7 +269,7 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     """
     model = fit_domains(docs, labelled, **options)
     table = stored(posterior_table(docs, model), "posteriors")
-    fit = fit_rates(table, np.array([targets.get(x, 0.0) for x in model.names]), budget)
+    fit = fit_rates(table, np.array([targets.get(x, 0.0) for x in model.names]), budget, plain=0)
     return add_rates(table, fit, model.names), fit, model
 
 
@@ -262,6 +279,7 @@ def emit(docs: DataFrame, model: Domains, fit: Fit) -> DataFrame:
     by a hash of the text and doc_id. Rates are found where the row is (no join)."""
     shared = docs.sparkSession.sparkContext.broadcast((model, fit))
     names = docs.columns
+    drawn = "u_" + "_".join(names)  # a name that no column of docs has
 
     def run(batches):
         m, f = shared.value
@@ -269,8 +287,8 @@ def emit(docs: DataFrame, model: Domains, fit: Fit) -> DataFrame:
             for a, b, row, bucket, stats, _ in _rows(batch):
                 rate = f.rates(m.posteriors(row, bucket, stats)) if m.names else np.ones(b - a)
                 part = batch.slice(a, b - a)
-                u = part.column("_u").to_numpy() / (1 << 30)
+                u = part.column(drawn).to_numpy() / (1 << 30)
                 n = np.floor(rate + u).astype(np.int64)
                 yield part.select(names).take(pa.array(np.repeat(np.arange(b - a), n)))
 
-    return docs.withColumn("_u", F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30))).mapInArrow(run, docs.schema)
+    return docs.withColumn(drawn, F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30))).mapInArrow(run, docs.schema)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,8 @@ SEGMENT_SCHEMA = ("part int, seg int, n_docs int, n_tokens long, doc_ids array<l
 class WordEncoder:
     """Encodes texts with a tokenizer whose splits never cross ASCII white space
     (its pre-tokenizer drops white space), remembering the ids of words seen.
-    The memory is emptied when it holds ``CACHE_WORDS`` words."""
+    The memory holds two hashes, a place and a length per word (28 bytes) and the
+    ids, no Python objects; it is emptied at ``CACHE_WORDS`` words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,9 +45,9 @@ class WordEncoder:
         self._clear()
 
     def _clear(self):
-        self.index: dict[bytes, int] = {}
+        self.first, self.second = np.zeros(0, dtype=T.U64), np.zeros(0, dtype=T.U64)  # two hashes of each word, sorted by the first
         self.flat = np.zeros(0, dtype=np.uint32)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,40 +63,56 @@ class WordEncoder:
         each = self._ids(words)
         return np.array([x for i in each for x in i], dtype=np.uint32), np.array([len(i) for i in each])
 
-    def _learn(self, new: list[bytes]):
-        for w in new:
-            self.index[w] = len(self.index)
-        texts = [w.decode("utf-8", "replace") for w in new]
+    def _learn(self, words: list[bytes], first: np.ndarray, second: np.ndarray):
+        """Encode words whose first hashes are new and in order."""
+        texts = [w.decode("utf-8", "replace") for w in words]
         parts = [self._together(texts[i:i + 256]) for i in range(0, len(texts), 256)]
-        flat, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-        start = np.concatenate(([0], np.cumsum(size)))[:-1] + len(self.flat)
+        flat, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int32)
+        start = np.cumsum(size, dtype=np.int64) - size + len(self.flat)
         self.flat = np.concatenate((self.flat, flat))
-        self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
+        at = np.searchsorted(self.first, first)
+        self.first, self.second, self.start, self.size = (
+            np.insert(old, at, new) for old, new in ((self.first, first), (self.second, second), (self.start, start), (self.size, size)))
+
+    def _find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Place of each word in the memory, -1 where it is not there."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        i = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[i] == first) & (self.second[i] == second), i, -1)
 
     def encode(self, off: np.ndarray, raw: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row's followed by ``end_id``; ids per row."""
-        if len(self.index) > CACHE_WORDS:
+        if len(self.first) > CACHE_WORDS:
             self._clear()
-        body = raw.tobytes()
-        split = [body[a:b].split() for a, b in zip(off[:-1], off[1:])]
-        count = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        flat = [w for s in split for w in s]
-        code = np.fromiter(map(self.index.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        begin, end, word_row = T.words(off, raw)
+        count = np.bincount(word_row, minlength=len(off) - 1)
+        first, second = (T.span_hashes(raw, begin, end, lower=False, which=i) for i in (0, 1))
+        code = self._find(first, second)
         missing = np.flatnonzero(code < 0)
         if len(missing):
-            self._learn(list(dict.fromkeys(flat[i] for i in missing)))
-            code[missing] = np.fromiter((self.index[flat[i]] for i in missing), dtype=np.int64, count=len(missing))
-        size = self.size[code] if len(code) else np.zeros(0, np.int64)
+            new, at = np.unique(first[missing], return_index=True)
+            at = missing[at]
+            body = raw.tobytes()
+            self._learn([body[a:b] for a, b in zip(begin[at], end[at])], new, second[at])
+            code = self._find(first, second)
+            if (code < 0).any():  # two words of this text share one hash: without the memory
+                self._clear()
+                each = [self._ids([body[a:b].decode("utf-8", "replace")])[0] for a, b in zip(begin, end)]
+                self.size, self.flat = np.array([len(x) for x in each], np.int32), np.array([x for e in each for x in e], np.uint32)
+                self.start, code = np.cumsum(self.size, dtype=np.int64) - self.size, np.arange(len(each))
+        size = self.size[code].astype(np.int64) if len(code) else np.zeros(0, np.int64)
         row_end = np.cumsum(count)
         upto = np.concatenate(([0], np.cumsum(size)))
         n_row = upto[row_end] - upto[row_end - count] + 1
         total = int(n_row.sum())
         out = np.full(total, end_id, dtype=np.uint32)
-        word_row = np.repeat(np.arange(len(count)), count)
         where = upto[:-1] + word_row  # one end id for each row before
         pos = np.repeat(where - (upto[:-1]), size) + np.arange(int(upto[-1]))
         src = np.repeat(self.start[code] - upto[:-1], size) + np.arange(int(upto[-1])) if len(code) else pos
         out[pos] = self.flat[src]
+        if len(self.first) != len(self.size):
+            self._clear()
         return out, n_row
 
 

@@ -83,3 +83,14 @@ def test_stages_take_odd_rows(spark, make_docs, prose):
 def test_run_equals_the_stages(spark, steps):
     assert C.run(spark, SF).agg(F.count("*"), F.sum("n_tokens"), F.sum("ids_crc32")).first() == \
         steps["token_output"][1].agg(F.count("*"), F.sum("n_tokens"), F.sum("ids_crc32")).first()
+
+
+def test_first_stage_keeps_columns_whose_names_clash(spark, sf001):
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").withColumns(
+        {"score": F.col("doc_id") * 3, "lang_pred": F.lit("mine"), "rejected": F.lit(7), "own_0": F.col("doc_id")})
+    out = P.known_language(spark, docs, sf001)
+    assert out.dtypes == docs.dtypes
+    rows = out.collect()
+    assert rows and all((r.score, r.lang_pred, r.rejected, r.own_0) == (3 * r.doc_id, "mine", 7, r.doc_id) for r in rows)
