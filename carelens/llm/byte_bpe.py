@@ -17,6 +17,8 @@ import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
+from .text import held_by
+
 # Fixed value: the split rule that byte-level tokenizers of this kind use.
 SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -190,12 +192,10 @@ def encode(bpe: ByteBPE, body: bytes) -> np.ndarray:
     return one.ids()
 
 
-_loaded: dict[tuple[str, bool], ByteBPE] = {}
-
-
 def loaded(name: str, plain: bool = False) -> ByteBPE:
     """The tokenizer of a shipped file, once per Python worker."""
-    if (name, plain) not in _loaded:
-        _loaded.clear()
-        _loaded[name, plain] = ByteBPE(SparkFiles.get(name), plain)
-    return _loaded[name, plain]
+    held = held_by("byte BPE")
+    if (name, plain) not in held:
+        held.clear()
+        held[name, plain] = ByteBPE(SparkFiles.get(name), plain)
+    return held[name, plain]

@@ -350,15 +350,13 @@ class ItemBlock:
             yield r, i, first, end, distance
 
 
-_blocks: dict[str, ItemBlock] = {}
-
-
 def _block(token: str, shared, *options) -> ItemBlock:
     """The block of one broadcast, built once per Python worker."""
-    if token not in _blocks:
-        _blocks.clear()
-        _blocks[token] = ItemBlock(*shared.value, *options)
-    return _blocks[token]
+    held = T.held_by("decontamination")
+    if token not in held:
+        held.clear()
+        held[token] = ItemBlock(*shared.value, *options)
+    return held[token]
 
 
 def _matches(block: ItemBlock, texts: pa.Array):

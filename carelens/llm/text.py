@@ -33,6 +33,18 @@ _BASE = int(random_u64("base", 1)[0]) | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_held: dict[str, dict] = {}
+
+
+def held_by(operator: str) -> dict:
+    """What a Python worker keeps between the tasks of one operator. Workers are
+    used again by later stages: what another operator kept is dropped here."""
+    if operator not in _held:
+        _held.clear()
+        _held[operator] = {}
+    return _held[operator]
+
+
 @lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, dtype=U64)

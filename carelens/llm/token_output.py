@@ -116,13 +116,11 @@ class WordEncoder:
         return out, n_row
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    held = T.held_by("token output")
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def _writer(path: str, end_id: int, segment_tokens: int):
