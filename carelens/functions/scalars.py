@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from carelens import schema as S
+from carelens.functions.exact import bucket_and_digits, exact_sum, is_wide, plain_part, rounded_mean, with_plain_part  # noqa: F401
 
 # A decimal number with optional sign, fraction and exponent, surrounded by
 # optional blanks. Anything else (tokens, thousands separators, hex, Inf, NaN,

@@ -26,13 +26,15 @@ class Star:
     footnotes: DataFrame
     performance_data: DataFrame
     performance_footnotes: DataFrame
+    #: the loads counted no score that is not plain (see carelens.functions.exact)
+    plain_scores: bool = False
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "plain_scores"}
 
     def replace(self, **changes: DataFrame) -> "Star":
-        """A star with some tables swapped."""
-        return replace(self, **changes)
+        """A star with some tables swapped; of another fact nothing is known."""
+        return replace(self, **{"plain_scores": self.plain_scores and "performance_data" not in changes} | changes)
 
 
 def hospitals_dim(visits: DataFrame) -> DataFrame:

@@ -58,6 +58,6 @@ def append_star(spark: SparkSession, star_path: str, visits_from: Callable[[int]
         start = log.claim(load_id, rows)
         star = new_rows(visits.withColumn(S.ROW_ID, F.col(S.ROW_ID) + F.lit(start)), stored)
         part = new_part(load_id)
-        counts, _ = write_part(star, star_path, part, write=write)
-        if log.commit(version, {load_id: part}, start + rows, rows=counts):
+        counts, fact = write_part(star, star_path, part, write=write)
+        if log.commit(version, {load_id: part}, start + rows, rows=counts, facts=fact):
             return counts

@@ -29,11 +29,11 @@ def dashboard(star: Star, state: str | None = None, cache: bool = False) -> dict
     out = {
         "kpis": M.kpis(star, state),
         "national_performance": M.national_breakdown(star, state, order="category"),
-        "performance_by_volume": M.volume_tiers_short_of(local),
+        "performance_by_volume": M.volume_tiers_short_of(local, star.plain_scores),
         "top_hospitals": M.worst_hospitals(star, state),
         "worst_measures": M.worst_measures_of(
-            local.join(star.measures.select("measure_id", "measure_name"), "measure_id")),
-        "performance_by_state": M.state_map_of(shared),
-        "state_details": M.state_details_of(shared),
+            local.join(star.measures.select("measure_id", "measure_name"), "measure_id"), plain=star.plain_scores),
+        "performance_by_state": M.state_map_of(shared, plain=star.plain_scores),
+        "state_details": M.state_details_of(shared, plain=star.plain_scores),
     }
     return out

@@ -10,6 +10,8 @@ ties on the name columns so their rows are repeatable.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,45 @@ from carelens.operators.star import Star
 from carelens.sources.tables import FAMILY_COLUMN
 
 
-def avg2(c: str) -> Column:
-    """ROUND(AVG(c), 2), half away from zero, as a double.
+def _group(df: DataFrame, keys: list[str], sets: list[list[str]] | None, *more: str):
+    if sets is None:
+        return df.groupBy(*keys, *more)
+    return df.groupingSets([[F.col(c) for c in [*s, *more]] for s in sets], *[F.col(c) for c in [*keys, *more]])
+
+
+def grouped_mean(facts: DataFrame, keys: list[str], value: str, name: str, *aggs: Column, plain: bool = False,
+                 sets: list[list[str]] | None = None) -> DataFrame:
+    """``keys``, ``aggs`` and ``name`` = ROUND(AVG(value), 2), half away from zero, as a double.
 
-    Summed and divided as decimals (four places of the value count), so the
-    result does not depend on the order in which partitions are added.
+    The sum is exact (:mod:`carelens.functions.exact`), so it does not depend on
+    the order in which partitions are added. Plain numbers are summed with the
+    other aggregates; wide ones, if there may be any, by a second pass over them
+    alone. ``plain`` says that there are none (the load counted them): then
+    there is no second pass, and a wide number is an error, never a wrong mean.
+    With ``sets``, the grouping sets of ``keys``; ``all_<key>`` tells the rows
+    in which a key stands for all its values.
     """
-    total = F.sum(F.col(c).cast("decimal(18,4)"))
-    return F.round(total / F.count(c).cast("decimal(20,0)"), 2).cast("double")
+    x = F.col(value)
+    marks = [F.grouping(k).cast("boolean").alias(f"all_{k}") for k in keys] if sets else []
+    main = _group(facts, keys, sets).agg(*aggs, *marks, F.sum(X.plain_part(x)).alias("_sum"), F.count(x).alias("_n"), F.count_if(X.is_wide(x)).alias("_wide"))
+    simple = F.round(F.col("_sum") / F.col("_n").cast("decimal(20,0)"), 2).cast("double")
+    shown = [c for c in main.columns if c not in ("_sum", "_n", "_wide")]
+    if plain:
+        checked = F.when(F.col("_wide") > 0, F.raise_error(F.lit(f"{value}: numbers that the load did not count"))).otherwise(simple)
+        return main.select(*shown, checked.alias(name))
+    bucket, digits = X.bucket_and_digits(x)
+    by = [*keys, *(f"all_{k}" for k in keys if sets)]
+    wide = (_group(facts.filter(X.is_wide(x)).select(*keys, bucket.alias("bucket"), digits.alias("digits")), keys, sets, "bucket")
+            .agg(F.sum("digits").alias("digits"), *marks)
+            .groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.collect_list(F.struct("bucket", "digits")).alias("_buckets")))
+    both = main.join(wide, reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"_{k}")), by, F.lit(True)), "left")
+    return both.select(*shown, F.when(F.col("_wide") > 0, X.rounded_mean(X.with_plain_part(F.col("_buckets"), F.col("_sum")), F.col("_n")))
+                       .otherwise(simple).alias(name))
+
+
+def overall_mean(facts: DataFrame, value: str, plain: bool = False) -> Column:
+    """The mean over all rows as a scalar subquery (NULL without rows)."""
+    return grouped_mean(facts.withColumn("all", F.lit(1)), ["all"], value, "mean", plain=plain).select("mean").scalar()
 
 
 def readmission_facts(df: DataFrame) -> DataFrame:
@@ -90,14 +123,13 @@ def worst_measures(star: Star, state: str | None = None, join_hospitals: bool =
     if join_hospitals or state:
         f = f.join(hospitals_for(star, state), "facility_id")
     return worst_measures_of(f.join(star.measures.select("measure_id", "measure_name"),
-                                    "measure_id"), k)
+                                    "measure_id"), k, star.plain_scores)
 
 
-def worst_measures_of(facts: DataFrame, k: int = S.TOP_K) -> DataFrame:
+def worst_measures_of(facts: DataFrame, k: int = S.TOP_K, plain: bool = False) -> DataFrame:
     """N3/N4 aggregation over readmission facts that carry ``measure_name``."""
-    return (facts.groupBy("measure_name")
-            .agg(F.count("performance_id").alias("number_of_hospitals_reporting"),
-                 avg2("score").alias("average_score"))
+    return (grouped_mean(facts, ["measure_name"], "score", "average_score",
+                         F.count("performance_id").alias("number_of_hospitals_reporting"), plain=plain)
             .orderBy(F.desc("average_score"), "measure_name")
             .limit(k))
 
@@ -127,40 +159,35 @@ def _by_state(star: Star) -> DataFrame:
 
 def state_scores(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
     """Average readmission score per state with enough facilities."""
-    return (_by_state(star).groupBy("state")
-            .agg(F.count_distinct("facility_id").alias("number_of_hospitals"),
-                 avg2("score").alias("average_state_score"))
+    return (grouped_mean(_by_state(star), ["state"], "score", "average_state_score",
+                         F.count_distinct("facility_id").alias("number_of_hospitals"), plain=star.plain_scores)
             .filter(F.col("number_of_hospitals") > min_hospitals)
             .orderBy(F.desc("average_state_score"), "state"))
 
 
 def state_map(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
     """Per-state average for the map; the facility count only filters."""
-    return state_map_of(_by_state(star), min_hospitals)
+    return state_map_of(_by_state(star), min_hospitals, star.plain_scores)
 
 
-def state_map_of(facts: DataFrame, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
+def state_map_of(facts: DataFrame, min_hospitals: int = S.STATE_MIN_HOSPITALS, plain: bool = False) -> DataFrame:
     """N8 aggregation over readmission facts that carry ``state``."""
-    return (facts.groupBy("state")
-            .agg(avg2("score").alias("average_state_score"),
-                 F.count_distinct("facility_id").alias("_n"))
-            .filter(F.col("_n") > min_hospitals)
-            .drop("_n"))
+    return (grouped_mean(facts, ["state"], "score", "average_state_score", F.count_distinct("facility_id").alias("_places"), plain=plain)
+            .filter(F.col("_places") > min_hospitals)
+            .drop("_places"))
 
 
 def state_details(star: Star, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
     """Per-state facility count, volume, score range and average."""
-    return state_details_of(_by_state(star), min_hospitals)
+    return state_details_of(_by_state(star), min_hospitals, star.plain_scores)
 
 
-def state_details_of(facts: DataFrame, min_hospitals: int = S.STATE_MIN_HOSPITALS) -> DataFrame:
+def state_details_of(facts: DataFrame, min_hospitals: int = S.STATE_MIN_HOSPITALS, plain: bool = False) -> DataFrame:
     """N9 aggregation over readmission facts that carry ``state``."""
-    return (facts.groupBy("state")
-            .agg(F.count_distinct("facility_id").alias("number_of_hospitals"),
-                 F.sum("denominator").alias("total_patient_volume"),
-                 F.min("score").alias("min_score"),
-                 F.max("score").alias("max_score"),
-                 avg2("score").alias("average_score"))
+    return (grouped_mean(facts, ["state"], "score", "average_score",
+                         F.count_distinct("facility_id").alias("number_of_hospitals"),
+                         F.sum("denominator").alias("total_patient_volume"),
+                         F.min("score").alias("min_score"), F.max("score").alias("max_score"), plain=plain)
             .filter(F.col("number_of_hospitals") > min_hospitals)
             .orderBy(F.desc("average_score"), "state"))
 
@@ -188,10 +215,9 @@ def common_footnotes(star: Star, k: int = S.TOP_K) -> DataFrame:
 def volume_tiers(star: Star) -> DataFrame:
     """Average score per volume tier, long labels, no hospitals join."""
     f = readmission_facts(star.performance_data).filter(F.col("denominator").isNotNull())
-    return (f.select(X.volume_tier("denominator", S.VOLUME_LABELS_LONG).alias("hospital_volume_tier"),
-                     "score")
-            .groupBy("hospital_volume_tier")
-            .agg(F.count(F.lit(1)).alias("number_of_measures"), avg2("score").alias("average_score"))
+    tiers = f.select(X.volume_tier("denominator", S.VOLUME_LABELS_LONG).alias("hospital_volume_tier"), "score")
+    return (grouped_mean(tiers, ["hospital_volume_tier"], "score", "average_score",
+                         F.count(F.lit(1)).alias("number_of_measures"), plain=star.plain_scores)
             .orderBy("average_score", "hospital_volume_tier"))
 
 
@@ -200,15 +226,14 @@ def volume_tiers_by_state(star: Star, state: str | None = None) -> DataFrame:
     f = (readmission_facts(star.performance_data).filter(F.col("denominator").isNotNull())
          .select("facility_id", "denominator", "score")
          .join(hospitals_for(star, state), "facility_id"))
-    return volume_tiers_short_of(f)
+    return volume_tiers_short_of(f, star.plain_scores)
 
 
-def volume_tiers_short_of(facts: DataFrame) -> DataFrame:
+def volume_tiers_short_of(facts: DataFrame, plain: bool = False) -> DataFrame:
     """N12 aggregation over readmission facts joined to hospitals."""
-    return (facts.filter(F.col("denominator").isNotNull())
-            .select(X.volume_tier("denominator", S.VOLUME_LABELS_SHORT).alias("tier"), "score")
-            .groupBy("tier").agg(avg2("score").alias("average_score"))
-            .orderBy("tier"))
+    tiers = (facts.filter(F.col("denominator").isNotNull())
+             .select(X.volume_tier("denominator", S.VOLUME_LABELS_SHORT).alias("tier"), "score"))
+    return grouped_mean(tiers, ["tier"], "score", "average_score", plain=plain).orderBy("tier")
 
 
 # --- N13 --------------------------------------------------------------------
@@ -235,7 +260,7 @@ def kpi_summary(star: Star) -> DataFrame:
     """Facility and measure counts from the dimensions and the national
     readmission average without a hospitals join, as one row (N14, U2)."""
     measures = star.measures.agg(F.count_distinct("measure_id")).scalar()
-    avg = readmission_facts(star.performance_data).agg(avg2("score")).scalar()
+    avg = overall_mean(readmission_facts(star.performance_data), "score", star.plain_scores)
     return star.hospitals.agg(F.count_distinct("facility_id").alias("total_hospitals")).select(
         "total_hospitals", measures.alias("total_measures"),
         avg.alias("average_readmission_score"))
@@ -251,6 +276,6 @@ def kpis(star: Star, state: str | None = None) -> DataFrame:
         h = h.filter(F.col("state") == state)
     f = (readmission_facts(star.performance_data).select("facility_id", "score")
          .join(hospitals_for(star, state), "facility_id"))
-    avg = f.agg(avg2("score")).scalar()
+    avg = overall_mean(f, "score", star.plain_scores)
     return h.agg(F.count_distinct("facility_id").alias("total_hospitals")).select(
         "total_hospitals", avg.alias("average_readmission_score"))

@@ -32,11 +32,13 @@ WAIT_S = 5.0
 @dataclass
 class State:
     """What the log says: ``version`` commits; ``parts`` visible partitions by load,
-    ``since`` the commit that replaced the star last, ``last_id`` the largest id in use."""
+    ``since`` the commit that replaced the star last, ``last_id`` the largest id in use;
+    ``rows`` and ``facts``: what was counted while each load was written."""
     version: int = 0
     since: int = 0
     parts: dict[str, str] = field(default_factory=dict)
     rows: dict[str, dict] = field(default_factory=dict)
+    facts: dict[str, dict] = field(default_factory=dict)
     last_id: int = 0
 
 
@@ -87,9 +89,10 @@ class LoadLog:
         s = State()
         for n, e in self._entries("commit"):
             if e["replace"]:
-                s.parts, s.rows, s.last_id, s.since = {}, {}, 0, n
+                s.parts, s.rows, s.facts, s.last_id, s.since = {}, {}, {}, 0, n
             s.parts.update(e["parts"])
             s.rows.update({k: e["rows"] for k in e["parts"]})
+            s.facts.update({k: e["facts"] for k in e["parts"]})
             s.version, s.last_id = n, max(s.last_id, e["last_id"])
         return s
 
@@ -106,7 +109,7 @@ class LoadLog:
                             {"load_id": load_id, "start": start, "rows": rows, "since": now.since}):
                 return start
 
-    def commit(self, version: int, parts: dict[str, str], last_id: int, replace: bool = False, rows: dict | None = None) -> bool:
+    def commit(self, version: int, parts: dict[str, str], last_id: int, replace: bool = False, rows: dict | None = None, facts: dict | None = None) -> bool:
         """Make ``parts`` (partition of each load) visible; False if other loads came in since ``version``."""
         return self._create(f"commit-{version + 1:010d}.json",
-                            {"parts": parts, "last_id": last_id, "replace": replace, "rows": rows or {}, "at": time.time()})
+                            {"parts": parts, "last_id": last_id, "replace": replace, "rows": rows or {}, "facts": facts or {}, "at": time.time()})

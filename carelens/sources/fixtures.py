@@ -150,6 +150,13 @@ def facts_fractional(performance_data: DataFrame) -> DataFrame:
     return performance_data.withColumn("score", F.col("score") + (F.col("performance_id") % 1000) / F.lit(1000.0))
 
 
+def facts_wide_range(performance_data: DataFrame) -> DataFrame:
+    """The fact with scores of very unlike sizes: 1e20 and -1e20 on some rows, 0.00001 on others."""
+    k = F.col("performance_id") % 97
+    return performance_data.withColumn("score", F.when(F.col("score").isNotNull(), F.when(k == 0, F.lit(1e20)).when(
+        k == 1, F.lit(-1e20)).when(k < 40, F.lit(1e-5)).otherwise(F.col("score"))))
+
+
 def more_links(performance_footnotes: DataFrame, performance_data: DataFrame) -> DataFrame:
     """The links plus links to further ids, which the footnotes table lacks."""
     for i, n in MORE_FOOTNOTE_IDS.items():

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelens import schema as S
+from carelens.functions.exact import is_wide
 from carelens.operators.star import Star
 from carelens.session import folder_names, path_exists, remove_path
 from carelens.sources.commits import LoadLog
@@ -42,7 +43,7 @@ def write_table(name: str, df: DataFrame, path: str, part: str) -> dict:
     seen = Observation()
     counted = [F.count(F.lit(1)).alias("rows")]
     if name == "performance_data":
-        counted.append(F.max("performance_id").alias("last_id"))
+        counted += [F.max("performance_id").alias("last_id"), F.count_if(is_wide(F.col("score"))).alias("wide_scores")]
     writer = df.observe(seen, *counted)
     if name == "performance_data":
         writer = writer.withColumn(FAMILY_COLUMN, measure_family("measure_id")).write.partitionBy(FAMILY_COLUMN)
@@ -53,8 +54,8 @@ def write_table(name: str, df: DataFrame, path: str, part: str) -> dict:
     return seen.get
 
 
-def write_part(star: Star, path: str, part: str, parallel: int = 5, write: Callable = write_table) -> tuple[dict[str, int], int]:
-    """Write the five tables' rows as partition ``part``: rows per table (S10) and largest fact id.
+def write_part(star: Star, path: str, part: str, parallel: int = 5, write: Callable = write_table) -> tuple[dict[str, int], dict]:
+    """Write the five tables' rows as partition ``part``: rows per table (S10), and what was counted of the fact.
 
     The five writes are independent jobs over the same stored input and are
     submitted together (``parallel`` threads), so the stages of one fill the
@@ -65,7 +66,7 @@ def write_part(star: Star, path: str, part: str, parallel: int = 5, write: Calla
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         seen = dict(pool.map(one, star.tables().items()))
-    return {n: x["rows"] for n, x in seen.items()}, int(seen["performance_data"]["last_id"] or 0)
+    return {n: x["rows"] for n, x in seen.items()}, seen["performance_data"]
 
 
 def new_part(load_id: str) -> str:
@@ -98,10 +99,10 @@ def save_star(star: Star, path: str, mode: str = "overwrite", load_id: str = FIR
     log, part = LoadLog(spark, path), new_part(load_id)
     if mode == "append" and not log.exists() and star_exists(spark, path):
         log.commit(0, stored_parts(spark, path), 0)
-    rows, last_id = write_part(star, path, part, parallel, write)
+    rows, fact = write_part(star, path, part, parallel, write)
     while True:  # again if another load came in: this one's rows do not depend on it
         before = log.state()
-        if log.commit(before.version, {load_id: part}, last_id, mode == "overwrite", rows):
+        if log.commit(before.version, {load_id: part}, fact["last_id"] or 0, mode == "overwrite", rows, fact):
             break
     if mode == "overwrite":
         remove_path(spark, *[f"{path.rstrip('/')}/{n}/{LOAD_COLUMN}={p}" for n in TABLES for p in before.parts.values()])
@@ -159,7 +160,9 @@ def load_star(spark: SparkSession, path: str, check: bool = True, without_load:
     """
     base = path.rstrip("/")
     log, t = LoadLog(spark, base), {}
-    parts = [p for k, p in log.state().parts.items() if k != without_load] if log.exists() else None
+    state = log.state()
+    parts = [p for k, p in state.parts.items() if k != without_load] if log.exists() else None
+    plain = bool(parts) and all(state.facts[k].get("wide_scores") == 0 for k in state.parts)
     for name in TABLES:
         extra = f", {LOAD_COLUMN} string" + (f", {FAMILY_COLUMN} string" if name == "performance_data" else "")
         df = spark.read.schema(S.STAR_DDL[name] + extra).parquet(f"{base}/{name}")
@@ -170,7 +173,7 @@ def load_star(spark: SparkSession, path: str, check: bool = True, without_load:
         elif without_load is not None:
             df = df.filter(F.col(LOAD_COLUMN) != without_load)
         t[name] = df.drop(LOAD_COLUMN)
-    return Star(**t)
+    return Star(**t, plain_scores=plain)
 
 
 def save_star_tables(star: Star, database: str | None = None, mode: str = "overwrite",

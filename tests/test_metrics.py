@@ -164,7 +164,8 @@ def test_averages_have_the_same_bits_whatever_the_partitions(spark, star):
                                           ([2.675], 2.68), ([1.0, 1.0, 2.0], 1.33), ([None], None)])
 def test_averages_round_half_away_from_zero(spark, scores, mean):
     df = spark.createDataFrame([(x,) for x in scores], "score double")
-    assert df.agg(M.avg2("score")).first()[0] == mean
+    for plain in (False, True):
+        assert df.select(M.overall_mean(df, "score", plain)).first()[0] == mean
 
 
 def test_large_dimensions_are_shuffle_joined(spark, star):
@@ -182,3 +183,43 @@ def test_large_dimensions_are_shuffle_joined(spark, star):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert got == expected
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def exact(values):
+    """The mean of the numbers as they are written, rounded to cents, half away from zero."""
+    import decimal
+    known = [decimal.Decimal(repr(v)) for v in values if v is not None]
+    with decimal.localcontext(prec=900):
+        return float((sum(known) / len(known)).quantize(decimal.Decimal("0.01"), decimal.ROUND_HALF_UP)) if known else None
+
+
+def test_means_of_any_doubles_are_exact(spark):
+    import random
+    r = random.Random(3)
+    kinds = [lambda: float(r.randint(-50, 50)), lambda: r.randint(-9999, 9999) / 1000, lambda: r.uniform(-1, 1) * 10.0 ** r.randint(-300, 300),
+             lambda: 1e20, lambda: 1e-5, lambda: -1e20, lambda: r.choice([0.005, -0.005, 0.125, 2.675]), lambda: None, lambda: 5e-324, lambda: 1.7e308]
+    values = {}
+    for g in [None, *range(60)]:
+        use = r.sample(kinds, r.randint(1, 4))
+        values[g] = [r.choice(use)() for _ in range(r.randint(1, 40))]
+    df = spark.createDataFrame([(g, x) for g, v in values.items() for x in v], "g int, x double")
+    for parts in (1, 37):
+        got = {a.g: a.m for a in M.grouped_mean(df.repartition(parts), ["g"], "x", "m").collect()}
+        assert got == {g: exact(v) for g, v in values.items()}
+    sets = M.grouped_mean(df, ["g"], "x", "m", sets=[[], ["g"]]).collect()
+    assert {a.g: a.m for a in sets if not a.all_g} == got
+    assert [a.m for a in sets if a.all_g] == [exact([x for v in values.values() for x in v])]
+
+
+def test_a_star_said_to_be_plain_gives_no_wrong_mean(spark):
+    import pytest as p
+    df = spark.createDataFrame([(1e20,), (1.0,)], "score double")
+    with p.raises(Exception, match="did not count"):
+        df.select(M.overall_mean(df, "score", True)).collect()
+
+
+def test_summary_of_wide_values(spark):
+    from carelens.operators import quality as Q
+    v = [1e20, -1e20, 1e-5, 3.0, None, 0.1]
+    got = Q.metric_summary(spark.createDataFrame([(x,) for x in v], "score double"), ["score"]).first()
+    assert (got.mean, got["min"], got["max"], got.median, got.missing) == ((3.10001) / 5, -1e20, 1e20, 0.1, 1)
