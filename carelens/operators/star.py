@@ -28,13 +28,17 @@ class Star:
     performance_footnotes: DataFrame
     #: the loads counted no score that is not plain (see carelens.functions.exact)
     plain_scores: bool = False
+    #: the loads' partial results by facility (see carelens.plans.states), if stored
+    facility_state: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "plain_scores"}
+        return {f.name: getattr(self, f.name) for f in fields(self)[:5]}
 
     def replace(self, **changes: DataFrame) -> "Star":
         """A star with some tables swapped; of another fact nothing is known."""
-        return replace(self, **{"plain_scores": self.plain_scores and "performance_data" not in changes} | changes)
+        if "performance_data" in changes:
+            changes = {"plain_scores": False, "facility_state": None} | changes
+        return replace(self, **changes)
 
 
 def hospitals_dim(visits: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from carelens import schema as S
 from carelens.functions.exact import is_wide
 from carelens.operators.star import Star
+from carelens.plans.states import DDL as STATE_DDL, facility_state
 from carelens.session import folder_names, path_exists, remove_path
 from carelens.sources.commits import LoadLog
 
@@ -26,6 +27,7 @@ FAMILY_COLUMN = "measure_family"
 LOAD_COLUMN = "load_id"
 FIRST_LOAD = "first"
 OTHER_FAMILY = "OTHER"
+STATE_TABLE = "readmission_by_facility"
 TABLES = ["hospitals", "measures", "footnotes", "performance_data", "performance_footnotes"]
 
 
@@ -57,16 +59,17 @@ def write_table(name: str, df: DataFrame, path: str, part: str) -> dict:
 def write_part(star: Star, path: str, part: str, parallel: int = 5, write: Callable = write_table) -> tuple[dict[str, int], dict]:
     """Write the five tables' rows as partition ``part``: rows per table (S10), and what was counted of the fact.
 
-    The five writes are independent jobs over the same stored input and are
-    submitted together (``parallel`` threads), so the stages of one fill the
+    The writes (the tables, and the partial results of the reports) are
+    independent jobs over the same stored input and are submitted together (``parallel`` threads), so the stages of one fill the
     slots the small final stages of another leave idle.
     """
     def one(item):
         return item[0], write(item[0], item[1], f"{path.rstrip('/')}/{item[0]}", part)
 
+    tables = star.tables() | {STATE_TABLE: facility_state(star.performance_data)}
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        seen = dict(pool.map(one, star.tables().items()))
-    return {n: x["rows"] for n, x in seen.items()}, seen["performance_data"]
+        seen = dict(pool.map(one, tables.items()))
+    return {n: seen[n]["rows"] for n in TABLES}, seen["performance_data"]
 
 
 def new_part(load_id: str) -> str:
@@ -105,7 +108,7 @@ def save_star(star: Star, path: str, mode: str = "overwrite", load_id: str = FIR
         if log.commit(before.version, {load_id: part}, fact["last_id"] or 0, mode == "overwrite", rows, fact):
             break
     if mode == "overwrite":
-        remove_path(spark, *[f"{path.rstrip('/')}/{n}/{LOAD_COLUMN}={p}" for n in TABLES for p in before.parts.values()])
+        remove_path(spark, *[f"{path.rstrip('/')}/{n}/{LOAD_COLUMN}={p}" for n in [*TABLES, STATE_TABLE] for p in before.parts.values()])
     return rows
 
 
@@ -113,7 +116,7 @@ def remove_unseen(spark: SparkSession, path: str) -> list[str]:
     """Delete the partitions that no reader sees (of failed or replaced loads).
     Not while another load is running: its partitions are not visible yet."""
     seen, gone = set(LoadLog(spark, path).state().parts.values()), []
-    for name in TABLES:
+    for name in [*TABLES, STATE_TABLE]:
         base = f"{path.rstrip('/')}/{name}"
         gone += [f"{base}/{n}" for n in folder_names(spark, base) if n.startswith(f"{LOAD_COLUMN}=") and n.split("=", 1)[1] not in seen]
     remove_path(spark, *gone)
@@ -173,6 +176,9 @@ def load_star(spark: SparkSession, path: str, check: bool = True, without_load:
         elif without_load is not None:
             df = df.filter(F.col(LOAD_COLUMN) != without_load)
         t[name] = df.drop(LOAD_COLUMN)
+    if log.exists() and path_exists(spark, f"{base}/{STATE_TABLE}"):
+        state_rows = spark.read.schema(f"{STATE_DDL}, {LOAD_COLUMN} string").parquet(f"{base}/{STATE_TABLE}")
+        t["facility_state"] = state_rows.filter(F.col(LOAD_COLUMN).isin(parts)).drop(LOAD_COLUMN)
     return Star(**t, plain_scores=plain)
 
 
