@@ -35,6 +35,7 @@ LEAST = 64     # a place close behind another one is no cut
 MIN_SHARE = 0.5
 TEXT, CHUNK, SPECIAL = 0, 1, 2
 IDS_SCHEMA = "doc_id long, ids binary"
+TEXT_SCHEMA = IDS_SCHEMA + ", decoded string"
 PIECE_SCHEMA = "part int, row long, doc_id long, pos int, kind int, key binary, body binary"
 _GEAR = T.random_u64("gear", 256).astype(np.uint32)
 
@@ -100,7 +101,18 @@ def _marked(o, r, seen):
     return start, end, row, hit, (share > 0) & (share >= MIN_SHARE * np.diff(o))
 
 
-def _alone(seen, name: str):
+def _text(bpe, ids: np.ndarray) -> str:
+    return bpe.bytes_of(ids).decode("utf-8", "replace")
+
+
+def _rows(bpe, doc_ids: pa.Array, ids: list[np.ndarray], decoded: bool) -> pa.RecordBatch:
+    cols = [doc_ids, pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+    if decoded:
+        cols.append(pa.array([_text(bpe, x) for x in ids], pa.string()))
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "decoded"][:len(cols)])
+
+
+def _alone(seen, name: str, decoded: bool):
     """Ids of the texts that hold too few chunks of the bitmap to take them from elsewhere."""
     def run(batches):
         bpe = loaded(name)
@@ -110,8 +122,8 @@ def _alone(seen, name: str):
             for a, b, o, r in T.chunks(off, raw):
                 shared = _marked(o, r, seen.value)[4]
                 rows = np.flatnonzero(~shared)
-                body = [encode_text(bpe, r[o[i]:o[i + 1]].tobytes()).astype("<u4").tobytes() for i in rows]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(rows)), pa.array(body, pa.binary())], ["doc_id", "ids"])
+                yield _rows(bpe, ids.slice(a, b - a).take(pa.array(rows)), [encode_text(bpe, r[o[i]:o[i + 1]].tobytes()) for i in rows], decoded)
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -162,7 +174,7 @@ def _encode_chunks(name: str):
     return run
 
 
-def _assemble(name: str):
+def _assemble(name: str, decoded: bool):
     """Rows sorted by part, row, pos: the pieces of one text follow each other."""
     def run(batches):
         bpe, now, one, doc = loaded(name), None, None, None
@@ -171,7 +183,7 @@ def _assemble(name: str):
             for part, row, doc_id, kind, body in zip(*(batch.column(c).to_pylist() for c in ("part", "row", "doc_id", "kind", "body"))):
                 if (part, row) != now:
                     if one is not None:
-                        done.append((doc, one.ids().astype("<u4").tobytes()))
+                        done.append((doc, one.ids()))
                     now, one, doc = (part, row), Joiner(bpe), doc_id
                 if kind == CHUNK:
                     one.chunk(np.frombuffer(body, dtype=bpe.narrow).astype(np.uint32))
@@ -179,14 +191,16 @@ def _assemble(name: str):
                     one.text(body)
                 else:
                     one.special(bpe.special[body])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.binary())], ["doc_id", "ids"])
+            yield _rows(bpe, pa.array([x[0] for x in done], pa.int64()), [x[1] for x in done], decoded)
+            pa.default_memory_pool().release_unused()
         if one is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([one.ids().astype("<u4").tobytes()], pa.binary())], ["doc_id", "ids"])
+            yield _rows(bpe, pa.array([doc], pa.int64()), [one.ids()], decoded)
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers in one binary) of every row of ``docs (doc_id, text)``.
+def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers in one binary) of every row of ``docs (doc_id, text)``;
+    with ``decoded`` also the text that the ids decode to, found where they are made.
 
     A null or empty text has no ids (an empty binary, not null). Rows that
     repeat, also with one doc_id, each give a row; other columns are ignored,
@@ -198,8 +212,9 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     ship(spark)
     name = ship_file(spark, tokenizer)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = TEXT_SCHEMA if decoded else IDS_SCHEMA
     seen = repeated_bitmap(docs)
-    alone = docs.mapInArrow(_alone(seen, name), IDS_SCHEMA)
+    alone = docs.mapInArrow(_alone(seen, name, decoded), schema)
     # written, so that the numbers of rows stay when they are read twice
     pieces, _ = store(docs.mapInArrow(_pieces(seen, name), PIECE_SCHEMA), "pieces")
     chunks = pieces.filter(F.col("kind") == CHUNK)
@@ -208,7 +223,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     placed = chunks.select(*place, "key").join(once, "key").select(*place, F.col("ids").alias("body"))
     rest = pieces.filter(F.col("kind") != CHUNK).select(*place, "body")
     joined = (placed.unionByName(rest).repartition("part", "row").sortWithinPartitions("part", "row", "pos")
-              .mapInArrow(_assemble(name), IDS_SCHEMA))
+              .mapInArrow(_assemble(name, decoded), schema))
     return alone.unionByName(joined)
 
 
@@ -216,7 +231,7 @@ def _decode(name: str, columns: list[str]):
     def run(batches):
         bpe = loaded(name)
         for batch in batches:
-            text = [None if x is None else bpe.bytes_of(np.frombuffer(x, dtype="<u4")).decode("utf-8", "replace")
+            text = [None if x is None else _text(bpe, np.frombuffer(x, dtype="<u4"))
                     for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(text, pa.string())], [*columns, "decoded"])
     return run

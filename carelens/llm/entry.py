@@ -64,8 +64,7 @@ def op9_token_output(spark, d):
 def op11_bpe_chunk_reuse(spark, d):
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe_chunks.encode(table(spark, d, "documents"), path)
-    return bpe_chunks.decode(ids, path).select(
+    return bpe_chunks.encode(table(spark, d, "documents"), path, decoded=True).select(
         "doc_id", F.expr("bigint(length(ids) div 4)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

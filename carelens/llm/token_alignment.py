@@ -213,6 +213,7 @@ def _align(a: str, b: str, with_tokens: bool):
                     cols += [pa.array(_split(x[c], x["n_links"]), pa.binary()) for c in ("link_a", "link_b")]
                     labels += ["a_ids", "b_ids", "link_a", "link_b"]
                 yield pa.RecordBatch.from_arrays(cols, labels)
+            pa.default_memory_pool().release_unused()
     return run
 
 

@@ -92,6 +92,8 @@ def rows_of(prose):
 def test_equals_the_library(lib, make_docs, prose):
     rows = rows_of(prose)
     assert by_operator(make_docs(rows)) == by_library(lib, rows)
+    both = bpe_chunks.encode(make_docs(rows), PATH, decoded=True).collect()
+    assert sorted([(r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.decoded) for r in both], key=repr) == by_library(lib, rows)
 
 
 def test_chunks_are_reused(make_docs, prose, spark):
