@@ -13,7 +13,8 @@ the log names. A load that dies before that leaves partitions no reader sees.
   looks again at what is stored (a facility may be known now) and tries N + 1.
 
 Files are made with "create, and fail if it exists" of the file system of the
-star's folder, which must keep that promise (HDFS does, local disks do).
+star's folder, which must do both in one step (HDFS does; on a local disk the
+system call is used).
 """
 
 from __future__ import annotations
@@ -53,8 +54,14 @@ class LoadLog:
 
     def _create(self, name: str, entry: dict) -> bool:
         """Add a file; False if it is there already."""
+        path = self._path(name)
+        if self.fs.getScheme() == "file":  # whose create looks first and makes the file then; the system call does both at once
+            self.fs.mkdirs(self._path(""))
+            plain = self.jvm.org.apache.hadoop.fs.Path.getPathWithoutSchemeAndAuthority(path).toString()
+            if not self.jvm.java.io.File(plain).createNewFile():
+                return False
         try:
-            out = self.fs.create(self._path(name), False)
+            out = self.fs.create(path, self.fs.getScheme() == "file")
         except Py4JJavaError as e:
             if "FileAlreadyExists" in e.java_exception.getClass().getName():
                 return False
@@ -66,12 +73,12 @@ class LoadLog:
     def _read(self, name: str) -> dict:
         until = time.monotonic() + WAIT_S
         while True:
-            reader = self.jvm.java.io.BufferedReader(self.jvm.java.io.InputStreamReader(self.fs.open(self._path(name)), "UTF-8"))
-            line = reader.readLine()
-            reader.close()
             try:
+                reader = self.jvm.java.io.BufferedReader(self.jvm.java.io.InputStreamReader(self.fs.open(self._path(name)), "UTF-8"))
+                line = reader.readLine()
+                reader.close()
                 return json.loads(line)
-            except (TypeError, ValueError):  # made by another load that has not written it yet
+            except (TypeError, ValueError, Py4JJavaError):  # made by another load that has not written it yet
                 if time.monotonic() > until:
                     raise RuntimeError(f"{self.folder}/{name} has no content: its writer died; delete the file and run the load again") from None
                 time.sleep(0.1)
