@@ -59,7 +59,8 @@ def grouped_mean(facts: DataFrame, keys: list[str], value: str, name: str, *aggs
 
 def overall_mean(facts: DataFrame, value: str, plain: bool = False) -> Column:
     """The mean over all rows as a scalar subquery (NULL without rows)."""
-    return grouped_mean(facts.withColumn("all", F.lit(1)), ["all"], value, "mean", plain=plain).select("mean").scalar()
+    one = F.coalesce(F.col(value) * 0, F.lit(0))  # not a literal: the join on it stays an equi-join
+    return grouped_mean(facts.withColumn("all", one), ["all"], value, "mean", plain=plain).select("mean").scalar()
 
 
 def readmission_facts(df: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def merged(star: Star, keys: list[str]) -> DataFrame:
         raise ValueError("this star was stored without the loads' partial results")
     placed = star.facility_state.join(star.hospitals.select("facility_id", *[k for k in keys if k != "all"]), "facility_id")
     if "all" in keys:
-        placed = placed.withColumn("all", F.lit(1))
+        placed = placed.withColumn("all", F.coalesce(F.col("n") * 0, F.lit(0)))  # not a literal: the join on it stays an equi-join
     out = placed.groupBy(*keys).agg(
         F.count_distinct("facility_id").alias("number_of_hospitals"), F.sum("volume").alias("volume"), F.min("low").alias("low"),
         F.max("high").alias("high"), F.sum("plain").cast("decimal(38,4)").alias("plain"), F.sum("n").alias("n"))
