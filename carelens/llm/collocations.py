@@ -27,7 +27,8 @@ from .tables import ship, stored
 
 MAX_WORDS = 5
 SHARD_PHRASES = 1 << 19     # candidates in one trie
-GATHER_BYTES = 8 << 20      # text whose candidates are summed before they leave a task
+GATHER_BYTES = 4 << 20      # text whose candidates are summed before they leave a task
+EMIT_ROWS = 1 << 16         # rows handed to Spark at a time
 BIG = 4                     # states with more children are placed one by one
 _CUT = np.zeros(256, dtype=bool)
 _CUT[[ord(c) for c in ".,;:!?"] + list(range(10, 14))] = True
@@ -164,6 +165,7 @@ def _batches(batches):
         lang = batch.column("lang_hash").to_numpy(zero_copy_only=False)
         for a, b, o, r in T.chunks(off, raw, GATHER_BYTES):
             yield positions(o, r), r, lang[a:b], batch.column("lang").slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def reach(trie: Trie, p: Positions, lang: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,16 +189,21 @@ def _words(batches):
     for p, raw, lang, names in _batches(batches):
         key = T.mix(p.hash.view(np.uint64) ^ T.mix(lang.view(np.uint64))[p.row])
         _, first, n = np.unique(key, return_index=True, return_counts=True)
-        low = T.LOWER[raw].tobytes()
-        words = [low[a:b].decode("utf-8", "replace") for a, b in zip(p.start[first], p.end[first])]
-        yield pa.RecordBatch.from_arrays(
-            [names.take(pa.array(p.row[first])), pa.array(lang[p.row[first]]), pa.array(p.hash[first]), pa.array(words, pa.string()), pa.array(n.astype(np.int64))],
-            ["lang_name", "lang", "w1", "word", "n"])
+        low, key = T.LOWER[raw].tobytes(), None
+        for a in range(0, len(first), EMIT_ROWS):
+            at, found = first[a:a + EMIT_ROWS], n[a:a + EMIT_ROWS]
+            words = [low[x:y].decode("utf-8", "replace") for x, y in zip(p.start[at], p.end[at])]
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(p.row[at])), pa.array(lang[p.row[at]]), pa.array(p.hash[at]), pa.array(words, pa.string()), pa.array(found.astype(np.int64))],
+                ["lang_name", "lang", "w1", "word", "n"])
 
 
 def _emit(lang, cols, n):
-    cols = [pa.array(c) for c in cols] + [pa.nulls(len(n), pa.int64())] * (MAX_WORDS - len(cols))
-    return pa.RecordBatch.from_arrays([pa.array(lang), *cols, pa.array(n.astype(np.int64))], ["lang", *WORDS, "n"])
+    """Batches of bounded size: both sides of the pipe hold one at a time."""
+    for a in range(0, len(n), EMIT_ROWS):
+        part = slice(a, a + EMIT_ROWS)
+        words = [pa.array(c[part]) for c in cols] + [pa.nulls(len(n[part]), pa.int64())] * (MAX_WORDS - len(cols))
+        yield pa.RecordBatch.from_arrays([pa.array(lang[part]), *words, pa.array(n[part].astype(np.int64))], ["lang", *WORDS, "n"])
 
 
 def _held(shared, alone: bool):
@@ -221,8 +228,8 @@ def _gather(tries, k: int):
             for d in range(k):
                 key = T.mix(key + p.hash[at + d].view(np.uint64))
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            at = at[first]
-            yield _emit(lang[p.row[at]], [p.hash[at + d] for d in range(k)], n)
+            at, key = at[first], None
+            yield from _emit(lang[p.row[at]], [p.hash[at + d] for d in range(k)], n)
     return run
 
 
@@ -235,7 +242,7 @@ def _count(shared, phrases_of):
             _, state = reach(trie, p, lang, trie.depth)
             total += np.bincount(trie.leaf[state], minlength=len(rows))
         i = np.flatnonzero(total)
-        yield _emit(rows[i, 0], [rows[i, d] for d in range(1, rows.shape[1])], total[i])
+        yield from _emit(rows[i, 0], [rows[i, d] for d in range(1, rows.shape[1])], total[i])
     return run
 
 
