@@ -2,11 +2,13 @@
 
 A line's key is the line without white space at its ends, A-Z lower-cased,
 held as a 128-bit hash. A *run* is a Parquet folder of (key, documents that
-have it), hash-partitioned and sorted by key. Each batch of documents is
-merge-anti-joined with the runs (which of its keys are new, which were seen
-how often) and adds a run of its own at level 0; when ``fanout`` runs share a
-level they are merged, counts added, into one of the next level. So n batches
-leave at most (fanout - 1) * log(n) runs, and each key is rewritten log(n) times.
+have it, whether the key entered here), hash-partitioned and sorted by key.
+Each batch of documents is merge-anti-joined with the runs: its run at level 0
+holds the new keys as entering, and the known ones as raises of their counts.
+When ``fanout`` runs share a level they are merged, counts added, into one of
+the next level. So n batches leave at most (fanout - 1) * log(n) runs, and each
+key is rewritten log(n) times. A key may become frequent in the last batch, so
+lines are dropped when all batches are in.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ class LineRuns:
         self.levels: list[list[str]] = []
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
+        return self.spark.read.schema("h1 long, h2 long, n long, first boolean").parquet(*paths)
 
     def _write(self, counts: DataFrame) -> str:
         path = scratch_path(self.spark, "line_run")
@@ -95,15 +97,22 @@ class LineRuns:
             return self.spark.createDataFrame([], "h1 long, h2 long, n long")
         return self._read(self.runs()).groupBy(*KEY).agg(F.sum("n").alias("n"))
 
+    def marked(self, keys: DataFrame) -> DataFrame:
+        """``keys`` with ``first``: whether the key is in no run yet. One merge join for
+        all runs: each key is ``first`` in one of them, and only those rows are read."""
+        if not self.runs():
+            return keys.withColumn("first", F.lit(True))
+        known = self._read(self.runs()).filter("first").select(*KEY, F.lit(True).alias("_known"))
+        return keys.join(known.hint("merge"), KEY, "left").withColumn("first", F.isnull("_known")).drop("_known")
+
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of ``keys`` whose key is in no run yet."""
-        for p in self.runs():
-            keys = keys.join(self._read([p]), KEY, "left_anti")
-        return keys
+        return self.marked(keys).filter("first").drop("first")
 
     def add(self, counts: DataFrame) -> None:
-        """Add a batch's ``(h1, h2, n)`` as a run, then compact full levels."""
-        self._put(0, self._write(counts))
+        """Merge-anti-join a batch's ``(h1, h2, n)`` (a key once) with the runs and add its
+        own run: new keys enter, known ones raise their counts. Then compact full levels."""
+        self._put(0, self._write(self.marked(counts)))
 
     def _put(self, level: int, path: str) -> None:
         while len(self.levels) <= level:
@@ -111,7 +120,7 @@ class LineRuns:
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = self._write(self._read(full).groupBy(*KEY).agg(F.sum("n").alias("n")))
+            merged = self._write(self._read(full).groupBy(*KEY).agg(F.sum("n").alias("n"), F.bool_or("first").alias("first")))
             remove(self.spark, *full)
             self._put(level + 1, merged)
 

@@ -52,6 +52,31 @@ def test_oracle(spark, sf001):
     assert (want["n_dropped"] > 0).any()
 
 
+def test_every_batch_of_the_query_is_joined_with_the_runs(spark, sf001, monkeypatch):
+    joined, merged, stores = [], [], []
+    marked, put = L.LineRuns.marked, L.LineRuns._put
+
+    def seen_marked(self, keys):
+        stores.append(self)
+        out = marked(self, keys)
+        joined.append((len(self.runs()), *out.agg({"first": "count"}).first(), out.filter("first").count()))
+        return out
+
+    def seen_put(self, level, path):
+        merged.append(level)
+        put(self, level, path)
+
+    monkeypatch.setattr(L.LineRuns, "marked", seen_marked)
+    monkeypatch.setattr(L.LineRuns, "_put", seen_put)
+    entry.op6_line_dedup(spark, sf001)
+    assert [n for n, _, _ in joined] == [0, 1, 1, 2]      # runs there were for each batch
+    assert merged == [0, 0, 1, 0, 0, 1, 2]                # levels met by runs: three compactions
+    assert joined[0][1] == joined[0][2] and all(new < n for _, n, new in joined[1:])
+    runs = stores[-1]._read(stores[-1].runs())
+    # a key enters once, whichever batches have it
+    assert runs.filter("first").count() == runs.select(*L.KEY).distinct().count() == sum(new for _, _, new in joined)
+
+
 def test_empty_table(make_docs):
     assert L.drop_frequent_lines(make_docs([])).collect() == []
 
