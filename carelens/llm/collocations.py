@@ -1,16 +1,21 @@
 """Phrase collocation mining (operator 12).
 
-Level by level. Level 1 counts the words of each language. For a longer phrase
-to be frequent, its first and its last words (all but one) must be frequent:
-such phrases are gathered from the text, with a bound of their support, and
-become candidates (Apriori). The candidates go into double-array tries of
-bounded size, which are broadcast one after the other; a task advances the
-states of all its text positions together, one level at a time, counts the
-accepting states with one bincount per trie, and the counts of the shards are
-summed. What reaches the threshold is the next level's frequent set.
-
-Symbols are 64-bit hashes of the lower-cased words (and of the language, the
-first symbol of each path); every trie numbers its own symbols.
+The words of each language are counted first. The frequent ones get numbers
+(one per language and word), and the texts are written once as streams of these
+numbers, cut where no frequent phrase can lie: between pieces and at words that
+are not frequent. Everything after that reads the streams.
+
+Level by level: for a longer phrase to be frequent, its first and its last words
+(all but one) must be frequent: such phrases are gathered from the streams, with
+a bound of their support, and become candidates (Apriori). The candidates go
+into double-array tries of bounded size, which are broadcast one after the
+other; a task advances the states of all its text positions together, one level
+at a time, counts the accepting states with one bincount per trie, and the
+counts of the shards are summed. What reaches the threshold is the next level's
+frequent set.
+
+Words are looked up by 64-bit hashes of their lower-cased bytes and of their
+language; every trie numbers its own symbols.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from .tables import ship, stored
 
 MAX_WORDS = 5
 SHARD_PHRASES = 1 << 19     # candidates in one trie
-GATHER_BYTES = 4 << 20      # text whose candidates are summed before they leave a task
+GATHER_BYTES = 4 << 20      # text or stream whose candidates are summed before they leave a task
+ROW_SYMBOLS = 512           # numbers in a row of a stream, more only where a run is longer
 EMIT_ROWS = 1 << 16         # rows handed to Spark at a time
 BIG = 4                     # states with more children are placed one by one
 _CUT = np.zeros(256, dtype=bool)
@@ -35,7 +41,6 @@ _CUT[[ord(c) for c in ".,;:!?"] + list(range(10, 14))] = True
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 32]] = True
 WORDS = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
-PHRASE_SCHEMA = "lang long, " + ", ".join(f"{w} long" for w in WORDS) + ", n long"
 
 
 # --- double-array trie ---------------------------------------------------------
@@ -101,7 +106,7 @@ def _place(children: list[np.ndarray], n_symbols: int) -> tuple[np.ndarray, int]
 
 
 def build(phrases: np.ndarray) -> Trie:
-    """The trie of the rows of ``phrases`` (language and words as hashes; distinct)."""
+    """The trie of the rows of ``phrases`` (symbols in order; distinct)."""
     symbols = np.unique(phrases)
     rows = np.searchsorted(symbols, phrases) + 1
     depth = rows.shape[1]
@@ -168,19 +173,14 @@ def _batches(batches):
         pa.default_memory_pool().release_unused()
 
 
-def reach(trie: Trie, p: Positions, lang: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text positions (and states) at which a path of the language and ``depth - 1`` words of the trie starts."""
-    symbol = trie.number(p.hash)
-    state, ok = trie.step(np.zeros(len(lang), np.int64), trie.number(lang))
-    at = np.flatnonzero(ok[p.row] & (symbol > 0))
-    state = state[p.row[at]]
-    for d in range(depth - 1):
-        if d:
-            fits = at + d < len(symbol)
-            at, state = at[fits], state[fits]
-            fits = p.piece[at + d] == p.piece[at]
-            at, state = at[fits], state[fits]
-        state, ok = trie.step(state, symbol[at + d])
+def reach(trie: Trie, symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (and states) at which a path of ``depth`` symbols of the trie starts.
+    A stream ends with 0, which no trie has, so no path leaves it."""
+    number = trie.number(symbols)
+    at = np.flatnonzero(number)
+    state = np.zeros(len(at), np.int64)
+    for d in range(depth):
+        state, ok = trie.step(state, number[at + d])
         at, state = at[ok], state[ok]
     return at, state
 
@@ -198,12 +198,15 @@ def _words(batches):
                 ["lang_name", "lang", "w1", "word", "n"])
 
 
-def _emit(lang, cols, n):
+def _schema(k: int) -> str:
+    return ", ".join(f"{w} long" for w in WORDS[:k]) + ", n long"
+
+
+def _emit(cols, n):
     """Batches of bounded size: both sides of the pipe hold one at a time."""
     for a in range(0, len(n), EMIT_ROWS):
         part = slice(a, a + EMIT_ROWS)
-        words = [pa.array(c[part]) for c in cols] + [pa.nulls(len(n[part]), pa.int64())] * (MAX_WORDS - len(cols))
-        yield pa.RecordBatch.from_arrays([pa.array(lang[part]), *words, pa.array(n[part].astype(np.int64))], ["lang", *WORDS, "n"])
+        yield pa.RecordBatch.from_arrays([*[pa.array(c[part]) for c in cols], pa.array(n[part].astype(np.int64))], [*WORDS[:len(cols)], "n"])
 
 
 def _held(shared, alone: bool):
@@ -214,80 +217,142 @@ def _held(shared, alone: bool):
     return value
 
 
-def _gather(tries, k: int):
-    """Phrases of k words whose first and last k - 1 words are phrases of the tries, with their number of places."""
+def stream(symbols: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """The runs of two and more numbered words (not 0) of one piece, each followed by 0."""
+    if not len(symbols):
+        return symbols
+    on = (symbols[:-1] > 0) & (symbols[1:] > 0) & (piece[:-1] == piece[1:])
+    after = np.append(on, False)
+    at = np.flatnonzero(after | np.concatenate(([False], on)))
+    last = ~after[at]
+    ends = np.cumsum(last)
+    out = np.zeros(len(at) + int(last.sum()), dtype=np.int64)
+    out[np.arange(len(at)) + ends - last] = symbols[at]
+    return out
+
+
+def _encode(tries):
+    """Streams of the numbers of frequent words, in rows that end between runs."""
     def run(batches):
         for p, _, lang, _ in _batches(batches):
-            good = np.zeros(len(p.hash), dtype=bool)
+            symbols = np.zeros(len(p.hash), dtype=np.int64)
+            for t in tries:
+                trie, number = _held(t, len(tries) == 1)
+                state, ok = trie.step(np.zeros(len(lang), np.int64), trie.number(lang))
+                state, there = trie.step(state[p.row], trie.number(p.hash))
+                at = np.flatnonzero(there & ok[p.row])
+                symbols[at] = number[trie.leaf[state[at]]]
+            s = stream(symbols, p.piece)
+            ends = np.flatnonzero(s == 0) + 1
+            if not len(ends):
+                continue
+            cuts = ends[np.minimum(np.searchsorted(ends, np.arange(ROW_SYMBOLS, len(s) + ROW_SYMBOLS, ROW_SYMBOLS)), len(ends) - 1)]
+            cuts = np.concatenate(([0], np.unique(cuts)))
+            for a in range(0, len(cuts) - 1, EMIT_ROWS // 16):
+                rows = cuts[a:a + EMIT_ROWS // 16 + 1]
+                body = s[rows[0]:rows[-1]].astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(
+                    pa.binary(), len(rows) - 1, [None, pa.py_buffer(((rows - rows[0]) * 8).astype(np.int32)), pa.py_buffer(body)])], ["s"])
+    return run
+
+
+def _streams(batches):
+    for batch in batches:
+        off, raw = T.buffers(batch.column("s"))
+        for _, _, _, r in T.chunks(off, raw, GATHER_BYTES):
+            yield r.view("<i8")
+        pa.default_memory_pool().release_unused()
+
+
+def _gather(tries, k: int):
+    """Phrases of k words whose first and last k - 1 words are phrases of the tries (any
+    words of a stream if k is 2), with their number of places."""
+    def run(batches):
+        for s in _streams(batches):
+            good = s > 0 if k == 2 else np.zeros(len(s), dtype=bool)
             for t in tries:
-                good[reach(_held(t, len(tries) == 1), p, lang, k)[0]] = True
-            at = np.flatnonzero(good[:-1] & good[1:]) if len(good) else np.zeros(0, np.int64)
-            at = at[at + k - 1 < len(good)]
-            at = at[p.piece[at] == p.piece[at + k - 1]]
-            key = T.mix(lang.view(np.uint64))[p.row[at]]
+                good[reach(_held(t, len(tries) == 1), s, k - 1)[0]] = True
+            at = np.flatnonzero(good[:-1] & good[1:])
+            key = np.zeros(len(at), dtype=np.uint64)
             for d in range(k):
-                key = T.mix(key + p.hash[at + d].view(np.uint64))
+                key = T.mix(key + s[at + d].view(np.uint64))
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             at, key = at[first], None
-            yield from _emit(lang[p.row[at]], [p.hash[at + d] for d in range(k)], n)
+            yield from _emit([s[at + d] for d in range(k)], n)
     return run
 
 
 def _count(shared, phrases_of):
-    """Occurrences of the trie's phrases: one bincount per stretch of text, one row per phrase found and task."""
+    """Occurrences of the trie's phrases: one bincount per stretch of a stream, one row per phrase found and task."""
     def run(batches):
         trie, rows = shared.value, phrases_of.value
         total = np.zeros(len(rows), dtype=np.int64)
-        for p, _, lang, _ in _batches(batches):
-            _, state = reach(trie, p, lang, trie.depth)
+        for s in _streams(batches):
+            _, state = reach(trie, s, trie.depth)
             total += np.bincount(trie.leaf[state], minlength=len(rows))
         i = np.flatnonzero(total)
-        yield from _emit(rows[i, 0], [rows[i, d] for d in range(1, rows.shape[1])], total[i])
+        yield from _emit([rows[i, d] for d in range(rows.shape[1])], total[i])
     return run
 
 
-def _shards(phrases: DataFrame, k: int):
-    """The phrases of k words in arrays of about SHARD_PHRASES rows, one at a time."""
-    n = phrases.count()
-    parts = -(-n // SHARD_PHRASES)
-    hashed = phrases.withColumn("_s", F.pmod(F.xxhash64("lang", *WORDS[:k]), F.lit(max(1, parts))))
+def _dealt(phrases: DataFrame, *cols: str) -> tuple[DataFrame, int]:
+    """The rows with a shard number _s, and how many shards of about SHARD_PHRASES rows there are."""
+    parts = max(1, -(-phrases.count() // SHARD_PHRASES))
+    return phrases.withColumn("_s", F.pmod(F.xxhash64(*cols), F.lit(parts))), parts
+
+
+def _shards(dealt: DataFrame, parts: int, *cols: str):
+    """The shards as arrays, one at a time; none if there are no rows."""
     for s in range(parts):
-        t = hashed.filter(F.col("_s") == s).select("lang", *WORDS[:k]).toArrow()
-        yield np.stack([c.to_numpy() for c in t.columns], axis=1)
+        t = dealt.filter(F.col("_s") == s).select(*cols).toArrow()
+        if t.num_rows:
+            yield np.stack([c.to_numpy() for c in t.columns], axis=1)
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(words, phrases): words (lang_name, lang, w1, word, n) with every word's count,
-    and the phrases (lang, w1.., n) of 1 to ``max_words`` words with n >= ``least``."""
+def frequent_phrases(docs: DataFrame, least: int = 100, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals, vocabulary, phrases): totals (lang, n) of all words, vocabulary (lang, word,
+    number) of the words with n >= ``least``, and the phrases (key, n) of 1 to
+    ``max_words`` words with n >= ``least``; key holds the words' numbers."""
     spark = docs.sparkSession
     ship(spark)
+    share = spark.sparkContext.broadcast
     name = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     texts = docs.select("text", name.alias("lang"), F.xxhash64(name, F.lit("lang")).alias("lang_hash"))
     words = stored(texts.mapInArrow(_words, "lang_name string, lang long, w1 long, word string, n long")
                    .groupBy("lang_name", "lang", "w1", "word").agg(F.sum("n").alias("n")), "words")
-    level = stored(words.filter(F.col("n") >= least).select(
-        "lang", "w1", *[F.lit(None).cast("long").alias(w) for w in WORDS[1:]], "n"), "phrases")
-    found = level
+    dealt, parts = _dealt(words.filter(F.col("n") >= least), "lang", "w1")
+    place = F.row_number().over(Window.partitionBy("_s").orderBy(F.desc("n"), "lang", "w1", "word"))  # a shard is bounded
+    vocabulary = stored(dealt.withColumn("number", (place.cast("long") - 1) * parts + F.col("_s") + 1), "vocabulary")
+    found = vocabulary.select(F.array("number").alias("key"), "n")
+    tries = [share((build(a[:, :2]), a[:, 2])) for a in _shards(vocabulary, parts, "lang", "w1", "number")]
+    streams = stored(texts.mapInArrow(_encode(tries), "s binary"), "streams", compression="zstd") if tries else None
+    for t in tries:
+        t.unpersist()
+    tries, level = [], vocabulary if tries else None
     for k in range(2, max_words + 1):
-        tries = [spark.sparkContext.broadcast(build(s)) for s in _shards(level, k - 1)]
-        if not tries:
+        if level is None:
             break
-        bounded = texts.mapInArrow(_gather(tries, k), PHRASE_SCHEMA).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+        cols = WORDS[:k]
+        if k > 2:
+            tries = [share(build(a)) for a in _shards(*_dealt(level, *WORDS[:k - 1]), *WORDS[:k - 1])]
+            if not tries:
+                break
+        bounded = streams.mapInArrow(_gather(tries, k), _schema(k)).groupBy(*cols).agg(F.sum("n").alias("n"))
         candidates = stored(bounded.filter(F.col("n") >= least).drop("n"), "candidates")
         level = None
-        for rows in _shards(candidates, k):
-            shared, of = spark.sparkContext.broadcast(build(rows)), spark.sparkContext.broadcast(rows)
-            counts = stored(texts.mapInArrow(_count(shared, of), PHRASE_SCHEMA).groupBy("lang", *WORDS).agg(F.sum("n").alias("n")), "phrases")
+        for rows in _shards(*_dealt(candidates, *cols), *cols):
+            shared, of = share(build(rows)), share(rows)
+            counts = stored(streams.mapInArrow(_count(shared, of), _schema(k)).groupBy(*cols).agg(F.sum("n").alias("n")), "phrases")
             level = counts if level is None else level.unionByName(counts)
             shared.unpersist()
             of.unpersist()
         for t in tries:
             t.unpersist()
-        if level is None:
-            break
-        level = level.filter(F.col("n") >= least)
-        found = found.unionByName(level)
-    return words, found
+        if level is not None:
+            level = level.filter(F.col("n") >= least)
+            found = found.unionByName(level.select(F.array(*cols).alias("key"), "n"))
+    return (words.groupBy(F.col("lang_name").alias("lang")).agg(F.sum("n").alias("n")),
+            vocabulary.select(F.col("lang_name").alias("lang"), "word", "number"), found)
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, max_words: int = MAX_WORDS) -> DataFrame:
@@ -301,26 +366,26 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, max_words:
     beside text and lang are ignored, whatever their names. Only the language
     and text are read, long texts are cut nowhere.
     """
-    words, found = frequent_phrases(docs, least, max_words)
-    key = F.filter(F.array(*WORDS), lambda x: x.isNotNull())
-    all_ = found.select("lang", key.alias("key"), F.col("n").alias("f"))
+    totals, vocabulary, found = frequent_phrases(docs, least, max_words)
+    all_ = found.withColumnRenamed("n", "f")
     cand = all_.filter(F.size("key") > 1).withColumnRenamed("f", "a")
     longer = cand.filter(F.size("key") > 2)
-    inner = longer.select("lang", F.explode(F.array(F.expr("slice(key, 1, size(key) - 1)"), F.expr("slice(key, 2, size(key) - 1)"))).alias("key"),
-                          F.col("a").alias("longer")).groupBy("lang", "key").agg(F.max("longer").alias("longer"))
-    kept = cand.join(inner, ["lang", "key"], "left").filter("longer IS NULL OR longer < a").drop("longer")
+    inner = longer.select(F.explode(F.array(F.expr("slice(key, 1, size(key) - 1)"), F.expr("slice(key, 2, size(key) - 1)"))).alias("key"),
+                          F.col("a").alias("longer")).groupBy("key").agg(F.max("longer").alias("longer"))
+    kept = cand.join(inner, "key", "left").filter("longer IS NULL OR longer < a").drop("longer")
+    language = vocabulary.select("lang", F.col("number").alias("first")).join(totals, "lang")  # a number belongs to one language
+    kept = kept.withColumn("first", F.col("key")[0]).join(language, "first").drop("first")
     cut = kept.select("*", F.explode(F.sequence(F.lit(1), F.size("key") - 1)).alias("k")).select(
-        "lang", "key", "a", "k", F.expr("slice(key, 1, k)").alias("lkey"), F.expr("slice(key, k + 1, size(key))").alias("rkey"))
-    cut = (cut.join(all_.select("lang", F.col("key").alias("lkey"), F.col("f").alias("l")), ["lang", "lkey"])
-           .join(all_.select("lang", F.col("key").alias("rkey"), F.col("f").alias("r")), ["lang", "rkey"]))
-    total = words.groupBy("lang").agg(F.max("lang_name").alias("lang_name"), F.sum("n").alias("n"))
+        "lang", "key", "a", "n", "k", F.expr("slice(key, 1, k)").alias("lkey"), F.expr("slice(key, k + 1, size(key))").alias("rkey"))
+    cut = (cut.join(all_.select(F.col("key").alias("lkey"), F.col("f").alias("l")), "lkey")
+           .join(all_.select(F.col("key").alias("rkey"), F.col("f").alias("r")), "rkey"))
     wide = lambda c: F.col(c).cast("decimal(18,0)")
-    cut = cut.join(total, "lang").withColumn("score", F.call_function(
+    cut = cut.withColumn("score", F.call_function(
         "div", (wide("a") * wide("n")).cast("decimal(38,0)") * F.lit(1000).cast("decimal(4,0)"), (wide("l") * wide("r")).cast("decimal(38,0)")))
-    best = cut.groupBy("lang", "lang_name", "key", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
-    spelled = (best.select("*", F.posexplode("key").alias("i", "w1")).join(words.select("lang", "w1", "word"), ["lang", "w1"])
-               .groupBy("lang", "lang_name", "key", "a", "n", "b").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("s"))
-               .select(F.col("lang_name").alias("lang"), F.concat_ws(" ", "s.word").alias("phrase"), "a", "b.l", "b.r", "n", F.col("b.score").alias("score")))
+    best = cut.groupBy("lang", "key", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
+    spelled = (best.select("*", F.posexplode("key").alias("i", "number")).join(vocabulary.select("number", "word"), "number")
+               .groupBy("lang", "key", "a", "n", "b").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("s"))
+               .select("lang", F.concat_ws(" ", "s.word").alias("phrase"), "a", "b.l", "b.r", "n", F.col("b.score").alias("score")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return spelled.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

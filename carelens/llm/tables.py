@@ -38,15 +38,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to a fresh shared folder; return it as read back, and the folder."""
+def store(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
+    """Write ``df`` to a fresh shared folder (``options``: of the Parquet writer); return it as read back, and the folder."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return store(df, name)[0]
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    return store(df, name, **options)[0]
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -3,11 +3,14 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from carelens.llm import collocations as C
+from carelens.llm import text as T
 from carelens.llm.entry import op12_phrase_collocations
 
 
@@ -81,6 +84,38 @@ def test_equals_brute_force(make_docs, prose, monkeypatch, least, top, shard):
     assert len(got) > 10
 
 
+def test_streams_hold_the_runs_of_numbered_words():
+    """Runs of two and more numbers inside one piece, each followed by 0."""
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 7, 400):
+        symbols, piece = r.integers(0, 4, n), np.sort(r.integers(0, n // 5 + 1, n))
+        want, run = [], []
+        for i in range(n + 1):
+            if run and (i == n or not symbols[i] or piece[i] != piece[i - 1]):
+                want += run + [0] if len(run) > 1 else []
+                run = []
+            if i < n and symbols[i]:
+                run.append(int(symbols[i]))
+        assert C.stream(symbols, piece).tolist() == want
+
+
+def test_rows_end_between_runs(prose, monkeypatch):
+    """Rows of few numbers and batches of few rows, one after the other, are the whole stream."""
+    monkeypatch.setattr(C, "ROW_SYMBOLS", 3)
+    monkeypatch.setattr(C, "EMIT_ROWS", 64)
+    text = pa.array([prose(i, 60) for i in range(40)] + [None, "", "a b " * 500])
+    batch = pa.RecordBatch.from_arrays([text, pa.array(["en"] * len(text)), pa.array([7] * len(text), pa.int64())], ["text", "lang", "lang_hash"])
+    p = C.positions(*T.buffers(text))
+    known = np.unique(p.hash)[::2]
+    trie = C.build(np.stack([np.full(len(known), 7), known], axis=1))
+    shared = SimpleNamespace(value=(trie, np.arange(1, len(known) + 1)))
+    out = list(C._encode([shared])([batch]))
+    got = [np.frombuffer(x, "<i8") for b in out for x in b.column("s").to_pylist()]
+    symbols = np.where(np.isin(p.hash, known), np.searchsorted(known, p.hash) + 1, 0)
+    assert np.concatenate(got).tolist() == C.stream(symbols, p.piece).tolist()
+    assert len(out) > 1 and all(row[-1] == 0 for row in got)
+
+
 def test_exact_beyond_64_bits(spark):
     """a * n and l * r are multiplied as decimals."""
     row = spark.sql("SELECT cast(900000000000 AS decimal(18,0)) a, cast(99999999999999 AS decimal(18,0)) n, "
