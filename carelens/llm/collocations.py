@@ -34,6 +34,7 @@ MAX_WORDS = 5
 SHARD_PHRASES = 1 << 19     # candidates in one trie
 GATHER_BYTES = 4 << 20      # text or stream whose candidates are summed before they leave a task
 ROW_SYMBOLS = 512           # numbers in a row of a stream, more only where a run is longer
+SUM_ROWS = 1 << 19          # phrases whose counts a task sums before they leave it
 EMIT_ROWS = 1 << 16         # rows handed to Spark at a time
 BIG = 4                     # states with more children are placed one by one
 _CUT = np.zeros(256, dtype=bool)
@@ -264,10 +265,23 @@ def _streams(batches):
         pa.default_memory_pool().release_unused()
 
 
+def _merged(parts):
+    """(keys, columns, counts) of several stretches as one, equal keys summed."""
+    if len(parts) < 2:
+        return parts[0]
+    key = np.concatenate([p[0] for p in parts])
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    n = np.add.reduceat(np.concatenate([p[2] for p in parts])[order], first)
+    at = order[first]
+    return key[at], [np.concatenate(c)[at] for c in zip(*[p[1] for p in parts])], n
+
+
 def _gather(tries, k: int):
     """Phrases of k words whose first and last k - 1 words are phrases of the tries (any
     words of a stream if k is 2), with their number of places."""
     def run(batches):
+        held, rows = [], 0
         for s in _streams(batches):
             good = s > 0 if k == 2 else np.zeros(len(s), dtype=bool)
             for t in tries:
@@ -276,9 +290,19 @@ def _gather(tries, k: int):
             key = np.zeros(len(at), dtype=np.uint64)
             for d in range(k):
                 key = T.mix(key + s[at + d].view(np.uint64))
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            at, key = at[first], None
-            yield from _emit([s[at + d] for d in range(k)], n)
+            key, first, n = np.unique(key, return_index=True, return_counts=True)
+            if not len(key):
+                continue
+            held.append((key, [s[at[first] + d] for d in range(k)], n))
+            rows += len(key)
+            if rows > SUM_ROWS:
+                held = [_merged(held)]
+                rows = len(held[0][0])
+                if 2 * rows > SUM_ROWS:
+                    yield from _emit(*held[0][1:])
+                    held, rows = [], 0
+        if held:
+            yield from _emit(*_merged(held)[1:])
     return run
 
 

@@ -116,6 +116,24 @@ def test_rows_end_between_runs(prose, monkeypatch):
     assert len(out) > 1 and all(row[-1] == 0 for row in got)
 
 
+@pytest.mark.parametrize("bound", [1, 40, 1 << 19])
+def test_gathered_counts_are_summed_in_the_task(monkeypatch, bound):
+    """Whatever is held before rows leave, their sums are the counts of all places; with room for all, a phrase leaves once."""
+    monkeypatch.setattr(C, "SUM_ROWS", bound)
+    monkeypatch.setattr(C, "GATHER_BYTES", 64)
+    r = np.random.default_rng(3)
+    rows = [np.append(r.integers(1, 6, n), 0) for n in r.integers(2, 9, 300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.astype("<i8").tobytes() for x in rows])], ["s"])
+    trie = SimpleNamespace(value=C.build(np.array([(a, b) for a in range(1, 6) for b in range(1, 6)])))
+    got, times = Counter(), Counter()
+    for b in C._gather([trie], 3)([batch, batch.slice(0, 0)]):
+        for *words, n in zip(*[c.to_pylist() for c in b.columns]):
+            got[tuple(words)] += n
+            times[tuple(words)] += 1
+    assert got == Counter(tuple(x[i:i + 3].tolist()) for x in rows for i in range(len(x) - 3))
+    assert max(times.values()) == 1 or bound < 1000
+
+
 def test_exact_beyond_64_bits(spark):
     """a * n and l * r are multiplied as decimals."""
     row = spark.sql("SELECT cast(900000000000 AS decimal(18,0)) a, cast(99999999999999 AS decimal(18,0)) n, "
