@@ -34,7 +34,7 @@ MAX_WORDS = 5
 SHARD_PHRASES = 1 << 19     # candidates in one trie
 GATHER_BYTES = 4 << 20      # text or stream whose candidates are summed before they leave a task
 ROW_SYMBOLS = 512           # numbers in a row of a stream, more only where a run is longer
-SUM_ROWS = 1 << 19          # phrases whose counts a task sums before they leave it
+SUM_ROWS = 1 << 17          # phrases whose counts a task sums before they leave it
 EMIT_ROWS = 1 << 16         # rows handed to Spark at a time
 BIG = 4                     # states with more children are placed one by one
 _CUT = np.zeros(256, dtype=bool)
@@ -258,6 +258,7 @@ def _encode(tries):
 
 
 def _streams(batches):
+    T.drop_powers()  # left by the passes over texts
     for batch in batches:
         off, raw = T.buffers(batch.column("s"))
         for _, _, _, r in T.chunks(off, raw, GATHER_BYTES):

@@ -61,6 +61,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(_BASE, size), _powers(_INVERSE, size)
 
 
+def drop_powers() -> None:
+    """Give back the tables of ``powers`` (as long as the longest chunk so far); they are made again when needed."""
+    _powers.cache_clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     x = x ^ (x >> U64(30))
