@@ -351,7 +351,7 @@ def _free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, fanout: int = 2, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 3, fanout: int = 2, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept if asked for), one row per row of ``docs (doc_id, text)``.
 
     ``kept`` is binary: a cut may split a character. Null and empty texts have 0
@@ -359,7 +359,8 @@ def remove_repeats(docs: DataFrame, batches: int = 2, fanout: int = 2, with_text
     others. Rows that repeat an id and its text are one document and get equal
     results; rows with one id and different texts are different documents
     whose order is that of their text hashes where places are equal. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. With three
+    batches or more levels merge, and a later batch is scanned against a merged run.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(

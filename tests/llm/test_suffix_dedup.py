@@ -62,3 +62,19 @@ def test_levels_merge_geometrically(spark, make_docs, prose):
             "h", "c", "doc", "at").write.parquet(path)
         family.add(path)
     assert [len(x) for x in family.levels] == [1, 0, 1]
+
+
+def test_levels_merge_in_the_query(spark, make_docs, prose, monkeypatch):
+    """As the registered query calls it, a batch is scanned against a run that merged those of earlier batches."""
+    scanned = []
+    scan = S.SuffixIndexes.scan
+
+    def noted(self, entries):
+        scanned.append([len(level) for level in self.levels])
+        return scan(self, entries)
+
+    monkeypatch.setattr(S.SuffixIndexes, "scan", noted)
+    rows = [(i, prose(i, 60)) for i in range(12)] + [(20, prose(0, 60)), (21, prose(11, 60))]
+    got = S.remove_repeats(make_docs(rows), with_text=False).collect()
+    assert scanned == [[], [1], [0, 1]]
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
