@@ -136,7 +136,6 @@ def _later_copies(kind, h, c, doc, at):
 def _entries(batches):
     """Anchors of each text, one per context and Arrow batch; later copies are spans already."""
     for batch in batches:
-        pa.default_memory_pool().release_unused()
         docs = batch.column("doc").to_numpy()
         tags = batch.column("tag").to_numpy()
         found = []
@@ -158,7 +157,6 @@ def _scan(batches):
     last_h = last_c = lead_doc = lead_at = None
     alone = None  # the first entry of the open anchor until a second context shows
     for batch in batches:
-        pa.default_memory_pool().release_unused()
         kinds = batch.column("kind").to_numpy()
         if (kinds == SPAN).any():
             yield batch.filter(pa.array(kinds == SPAN))
@@ -283,7 +281,6 @@ def _compare(batches):
     The open anchor's earliest windows are carried to the next Arrow batch (a slice of them: bounded)."""
     carry = None
     for big in batches:
-        pa.default_memory_pool().release_unused()
         for k in range(0, big.num_rows, 4096):
             batch = big.slice(k, 4096)
             off, raw = T.buffers(batch.column("body"))
