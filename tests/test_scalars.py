@@ -97,3 +97,22 @@ def test_half_even_share(spark):
 def test_display_formats(spark):
     assert one_col(spark, [1234567.0, 5.0], X.thousands, "double") == ["1,234,567", "5"]
     assert one_col(spark, [3.2, -5.0, 2.675], X.two_decimals, "double") == ["3.20", "-5.00", "2.68"]
+
+
+def test_dates_keep_the_rows_code_small(spark, sf001):
+    # the JVM compiles no method above 8,000 bytes: the rows of one that large are interpreted
+    from carelens.plans import load as L
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = L.fixture_visits(spark, sf001)._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) < 8000
+
+
+def test_all_date_forms(spark):
+    texts = ["3/4/2020", "3-4-2020", "3.4.2020", "March 4, 2020", "Mar 4, 2020", "3/4/20", "3-4-20", "3.4.20", "3/4/69", "3-4-69", "2.29.96", "3-4.20", "4/3"]
+    want = [dt.date(2020, 3, 4)] * 8 + [dt.date(1969, 3, 4)] * 2 + [dt.date(1996, 2, 29), None, None]
+    assert one_col(spark, texts, X.parse_mdy) == want
