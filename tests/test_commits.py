@@ -161,3 +161,25 @@ def test_an_empty_extract_adds_nothing(spark, parts):
     assert set(counts.values()) == {0}
     assert load_star(spark, path).performance_data.count() == parts[0].count()
     assert S.ROW_ID in parts[0].columns
+
+
+def test_facts_numbered_by_facility_are_not_shuffled_to_be_stored(spark, sf001, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from carelens.plans.load import fixture_star
+    star = fixture_star(spark, sf001)
+    assert star.by_facility and not star.replace(performance_data=star.performance_data).by_facility
+    ranged, kind = [], type(star.performance_data)
+    plain = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda *a, **k: ranged.append(a) or plain(*a, **k))
+    for name, given in (("by_facility", star), ("shuffled", star.replace(performance_data=star.performance_data))):
+        ranged.clear()
+        save_star(given, f"{tmp_path}/{name}")
+        assert len(ranged) == (0 if given.by_facility else 1)
+    here, there = (load_star(spark, f"{tmp_path}/{n}").performance_data for n in ("by_facility", "shuffled"))
+    assert here.exceptAll(there).isEmpty() and there.exceptAll(here).isEmpty()
+    files = spark.read.parquet(f"{tmp_path}/by_facility/performance_data").groupBy(F.input_file_name().alias("file"), "measure_family").agg(
+        F.min("facility_id").alias("least"), F.max("facility_id").alias("greatest"))
+    up_to = {}
+    for r in sorted(files.collect(), key=lambda r: (r["measure_family"], r["least"], r["greatest"])):
+        assert up_to.get(r["measure_family"], "") <= r["least"]
+        up_to[r["measure_family"]] = r["greatest"]
