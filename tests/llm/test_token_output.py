@@ -66,3 +66,49 @@ def test_segments_are_random_access_and_cut_between_documents(spark, make_docs,
 
 def test_empty_table(make_docs):
     assert token_output.token_table(make_docs([]), PATH).collect() == []
+
+
+def encoded(enc, texts):
+    raw = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
+    ids, n = enc.encode(off, np.frombuffer(b"".join(raw), dtype=np.uint8), 1)
+    ends = np.cumsum(n)
+    return [ids[b - k:b].tolist() for b, k in zip(ends, n)]
+
+
+ENCODER, TOKENIZER = token_output.WordEncoder(PATH), Tokenizer.from_file(PATH)
+PARTS = ["'", "'s", "'RE", "’", "a", "T", "don", "ß", "É", "é", "́", "̈", "×", "÷", "«", "µ", "7", "12", ".", "!", "<", "<|endoftext|>", "<|ENDOFTEXT|>",
+         "|>", " ", "\n", "\x01", "\x00", "\x85", " ", ";", "K", "Σ", "İ", "日本", "😀", "_", "</w>", "&&&", "-"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), min_size=1, max_size=4))
+def test_words_in_parts_equal_the_library(texts):
+    assert encoded(ENCODER, texts) == [[*TOKENIZER.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_words_that_share_parts_are_encoded_once(monkeypatch):
+    enc, given_ = token_output.WordEncoder(PATH), []
+
+    class Heard:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, texts, **options):
+            given_.extend(texts)
+            return self.tok.encode_batch_fast(texts, **options)
+
+    for name in [k for k, v in vars(enc).items() if isinstance(v, Tokenizer)]:
+        monkeypatch.setattr(enc, name, Heard(getattr(enc, name)))
+    texts = ["reading, Reading! (reading) 1990 1909", "READING. reading-reading 9019 \"Reading\""]
+    assert encoded(enc, texts) == [[*TOKENIZER.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert sum(t.lower().count("reading") for t in given_) == 1
+    assert sum(t.count("9") for t in given_) == 1
+
+
+def test_memory_grows_and_is_emptied(monkeypatch, prose):
+    monkeypatch.setattr(token_output, "CACHE_WORDS", 300)
+    enc = token_output.WordEncoder(PATH)
+    for i in range(5):
+        texts = [" ".join(f"{prose(9 * i + j, 40)} {''.join(random.Random(i * 99 + j + k).choices('abcdefgh', k=6))}" for k in range(200)) for j in range(3)]
+        assert encoded(enc, texts) == [[*TOKENIZER.encode(t, add_special_tokens=False).ids, 1] for t in texts]
