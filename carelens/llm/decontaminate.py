@@ -25,7 +25,9 @@ Search, in one map over the documents per block of items, without a shuffle:
    positions each; equal samples make a candidate. A stretch at the largest
    distance allowed is found with a probability measured in the tests.
 4. Exact edit distance (banded, free start and end) decides, once for the
-   candidates that put the item at about the same place.
+   candidates that put the item at about the same place. Before it, places that
+   hold too few of the item's ``COMMON`` byte grams for any stretch within the
+   distance are dropped: an edit spoils at most ``COMMON`` grams, so none is lost.
 
 Items are taken in blocks of at most ``BLOCK_BYTES``, which bounds what is
 broadcast however large the benchmark is.
@@ -50,6 +52,7 @@ MIN_ITEM = 32
 CLASS_GROWTH = 1.4
 WINDOW = 96
 GRAM = 8
+COMMON = 5
 LONG = 16
 BLOCK_BYTES = 32 << 20
 FILTER_BITS = 1 << 22
@@ -129,8 +132,8 @@ class Embedder:
             for b in range(self.bands):
                 k = np.full(len(strings), (self.size << 16) + w * self.bands + b, dtype=T.U64)
                 for at, odd in zip(self.at[w, b], self.odd):
-                    k = T.mix(k + symbols[at] * odd)
-                out[w * self.bands + b] = k
+                    k += symbols[at] * odd
+                out[w * self.bands + b] = T.mix(k)
         return out.T
 
 
@@ -192,6 +195,25 @@ def stretch_ends(items: np.ndarray, m: np.ndarray, texts: np.ndarray, first: np.
     return d, end
 
 
+def may_be_near(items: np.ndarray, m: np.ndarray, texts: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether the text of each row holds as many of the item's grams as any text with a
+    stretch at a distance of ``limit`` or less does; never False for one that has it."""
+    slots = 1 << max(12, int(16 * texts.shape[1]).bit_length())  # of each row; two grams in one slot only let more rows through
+    row = np.arange(len(m), dtype=np.int64)[:, None] * slots
+
+    def grams(body):
+        n = max(0, body.shape[1] - COMMON + 1)
+        key = np.zeros((len(body), n), dtype=T.U64)
+        for k in range(COMMON):
+            key = (key << T.U64(8)) | body[:, k:k + n].astype(T.U64)
+        return ((key * T.U64(0x9E3779B97F4A7C15)) >> T.U64(65 - slots.bit_length())).view(np.int64) + row
+    there = np.zeros(len(m) * slots, dtype=bool)
+    there[grams(texts).ravel()] = True
+    found = there[grams(items)]
+    found &= np.arange(found.shape[1]) < (m - COMMON + 1)[:, None]
+    return found.sum(axis=1) >= m - COMMON + 1 - COMMON * limit
+
+
 def _window_starts(start: np.ndarray, m: int, size: int) -> list[int]:
     """Of an item's starts those of its windows: half a window apart, and the last that fits."""
     fits = start[start + size <= m]
@@ -284,14 +306,15 @@ class ItemBlock:
             return
         upto = np.concatenate(([0], np.cumsum(hit)))
         end = off[row + 1]
+        padded = np.concatenate((raw, np.zeros(max((e.size for e, *_ in classes), default=0), dtype=np.uint8)))
         for e, (known, owner, places), held, need in classes:
             reach = np.searchsorted(start, np.minimum(start + int(e.size * (1 + self.max_edit)) + 1, end))
             windows = np.flatnonzero((upto[reach] - upto[:-1] >= need) & (end - start >= e.size * (1 - self.max_edit)))
             for a in range(0, len(windows), 4096):
                 w = windows[a:a + 4096]
-                at = start[w][:, None] + np.arange(e.size)
-                real = at < end[w][:, None]
-                strings = np.where(real, raw[np.minimum(at, len(raw) - 1)], 0).astype(np.uint8)
+                strings = np.lib.stride_tricks.sliding_window_view(padded, e.size)[start[w]]
+                over = np.flatnonzero(start[w] + e.size > end[w])
+                strings[over] *= np.arange(e.size) < (end[w] - start[w])[over, None]
                 keys = e.keys(strings)
                 r, c = np.nonzero(held[(keys & T.U64(FILTER_BITS - 1)).view(np.int64)])
                 first, last = (np.searchsorted(known, keys[r, c], side=x) for x in ("left", "right"))
@@ -301,11 +324,13 @@ class ItemBlock:
 
     def search(self, off, raw, start, row):
         """(row, item, first byte, end byte, distance) of the best stretch of each item found."""
+        body = raw.tobytes()
         open_ = []  # (row, item, first and last place of a group) still to be measured
         for (r, i), places in sorted(self.candidates(off, raw, start, row).items()):
             item, first, end = self.items[i], int(off[r]), int(off[r + 1])
             m, order = len(item), sorted(places)
-            exact = next((p for p in order if first <= p and p + m <= end and np.array_equal(raw[p:p + m], item)), None)
+            whole = item.tobytes()
+            exact = next((p for p in order if first <= p and p + m <= end and body.startswith(whole, p)), None)
             if exact is not None:
                 yield r, i, exact, exact + m, 0
                 continue
@@ -331,6 +356,10 @@ class ItemBlock:
             width = int((np.array([q - p for _, _, p, q in part]) + 2 * limit).max()) + 1
             at = zero[:, None] + np.arange(int(m.max()) + width)
             texts = raw[np.clip(at, 0, len(raw) - 1)]
+            near = np.flatnonzero(may_be_near(items, m, texts, limit))
+            if not len(near):
+                continue
+            part, items, m, limit, rows, zero, texts = [part[k] for k in near], items[near], m[near], limit[near], rows[near], zero[near], texts[near]
             d, last = stretch_ends(items, m, texts, np.maximum(off[rows] - zero, 0), off[rows + 1] - zero, width)
             hit = np.flatnonzero(d <= limit)
             if not len(hit):

@@ -140,3 +140,41 @@ def test_exact_copies_without_white_space_and_short_items(spark, make_docs, pros
     got = D.find_items(make_docs(docs), bench).collect()
     assert sorted((x["doc_id"], x["item_id"], x["distance"]) for x in got) == [(i, i, 0) for i in range(9)]
     assert sorted(x["doc_id"] for x in D.clean_documents(make_docs(docs), bench).collect()) == [20, 21]
+
+
+def test_near_texts_pass_the_gram_filter():
+    r = random.Random(5)
+    for _ in range(60):
+        item = bytes(r.choice(b"abcde ") for _ in range(r.randint(3, 90)))
+        limit, texts = r.randint(0, 6), []
+        for _ in range(8):  # at most limit edits, anywhere in a longer text
+            t = bytearray(item)
+            for _ in range(r.randint(0, limit)):
+                k, p = r.randrange(3), r.randrange(len(t) + 1)
+                t[p:p + (k != 0)] = b"" if k == 2 else bytes([r.choice(b"abcde ")])
+            texts.append(bytes(r.choice(b"abcde ") for _ in range(r.randint(0, 9))) + bytes(t))
+        size = max(map(len, texts))
+        body = np.array([list(t.ljust(size, b"z")) for t in texts], dtype=np.uint8).reshape(len(texts), size)
+        items = np.tile(np.frombuffer(item, np.uint8).astype(np.int16), (len(texts), 1))
+        assert D.may_be_near(items, np.full(len(texts), len(item)), body, np.full(len(texts), limit)).all()
+
+
+def test_few_far_places_are_measured(monkeypatch):
+    measured, stretch_ends = [], D.stretch_ends
+
+    def heard(items, *rest):
+        measured.append(len(items))
+        return stretch_ends(items, *rest)
+
+    monkeypatch.setattr(D, "stretch_ends", heard)
+    r, docs = random.Random(2), []
+    items = [" ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(40)) for _ in range(30)]
+    words = " ".join(items).split()
+    for i in range(30):  # each item once with an edit, among pieces of items that are too short to be one
+        cut = [" ".join(words[k:k + 9]) for k in r.sample(range(len(words) - 9), 40)]
+        docs.append(" ".join([*cut[:20], edited(items[i], 0.02, i), *cut[20:]]))
+    block = D.ItemBlock(list(range(30)), items, 0.1, 6, 24, 6)
+    off, raw, start, row, _ = D.compact(*D.T.buffers(D.pa.array(docs, D.pa.large_string())))
+    found = {(r, i) for r, i, *_ in block.search(off, raw, start, row)}
+    assert {(i, i) for i in range(30)} <= found
+    assert sum(measured) <= 10 * len(found)
