@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import text as T
+
 BITS = 1 << 23
 
 
@@ -35,6 +37,7 @@ def marked_rows(df: DataFrame, bitmap, col: str, marked: bool = True) -> DataFra
     """The rows of ``df`` whose ``col`` may be one of the ids, or (``marked`` false) cannot be."""
     names = df.columns
 
+    @T.giving_back
     def run(batches):
         bits = np.unpackbits(bitmap.value).view(bool) == marked
         for batch in batches:

@@ -428,6 +428,7 @@ def find_items(docs: DataFrame, items: DataFrame, max_edit: float = 0.1, walks:
 
 
 def _finder(token, shared, id_type, options):
+    @T.giving_back
     def run(batches):
         block = _block(token, shared, *options)
         for batch in batches:
@@ -453,6 +454,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, max_edit: float = 0.1, wa
 
 
 def _cleaner(token, shared, options):
+    @T.giving_back
     def run(batches):
         block = _block(token, shared, *options)
         for batch in batches:

@@ -151,9 +151,11 @@ def _dense(body: list[bytes]) -> np.ndarray:
     return out
 
 
+@T.giving_back
 def _gather(batches):
     """Document frequencies of a task; of sampled rows the counts of the whole
     text (size 0) and of a piece from the middle of each length in PIECES."""
+    T.held_by("language")
     df, n = np.zeros(DIM, dtype=np.int64), 0
     for batch in batches:
         picked = batch.column("picked").to_numpy(zero_copy_only=False)
@@ -237,7 +239,9 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
+    @T.giving_back
     def run(batches):
+        T.held_by("language")
         m = shared.value
         tag = np.array([*m.langs, UNKNOWN], dtype=object)
         for batch in batches:

@@ -80,7 +80,9 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 300, rate:
     return _adam(grad, k * x.shape[1], rounds, rate).reshape(k, -1)
 
 
+@T.giving_back
 def _sampler(batches):
+    T.held_by("mixing")
     for batch in batches:
         names = batch.column("domain")
         for a, b, row, bucket, stats, _ in _rows(batch):
@@ -138,6 +140,7 @@ def posterior_table(docs: DataFrame, model: Domains) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @T.giving_back
     def run(batches):
         m = shared.value
         for batch in batches:
@@ -203,6 +206,7 @@ def fit_rates(table: DataFrame, target: np.ndarray, budget: float | None = None,
 
     def sums(moments: bool) -> np.ndarray:
         """Expected shares at the next point and at the rates, size and turn of the last step; the moments of p."""
+        @T.giving_back
         def run(batches):
             out = np.zeros(2 * k + 2 + k * k)
             for batch in batches:
@@ -245,6 +249,7 @@ def add_rates(table: DataFrame, fit: Fit, names: list[str]) -> DataFrame:
     fields = [c for c in table.columns if c != "p"]
     kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
 
+    @T.giving_back
     def run(batches):
         for batch in batches:
             p = _posteriors(batch) if batch.num_rows and names else np.zeros((batch.num_rows, len(names)))
@@ -281,6 +286,7 @@ def emit(docs: DataFrame, model: Domains, fit: Fit) -> DataFrame:
     names = docs.columns
     drawn = "u_" + "_".join(names)  # a name that no column of docs has
 
+    @T.giving_back
     def run(batches):
         m, f = shared.value
         for batch in batches:

@@ -51,7 +51,9 @@ def _set_key(s: np.ndarray) -> bytes:
 def _signer(trees: int, depth: int, k_words: int, id_type: pa.DataType):
     odd = T.random_u64("minhash", trees * depth) | T.U64(1)
 
+    @T.giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.held_by("near duplicates")
         for batch in batches:
             off, raw = T.buffers(batch.column("text"))
             for a, b, o, r in T.chunks(off, raw):
@@ -81,6 +83,7 @@ def _prefixes(sig: bytes, trees: int, depth: int, k: int) -> np.ndarray:
 
 
 def _noder(trees: int, depth: int, k: int):
+    @T.giving_back
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
@@ -256,6 +259,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k_words: int = 5, t
 
 
 def _keep_own(k_words: int):
+    @T.giving_back
     def run(batches):
         for batch in batches:
             off, raw = T.buffers(batch.column("text"))

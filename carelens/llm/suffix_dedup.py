@@ -133,6 +133,7 @@ def _later_copies(kind, h, c, doc, at):
     return _batch(np.where(keep, kind, SPAN)[keep | drop].astype(np.int32), h[keep | drop], c[keep | drop], doc[keep | drop], at[keep | drop])
 
 
+@T.giving_back
 def _entries(batches):
     """Anchors of each text, one per context and Arrow batch; later copies are spans already."""
     for batch in batches:
@@ -151,6 +152,7 @@ def _entries(batches):
             yield _later_copies(ENTRY_KIND, *(np.concatenate(f) for f in zip(*found)))
 
 
+@T.giving_back
 def _scan(batches):
     """Merge scan of sorted entries. State over Arrow batches: the open
     anchor, its open context's first entry, and whether its first context is still alone."""
@@ -238,6 +240,7 @@ CONTEXT = "h long, slice int, slices int, doc long, tag int, place long, body bi
 SPANS = "doc long, tag int, start long, end long"
 
 
+@T.giving_back
 def _contexts(batches):
     """For each listed anchor the stretch of text whose windows belong to it."""
     for batch in batches:
@@ -276,6 +279,7 @@ def _some_contexts(x, row, slices, o, r, sums, v, least, docs, tags):
         ["h", "slice", "slices", "doc", "tag", "place", "body"])
 
 
+@T.giving_back
 def _compare(batches):
     """Contexts sorted by (h, slice, doc, place): each window but the earliest of its string is a span.
     The open anchor's earliest windows are carried to the next Arrow batch (a slice of them: bounded)."""
@@ -317,6 +321,7 @@ def _compare(batches):
 
 
 def _cut(with_text: bool):
+    @T.giving_back
     def run(batches):
         for batch in batches:
             off, raw = T.buffers(batch.column("text"))

@@ -8,9 +8,10 @@ random per-byte values, mixed; equal words hash equal in every task.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,6 @@ def held_by(operator: str) -> dict:
     return _held[operator]
 
 
-@lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, dtype=U64)
     k = 1
@@ -56,14 +56,44 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+_tables: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
-    return _powers(_BASE, size), _powers(_INVERSE, size)
+    """At least ``n`` powers of the base and of its inverse. One pair of tables is kept, about as long as the longest chunk so far."""
+    if not _tables or len(_tables[0]) < n:
+        drop_powers()
+        size = 1 << max(18, int(n - 1).bit_length())
+        _tables[:] = _powers(_BASE, size), _powers(_INVERSE, size)
+    return _tables[0], _tables[1]
 
 
 def drop_powers() -> None:
-    """Give back the tables of ``powers`` (as long as the longest chunk so far); they are made again when needed."""
-    _powers.cache_clear()
+    """Give back the tables of ``powers``; they are made again when needed."""
+    _tables.clear()
+
+
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Hand what Arrow's and C's allocators hold without use, and the tables of ``powers``, back to the system."""
+    drop_powers()
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that ends with ``give_back``. An executor keeps the workers of
+    finished tasks for later ones, often more of them than it has cores, each with its unused memory."""
+    @wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return task
 
 
 def mix(x: np.ndarray) -> np.ndarray:

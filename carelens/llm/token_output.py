@@ -232,6 +232,7 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def _writer(path: str, end_id: int, segment_tokens: int):
+    @T.giving_back
     def run(batches):
         enc, part, seg = _encoder(path), TaskContext.get().partitionId(), 0
         ids, sizes, doc_ids, held = [], [], [], 0
@@ -279,6 +280,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEGMENT_SCHEMA).parquet(path)
 
 
+@T.giving_back
 def _reader(batches):
     for batch in batches:
         for i in range(batch.num_rows):
