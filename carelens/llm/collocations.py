@@ -33,77 +33,99 @@ from .tables import ship, stored
 MAX_WORDS = 5
 SHARD_PHRASES = 1 << 19     # candidates in one trie
 GATHER_BYTES = 4 << 20      # text or stream whose candidates are summed before they leave a task
+STRETCH_BYTES = 16 << 20    # stream for which each of several tries is read once
+SPREAD = 1_000_003          # first word of a phrase, before its second is added, for the shard's number
 ROW_SYMBOLS = 512           # numbers in a row of a stream, more only where a run is longer
 SUM_ROWS = 1 << 17          # phrases whose counts a task sums before they leave it
 EMIT_ROWS = 1 << 16         # rows handed to Spark at a time
-BIG = 4                     # states with more children are placed one by one
+ROUNDS = 6                  # places tried for the states of a size class before there is more room
+DIRECT = 16                 # symbols below so many times their number are looked up in a table
 _CUT = np.zeros(256, dtype=bool)
 _CUT[[ord(c) for c in ".,;:!?"] + list(range(10, 14))] = True
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 32]] = True
 WORDS = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
+BY = f"w1 * {SPREAD} + w2"  # deals phrases to shards
 
 
 # --- double-array trie ---------------------------------------------------------
 
 @dataclass
 class Trie:
-    """``symbols`` (sorted hashes) number the symbols from 1; the child of state s by
-    symbol c is base[s] + c where check[base[s] + c] == s; ``leaf`` numbers the phrases."""
+    """``symbols`` (sorted hashes) number the symbols from 1; a symbol is two digits, its number's
+    upper bits and its lowest ``bits``. The child of state s by digit c is base[s] + c where
+    check[base[s] + c] == s; ``leaf`` numbers the ``n`` phrases. ``direct`` has the numbers of symbols
+    that are small themselves (all of a stream are), else None."""
     symbols: np.ndarray
     base: np.ndarray
     check: np.ndarray
     leaf: np.ndarray
+    n: int
     depth: int
+    bits: int
+    direct: np.ndarray | None
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """Symbol numbers of hashes, 0 where unknown."""
+        if self.direct is not None:
+            return self.direct.take(h, mode="clip")  # both ends are 0
         i = np.minimum(np.searchsorted(self.symbols, h), len(self.symbols) - 1)
         return np.where(self.symbols[i] == h, i + 1, 0)
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states, and which of them exist."""
-        to = self.base[state] + symbol
-        return to, (self.check[to] == state) & (symbol > 0)
+        half = self.base[state] + (symbol >> self.bits)
+        to = self.base[half] + (symbol & ((1 << self.bits) - 1))
+        return to, (self.check[half] == state) & (self.check[to] == half) & (symbol > 0)
 
 
-def _place(children: list[np.ndarray], n_symbols: int) -> tuple[np.ndarray, int]:
-    """A base for each set of child symbols so that no two children share a slot. Slot 0 is the root."""
-    order = sorted(range(len(children)), key=lambda i: -len(children[i]))
-    used = np.zeros(max(64, 2 * n_symbols + 2 * sum(map(len, children))), dtype=bool)
+def _place(owner: np.ndarray, digit: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """A base for each set of child digits (below ``width``; owners 0, 1, ... in order) so that no two
+    children share a slot, and how many slots there are. Slot 0 is the root.
+
+    Sets that fill a quarter of the width have a stretch each. The others follow by falling size, all of
+    a size class together: at random places, where those without a clash stay and the rest try again, from
+    time to time in new room. Single children take the slots that are free. No set is placed on its own,
+    so the time grows with the children's number.
+    """
+    n = np.bincount(owner)
+    base = np.zeros(len(n), dtype=np.int64)
+    wide = np.flatnonzero(4 * n >= width)
+    base[wide] = 1 + width * np.arange(len(wide))
+    used = np.zeros(1 + width * (len(wide) + 1), dtype=bool)
     used[0] = True
-    base, first = np.zeros(len(children), dtype=np.int64), 0
-    big = [i for i in order if len(children[i]) > BIG]
-    for i in big:
-        c, at = children[i], first
-        while True:  # first fit, 64 places at a time
-            if at + 64 + c[-1] >= len(used):
-                used = np.concatenate((used, np.zeros(len(used), dtype=bool)))
-            hit = used[(at + np.arange(64))[:, None] + c[None, :]].any(axis=1)
-            if not hit.all():
-                at += int(np.argmin(hit))
-                break
-            at += 64
-        base[i] = at
-        used[at + c] = True
-        if len(c) > n_symbols // 4:
-            first = at  # the next large set starts looking behind this one
-    rest, r, fails = np.array([i for i in order if len(children[i]) <= BIG], dtype=np.int64), np.random.default_rng(1), 0
-    while len(rest):  # all small sets together: random places, the first of each clash stays
-        n = np.array([len(children[i]) for i in rest])
-        c = np.concatenate([children[i] for i in rest])
-        at = r.integers(0, max(1, len(used) - n_symbols - 1), len(rest))
-        slot, owner = np.repeat(at, n) + c, np.repeat(np.arange(len(rest)), n)
-        once = np.zeros(len(slot), dtype=bool)
-        once[np.unique(slot, return_index=True)[1]] = True
-        bad = np.bincount(owner[used[slot] | ~once], minlength=len(rest)) > 0
-        base[rest[~bad]] = at[~bad]
-        used[slot[~bad[owner]]] = True
-        rest = rest[bad]
-        fails += 1
-        if fails % 8 == 0:
-            used = np.concatenate((used, np.zeros(len(used), dtype=bool)))
-    return base, len(used)
+    on = 4 * n[owner] >= width
+    used[base[owner[on]] + digit[on]] = True
+    r, top = np.random.default_rng(1), int(n.max(initial=0, where=4 * n < width))
+    while top > 1:
+        sets = np.flatnonzero((n <= top) & (2 * n > top) & (n > 1) & (4 * n < width))
+        of = np.full(len(n), -1)
+        of[sets] = np.arange(len(sets))
+        on = of[owner] >= 0
+        who, c, low, rounds = of[owner[on]], digit[on], 0, 0
+        while len(sets):
+            at = r.integers(low, len(used) - width + 1, len(sets))
+            slot = at[who] + c
+            claim = np.zeros(len(used), dtype=np.int32)
+            claim[slot] = who
+            bad = np.bincount(who[used[slot] | (claim[slot] != who)], minlength=len(sets)) > 0
+            base[sets[~bad]] = at[~bad]
+            used[slot[~bad[who]]] = True
+            again = bad[who]
+            sets, who, c = sets[bad], (np.cumsum(bad) - 1)[who[again]], c[again]
+            rounds += 1
+            if rounds % ROUNDS == 0 and len(sets):
+                low = len(used) - width
+                used = np.concatenate((used, np.zeros(max(width, 4 * len(c)), dtype=bool)))
+        top //= 2
+    one = np.flatnonzero((n == 1) & (4 * n < width))
+    if len(one):
+        free = width + np.flatnonzero(~used[width:])[:len(one)]
+        more = len(one) - len(free)
+        free = np.concatenate((free, max(len(used), width) + np.arange(more)))
+        base[one] = free - digit[np.searchsorted(owner, one)]
+        used = np.concatenate((used, np.ones(more, dtype=bool)))
+    return base, len(used) + width
 
 
 def build(phrases: np.ndarray) -> Trie:
@@ -113,31 +135,34 @@ def build(phrases: np.ndarray) -> Trie:
     depth = rows.shape[1]
     order = np.lexsort(rows.T[::-1])
     rows = rows[order]
+    bits = (len(symbols).bit_length() + 1) // 2
     parent_of_row = np.zeros(len(rows), dtype=np.int64)
-    node_parent, node_symbol, n_nodes = [], [], 1
-    for d in range(depth):  # nodes of a level: the distinct prefixes
+    node_parent, node_digit, n_nodes = [], [], 1
+    for d in range(2 * depth):  # nodes of a level: the distinct prefixes
+        digit = rows[:, d // 2] & ((1 << bits) - 1) if d % 2 else rows[:, d // 2] >> bits
         new = np.ones(len(rows), dtype=bool)
-        new[1:] = (rows[1:, d] != rows[:-1, d]) | (parent_of_row[1:] != parent_of_row[:-1])
+        new[1:] = (digit[1:] != digit[:-1]) | (parent_of_row[1:] != parent_of_row[:-1])
         node = n_nodes + np.cumsum(new) - 1
         node_parent.append(parent_of_row[new])
-        node_symbol.append(rows[new, d])
+        node_digit.append(digit[new])
         n_nodes += int(new.sum())
         parent_of_row = node
-    parent, symbol = np.concatenate(node_parent), np.concatenate(node_symbol)  # of node 1, 2, ...
-    by = np.argsort(parent, kind="stable")
-    owners, start = np.unique(parent[by], return_index=True)
-    children = np.split(symbol[by], start[1:])
-    bases, size = _place(children, len(symbols))
-    size += len(symbols) + 1
+    parent, digit = np.concatenate(node_parent), np.concatenate(node_digit)  # of node 1, 2, ...; parents in order
+    first = np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1])))
+    bases, size = _place(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(parent)))), digit, 1 << bits)
     node_base = np.zeros(n_nodes, dtype=np.int64)
-    node_base[owners] = bases
-    state = np.zeros(n_nodes, dtype=np.int64)  # slot of a node; parents come before their children
-    state[1:] = node_base[parent] + symbol
+    node_base[parent[first]] = bases
+    state = np.zeros(n_nodes, dtype=np.int64)  # slot of a node
+    state[1:] = node_base[parent] + digit
     base, check, leaf = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     base[state] = node_base
     check[state[1:]] = state[parent]
     leaf[state[parent_of_row]] = order
-    return Trie(symbols, base, check, leaf, depth)
+    direct = None
+    if symbols[0] > 0 and symbols[-1] < DIRECT * len(symbols) + (1 << 16):
+        direct = np.zeros(symbols[-1] + 2, dtype=np.int32)
+        direct[symbols] = np.arange(1, len(symbols) + 1)
+    return Trie(symbols, base, check, leaf, len(rows), depth, bits, direct)
 
 
 # --- text positions --------------------------------------------------------------
@@ -174,18 +199,31 @@ def _batches(batches):
         pa.default_memory_pool().release_unused()
 
 
-def reach(trie: Trie, symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (and states) at which a path of ``depth`` symbols of the trie starts.
+def reach(trie: Trie, symbols: np.ndarray, depth: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (and states) at which a path of ``depth`` symbols of the trie starts, among the places ``at`` (all without).
     A stream ends with 0, which no trie has, so no path leaves it."""
-    number = trie.number(symbols)
-    at = np.flatnonzero(number)
+    if at is None:
+        at = np.flatnonzero(symbols)
     state = np.zeros(len(at), np.int64)
     for d in range(depth):
-        state, ok = trie.step(state, number[at + d])
+        state, ok = trie.step(state, trie.number(symbols[at + d]))
         at, state = at[ok], state[ok]
     return at, state
 
 
+def _reached(tries, symbols: np.ndarray, depth: int):
+    """For each trie (None where a shard is empty) its number, the trie, and places and states that
+    ``reach`` gives: a place is looked up in one of them only, that of its first two symbols."""
+    shard = None
+    if len(tries) > 1:
+        at = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0))
+        shard = (symbols[at] * SPREAD + symbols[at + 1]) % len(tries)
+    for i, t in enumerate(tries):
+        if t is not None:
+            trie = _held(t, len(tries) == 1)
+            yield i, trie, *reach(trie, symbols, depth, None if shard is None else at[shard == i])
+
+
 def _words(batches):
     for p, raw, lang, names in _batches(batches):
         key = T.mix(p.hash.view(np.uint64) ^ T.mix(lang.view(np.uint64))[p.row])
@@ -233,16 +271,20 @@ def stream(symbols: np.ndarray, piece: np.ndarray) -> np.ndarray:
 
 
 def _encode(tries):
-    """Streams of the numbers of frequent words, in rows that end between runs."""
+    """Streams of the numbers of frequent words, in rows that end between runs. A word is looked up in one trie, that of its hash."""
     def run(batches):
         for p, _, lang, _ in _batches(batches):
             symbols = np.zeros(len(p.hash), dtype=np.int64)
-            for t in tries:
+            for i, t in enumerate(tries):
+                if t is None:
+                    continue
                 trie, number = _held(t, len(tries) == 1)
+                own = np.arange(len(p.hash)) if len(tries) == 1 else np.flatnonzero(p.hash % len(tries) == i)
                 state, ok = trie.step(np.zeros(len(lang), np.int64), trie.number(lang))
-                state, there = trie.step(state[p.row], trie.number(p.hash))
-                at = np.flatnonzero(there & ok[p.row])
-                symbols[at] = number[trie.leaf[state[at]]]
+                row = p.row[own]
+                state, there = trie.step(state[row], trie.number(p.hash[own]))
+                on = there & ok[row]
+                symbols[own[on]] = number[trie.leaf[state[on]]]
             s = stream(symbols, p.piece)
             ends = np.flatnonzero(s == 0) + 1
             if not len(ends):
@@ -266,6 +308,32 @@ def _streams(batches):
         pa.default_memory_pool().release_unused()
 
 
+def _stretches(batches, tries):
+    """Streams joined to longer stretches where more than one trie is read again for each."""
+    held, n = [], 0
+    for s in _streams(batches):
+        if len(tries) < 2:
+            yield s
+            continue
+        held.append(s)
+        n += s.nbytes
+        if n >= STRETCH_BYTES:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _parts(s: np.ndarray):
+    """Bounds of parts of about GATHER_BYTES that end between runs."""
+    a = 0
+    while a < len(s):
+        b = min(a + GATHER_BYTES // 8, len(s)) - 1
+        b += int(np.argmin(s[b:])) + 1  # no number is below 0, and the last is 0
+        yield a, b
+        a = b
+
+
 def _merged(parts):
     """(keys, columns, counts) of several stretches as one, equal keys summed."""
     if len(parts) < 2:
@@ -278,24 +346,46 @@ def _merged(parts):
     return key[at], [np.concatenate(c)[at] for c in zip(*[p[1] for p in parts])], n
 
 
-def _gather(tries, k: int):
+def _tally(cols, bits: int | None):
+    """(keys in order, columns, counts) of the distinct rows. A key is the numbers themselves where all numbers
+    have at most ``bits`` bits and the row fits into 63, else a hash of them."""
+    if bits is None or bits * len(cols) > 63:
+        key = np.zeros(len(cols[0]), dtype=np.uint64)
+        for c in cols:
+            key = T.mix(key + c.view(np.uint64))
+        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        return key, [c[first] for c in cols], n
+    key = cols[0].copy()
+    for c in cols[1:]:
+        key <<= bits
+        key |= c
+    key.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1])))
+    n = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return key, [(key >> bits * d) & ((1 << bits) - 1) for d in range(len(cols) - 1, -1, -1)], n
+
+
+def _gather(tries, k: int, bits: int | None = None):
     """Phrases of k words whose first and last k - 1 words are phrases of the tries (any
-    words of a stream if k is 2), with their number of places."""
+    words of a stream if k is 2), with their number of places. ``bits``: of the largest number, if it is known."""
+    def _marked(batches):
+        """Stretches, and where in them one of the tries' phrases starts."""
+        for s in _stretches(batches, tries):
+            good = s > 0 if k == 2 else np.zeros(len(s), dtype=bool)
+            for _, _, at, _ in _reached(tries, s, k - 1):
+                good[at] = True
+            for a, b in _parts(s) if len(tries) > 1 else [(0, len(s))]:
+                yield s[a:b], good[a:b]
+
     def run(batches):
         held, rows = [], 0
-        for s in _streams(batches):
-            good = s > 0 if k == 2 else np.zeros(len(s), dtype=bool)
-            for t in tries:
-                good[reach(_held(t, len(tries) == 1), s, k - 1)[0]] = True
+        for s, good in _marked(batches):
             at = np.flatnonzero(good[:-1] & good[1:])
-            key = np.zeros(len(at), dtype=np.uint64)
-            for d in range(k):
-                key = T.mix(key + s[at + d].view(np.uint64))
-            key, first, n = np.unique(key, return_index=True, return_counts=True)
-            if not len(key):
+            if not len(at):
                 continue
-            held.append((key, [s[at[first] + d] for d in range(k)], n))
-            rows += len(key)
+            held.append(_tally([s[at + d] for d in range(k)], bits))
+            rows += len(held[-1][0])
             if rows > SUM_ROWS:
                 held = [_merged(held)]
                 rows = len(held[0][0])
@@ -307,31 +397,31 @@ def _gather(tries, k: int):
     return run
 
 
-def _count(shared, phrases_of):
-    """Occurrences of the trie's phrases: one bincount per stretch of a stream, one row per phrase found and task."""
+def _count(tries, phrases_of, k: int):
+    """Occurrences of the tries' phrases of k words: one bincount per trie and stretch of a stream, one row per phrase found and task."""
     def run(batches):
-        trie, rows = shared.value, phrases_of.value
-        total = np.zeros(len(rows), dtype=np.int64)
-        for s in _streams(batches):
-            _, state = reach(trie, s, trie.depth)
-            total += np.bincount(trie.leaf[state], minlength=len(rows))
-        i = np.flatnonzero(total)
-        yield from _emit([rows[i, d] for d in range(rows.shape[1])], total[i])
+        total = {}
+        for s in _stretches(batches, tries):
+            for i, trie, _, state in _reached(tries, s, k):
+                n = np.bincount(trie.leaf[state], minlength=trie.n)
+                total[i] = total[i] + n if i in total else n
+        for i, n in total.items():
+            at, rows = np.flatnonzero(n), _held(phrases_of[i], len(tries) == 1)
+            yield from _emit([rows[at, d] for d in range(k)], n[at])
     return run
 
 
-def _dealt(phrases: DataFrame, *cols: str) -> tuple[DataFrame, int]:
-    """The rows with a shard number _s, and how many shards of about SHARD_PHRASES rows there are."""
+def _dealt(phrases: DataFrame, by: str) -> tuple[DataFrame, int]:
+    """The rows with a shard number _s, dealt by the long number ``by``, and how many shards of about SHARD_PHRASES rows there are."""
     parts = max(1, -(-phrases.count() // SHARD_PHRASES))
-    return phrases.withColumn("_s", F.pmod(F.xxhash64(*cols), F.lit(parts))), parts
+    return phrases.withColumn("_s", F.pmod(F.expr(by), F.lit(parts).cast("long"))), parts
 
 
 def _shards(dealt: DataFrame, parts: int, *cols: str):
-    """The shards as arrays, one at a time; none if there are no rows."""
+    """The shards as arrays, one at a time; None for one without rows."""
     for s in range(parts):
         t = dealt.filter(F.col("_s") == s).select(*cols).toArrow()
-        if t.num_rows:
-            yield np.stack([c.to_numpy() for c in t.columns], axis=1)
+        yield np.stack([c.to_numpy() for c in t.columns], axis=1) if t.num_rows else None
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -341,41 +431,42 @@ def frequent_phrases(docs: DataFrame, least: int = 100, max_words: int = MAX_WOR
     spark = docs.sparkSession
     ship(spark)
     share = spark.sparkContext.broadcast
+
+    def drop(*shared):
+        for t in shared:
+            if t is not None:
+                t.unpersist()
+
     name = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     texts = docs.select("text", name.alias("lang"), F.xxhash64(name, F.lit("lang")).alias("lang_hash"))
     words = stored(texts.mapInArrow(_words, "lang_name string, lang long, w1 long, word string, n long")
                    .groupBy("lang_name", "lang", "w1", "word").agg(F.sum("n").alias("n")), "words")
-    dealt, parts = _dealt(words.filter(F.col("n") >= least), "lang", "w1")
+    dealt, parts = _dealt(words.filter(F.col("n") >= least), "w1")
     place = F.row_number().over(Window.partitionBy("_s").orderBy(F.desc("n"), "lang", "w1", "word"))  # a shard is bounded
     vocabulary = stored(dealt.withColumn("number", (place.cast("long") - 1) * parts + F.col("_s") + 1), "vocabulary")
     found = vocabulary.select(F.array("number").alias("key"), "n")
-    tries = [share((build(a[:, :2]), a[:, 2])) for a in _shards(vocabulary, parts, "lang", "w1", "number")]
-    streams = stored(texts.mapInArrow(_encode(tries), "s binary"), "streams", compression="zstd") if tries else None
-    for t in tries:
-        t.unpersist()
-    tries, level = [], vocabulary if tries else None
+    tries = [None if a is None else share((build(a[:, :2]), a[:, 2])) for a in _shards(vocabulary, parts, "lang", "w1", "number")]
+    streams = stored(texts.mapInArrow(_encode(tries), "s binary"), "streams", compression="zstd") if any(tries) else None
+    drop(*tries)
+    tries, bits = [], int(vocabulary.agg(F.max("number")).first()[0] or 0).bit_length()  # tries of the phrases one word shorter
     for k in range(2, max_words + 1):
-        if level is None:
+        if streams is None or k > 2 and not any(tries):
             break
         cols = WORDS[:k]
-        if k > 2:
-            tries = [share(build(a)) for a in _shards(*_dealt(level, *WORDS[:k - 1]), *WORDS[:k - 1])]
-            if not tries:
-                break
-        bounded = streams.mapInArrow(_gather(tries, k), _schema(k)).groupBy(*cols).agg(F.sum("n").alias("n"))
+        bounded = streams.mapInArrow(_gather(tries, k, bits), _schema(k)).groupBy(*cols).agg(F.sum("n").alias("n"))
         candidates = stored(bounded.filter(F.col("n") >= least).drop("n"), "candidates")
-        level = None
-        for rows in _shards(*_dealt(candidates, *cols), *cols):
-            shared, of = share(build(rows)), share(rows)
-            counts = stored(streams.mapInArrow(_count(shared, of), _schema(k)).groupBy(*cols).agg(F.sum("n").alias("n")), "phrases")
-            level = counts if level is None else level.unionByName(counts)
-            shared.unpersist()
-            of.unpersist()
-        for t in tries:
-            t.unpersist()
-        if level is not None:
-            level = level.filter(F.col("n") >= least)
-            found = found.unionByName(level.select(F.array(*cols).alias("key"), "n"))
+        drop(*tries)
+        tries, of = [], []
+        for rows in _shards(*_dealt(candidates, BY), *cols):
+            tries.append(None if rows is None else share(build(rows)))
+            of.append(None if rows is None else share(rows))
+        if not any(tries):
+            break
+        level = stored(streams.mapInArrow(_count(tries, of, k), _schema(k)).groupBy(*cols).agg(F.sum("n").alias("n")), "phrases").filter(F.col("n") >= least)
+        drop(*tries, *of)
+        tries = [a if a is None else share(build(a)) for a in _shards(*_dealt(level, BY), *cols)] if k < max_words else []
+        found = found.unionByName(level.select(F.array(*cols).alias("key"), "n"))
+    drop(*tries)
     return (words.groupBy(F.col("lang_name").alias("lang")).agg(F.sum("n").alias("n")),
             vocabulary.select(F.col("lang_name").alias("lang"), "word", "number"), found)
 

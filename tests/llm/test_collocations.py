@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 from types import SimpleNamespace
 
@@ -60,6 +61,60 @@ def test_trie_equals_a_dictionary(shape):
     assert [int(t.leaf[s]) if o else None for s, o in zip(state, ok)] == [inside.get(tuple(x)) for x in probe.tolist()]
 
 
+@pytest.mark.parametrize("shape", ["few wide states", "many states of all sizes"])
+def test_time_to_build_grows_with_the_phrases(shape):
+    """Many words of few languages, and pairs of words most of which are rare: states were placed one
+    by one, each against all before it (86 thousand words took 22 s)."""
+    r = np.random.default_rng(1)
+    if shape == "few wide states":
+        rows = np.stack([r.choice(4, 200_000, p=[0.6, 0.16, 0.12, 0.12]), r.integers(-2**62, 2**62, 180_000)[r.integers(0, 180_000, 200_000)]], axis=1)
+    else:
+        rows = np.minimum(20_000, r.pareto(0.5, (800_000, 2)) * 3 + 1).astype(np.int64)
+    rows = np.unique(rows, axis=0)
+    began = time.process_time()
+    t = C.build(rows)
+    assert time.process_time() - began < 10
+    assert len(t.base) < 12 * len(rows)
+    state = np.zeros(len(rows), np.int64)
+    for d in range(2):
+        state, ok = t.step(state, t.number(rows[:, d]))
+        assert ok.all()
+    assert t.leaf[state].tolist() == list(range(len(rows)))
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_a_place_is_looked_up_in_one_trie(monkeypatch, parts):
+    """Shards by the first two words together find what one trie of all phrases finds, each place once."""
+    monkeypatch.setattr(C, "GATHER_BYTES", 256)
+    monkeypatch.setattr(C, "STRETCH_BYTES", 1024)
+    r = np.random.default_rng(parts)
+    body = [np.append(r.integers(1, 9, n), 0) for n in r.integers(2, 40, 300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.astype("<i8").tobytes() for x in body])], ["s"])
+    places = Counter(tuple(x[i:i + 3].tolist()) for x in body for i in range(len(x) - 3))
+    known = np.array(sorted(places)[::3])
+    of = (known[:, 0] * C.SPREAD + known[:, 1]) % parts
+    rows = [known[of == i] if (of == i).any() else None for i in range(parts)]
+    shared = lambda values: [None if v is None else SimpleNamespace(value=v, _value=v) for v in values]
+    seen = []
+    reach = C.reach
+    monkeypatch.setattr(C, "reach", lambda trie, s, depth, at=None: (seen.append(np.flatnonzero(s) if at is None else at), reach(trie, s, depth, at))[1])
+    monkeypatch.setattr(C, "_held", lambda shared, alone: shared.value)
+    got = Counter()
+    for b in C._count(shared([None if x is None else C.build(x) for x in rows]), shared(rows), 3)([batch]):
+        for *words, n in zip(*[c.to_pylist() for c in b.columns]):
+            got[tuple(words)] += n
+    assert got == Counter({tuple(x): places[tuple(x)] for x in known.tolist()})
+    assert sum(map(len, seen)) <= sum(map(len, body))
+    good = {(x[0], x[1], x[2]) for x in known.tolist()}
+    want = Counter(tuple(x[i:i + 4].tolist()) for x in body for i in range(len(x) - 4)
+                   if tuple(x[i:i + 3].tolist()) in good and tuple(x[i + 1:i + 4].tolist()) in good)
+    got = Counter()
+    for b in C._gather(shared([None if x is None else C.build(x) for x in rows]), 4)([batch]):
+        for *words, n in zip(*[c.to_pylist() for c in b.columns]):
+            got[tuple(words)] += n
+    assert got == want and len(want) > 10
+
+
 def corpus(prose):
     r = random.Random(2)
     rows = []
@@ -134,6 +189,16 @@ def test_gathered_counts_are_summed_in_the_task(monkeypatch, bound):
     assert max(times.values()) == 1 or bound < 1000
 
 
+@pytest.mark.parametrize("k,top,bits", [(2, 9, 4), (3, 1 << 20, 21), (5, 4000, 12), (5, 4000, 13), (2, 1 << 31, 32), (3, 9, None)])
+def test_rows_are_summed_by_their_numbers(k, top, bits):
+    """As one number where the row fits, else by a hash; equal keys are equal rows."""
+    r = np.random.default_rng(k)
+    rows = r.integers(1, top, (40, k))[r.integers(0, 40, 500)]
+    key, cols, n = C._tally([rows[:, d].copy() for d in range(k)], bits)
+    assert dict(zip(zip(*[c.tolist() for c in cols]), n.tolist())) == Counter(map(tuple, rows.tolist()))
+    assert (key[1:] > key[:-1]).all() and (key.dtype == np.int64) == (bits is not None and k * bits < 64)
+
+
 def test_exact_beyond_64_bits(spark):
     """a * n and l * r are multiplied as decimals."""
     row = spark.sql("SELECT cast(900000000000 AS decimal(18,0)) a, cast(99999999999999 AS decimal(18,0)) n, "
