@@ -8,14 +8,17 @@ are not frequent. Everything after that reads the streams.
 Level by level: for a longer phrase to be frequent, its first and its last words
 (all but one) must be frequent: such phrases are gathered from the streams, with
 a bound of their support, and become candidates (Apriori). The candidates go
-into double-array tries of bounded size, which are broadcast one after the
-other; a task advances the states of all its text positions together, one level
+into broadcast double-array tries of bounded size, of which a worker holds one at
+a time; a task advances the states of all its text positions together, one level
 at a time, counts the accepting states with one bincount per trie, and the
 counts of the shards are summed. What reaches the threshold is the next level's
-frequent set.
+frequent set. Shards go by a phrase's first two words, so a position is looked
+up in one trie however many there are.
 
 Words are looked up by 64-bit hashes of their lower-cased bytes and of their
-language; every trie numbers its own symbols.
+language; every trie numbers its own symbols, and steps by two digits of that
+number: no state has more children than a digit has values, which bounds the
+room and the time that placing it takes.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from .tables import ship, stored
 MAX_WORDS = 5
 SHARD_PHRASES = 1 << 19     # candidates in one trie
 GATHER_BYTES = 4 << 20      # text or stream whose candidates are summed before they leave a task
-STRETCH_BYTES = 16 << 20    # stream for which each of several tries is read once
+STRETCH_BYTES = 8 << 20     # stream for which each of several tries is read once
 SPREAD = 1_000_003          # first word of a phrase, before its second is added, for the shard's number
 ROW_SYMBOLS = 512           # numbers in a row of a stream, more only where a run is longer
 SUM_ROWS = 1 << 17          # phrases whose counts a task sums before they leave it
